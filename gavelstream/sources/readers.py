@@ -15,6 +15,8 @@ def read_stream(spark: SparkSession, path: str, schema: StructType | None = None
                 max_bytes_per_trigger: str | None = None) -> DataFrame:
     """Parquet files as a stream; the two limits bound what one micro-batch takes in.
 
+    ``path`` is a folder or a single file.
+
     Files are taken in order of their modification time. With a watermark delay of
     0 seconds a limit is only safe where that order follows event time; without a
     limit everything present is one micro-batch and no row can be late.
@@ -26,4 +28,6 @@ def read_stream(spark: SparkSession, path: str, schema: StructType | None = None
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if max_bytes_per_trigger is not None:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
-    return reader.parquet(path)
+    folder, slash, name = path.rstrip("/").rpartition("/")
+    # a plain path has to be a folder; written as a pattern it may be a file too
+    return reader.parquet(f"{folder}{slash}{{{name}}}")

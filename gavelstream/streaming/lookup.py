@@ -25,9 +25,9 @@ class LatestRecord(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         people, auction_us, auction_ids = [], [], []
         for frame in rows:
-            is_auction = frame["auction_id"].notna().to_numpy()
+            is_auction = frame["is_auction"].to_numpy()
             auction_us.append(frame["us"].to_numpy()[is_auction])
-            auction_ids.append(frame["auction_id"].to_numpy()[is_auction].astype(np.int64))
+            auction_ids.append(frame["auction_id"].to_numpy()[is_auction])
             people.append(frame.loc[~is_auction, ["us", "name", "city", "state"]])
         people = pd.concat(people).sort_values(["us", "name", "city", "state"], ignore_index=True)
         auction_us, auction_ids = np.concatenate(auction_us), np.concatenate(auction_ids)
@@ -54,12 +54,16 @@ def lookup_latest(auctions: DataFrame, persons: DataFrame, salts: int = 8) -> Da
     equal times. Auctions without a record so far are dropped. A seller's auctions are
     spread over ``salts`` groups, each of which keeps the seller's record.
     """
-    listed = auctions.select(
+    # no column that pandas would turn to float for its nulls: ids must stay exact
+    listed = auctions.where(F.col("id").isNotNull() & F.col("ts").isNotNull()).select(
         F.col("seller").alias("id"), share_of(F.col("id"), salts).alias("share"),
-        F.unix_micros("ts").alias("us"), F.col("id").alias("auction_id"),
+        F.unix_micros("ts").alias("us"), F.lit(True).alias("is_auction"),
+        F.col("id").alias("auction_id"),
         *[F.lit(None).cast("string").alias(c) for c in ("name", "city", "state")])
-    known = persons.select("id", every_share(salts).alias("share"), F.unix_micros("ts").alias("us"),
-                           F.lit(None).cast("long").alias("auction_id"), "name", "city", "state")
-    return (listed.where(F.col("auction_id").isNotNull()).unionByName(known)
+    known = persons.where(F.col("ts").isNotNull()).select(
+        "id", every_share(salts).alias("share"), F.unix_micros("ts").alias("us"),
+        F.lit(False).alias("is_auction"), F.lit(0).cast("long").alias("auction_id"),
+        "name", "city", "state")
+    return (listed.unionByName(known)
             .groupBy("id", "share")
             .transformWithStateInPandas(LatestRecord(), RESULT, "Append", "None"))
