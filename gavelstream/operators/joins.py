@@ -22,8 +22,8 @@ def every_share(salts: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
 
 
-def _join_on_seller(auctions: DataFrame, persons: DataFrame, salts: int, *more: Column) -> DataFrame:
-    """``auctions`` has seller and auction_id, ``persons`` has person_id."""
+def join_on_seller(auctions: DataFrame, persons: DataFrame, salts: int, *more: Column) -> DataFrame:
+    """``auctions`` has seller (and auction_id if salted), ``persons`` has person_id."""
     on = F.col("seller") == F.col("person_id")
     if salts > 1:
         auctions = auctions.withColumn("auction_share", share_of(F.col("auction_id"), salts))
@@ -53,7 +53,7 @@ def incremental_join(auctions: DataFrame, persons: DataFrame, within: str | None
                 F.col("auction_ts") <= F.col("person_ts") + reach]
     else:
         left, right = left.drop("auction_ts"), right.drop("person_ts")
-    return (_join_on_seller(left, right, salts, *near)
+    return (join_on_seller(left, right, salts, *near)
             .select("name", "city", "state", "auction_id"))
 
 
@@ -76,10 +76,12 @@ def lookup_latest(auctions: DataFrame, persons: DataFrame, chunk: str = "1 hour"
     """
     width = interval_micros(chunk)
     us = F.unix_micros("ts")
-    listed = auctions.select(F.col("seller").alias("id"), F.col("id").alias("auction_id"), us.alias("us")) \
-        .withColumn("chunk", bucket_start(F.col("us"), width))
-    known = persons.select("id", F.struct("name", "city", "state").alias("person"), us.alias("us")) \
-        .withColumn("chunk", bucket_start(F.col("us"), width))
+    listed = (auctions.where(F.col("seller").isNotNull() & F.col("ts").isNotNull())
+              .select(F.col("seller").alias("id"), F.col("id").alias("auction_id"), us.alias("us"))
+              .withColumn("chunk", bucket_start(F.col("us"), width)))
+    known = (persons.where(F.col("id").isNotNull() & F.col("ts").isNotNull())
+             .select("id", F.struct("name", "city", "state").alias("person"), us.alias("us"))
+             .withColumn("chunk", bucket_start(F.col("us"), width)))
 
     ends = known.groupBy("id", "chunk").agg(F.max(F.struct("us", "person")).alias("newest"))
     marks = (listed.select("id", "chunk").distinct().withColumn("newest", F.lit(None))
@@ -91,12 +93,10 @@ def lookup_latest(auctions: DataFrame, persons: DataFrame, chunk: str = "1 hour"
                .where(F.col("newest").isNull() & F.col("person").isNotNull())
                .select("id", "chunk", F.col("chunk").alias("us"), "person",
                        F.lit(None).cast("long").alias("auction_id"), F.lit(0).alias("turn")))
-
+    no_auction, nobody = F.lit(None).cast("long"), F.lit(None)
     timeline = (carried
-                .unionByName(known.select("*", F.lit(None).cast("long").alias("auction_id"),
-                                          F.lit(1).alias("turn")))
-                .unionByName(listed.select("*", F.lit(None).cast(known.schema["person"].dataType).alias("person"),
-                                           F.lit(2).alias("turn"))))
+                .unionByName(known.select("*", no_auction.alias("auction_id"), F.lit(1).alias("turn")))
+                .unionByName(listed.select("*", nobody.alias("person"), F.lit(2).alias("turn"))))
     so_far = (Window.partitionBy("id", "chunk").orderBy("us", "turn", "person")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (timeline
@@ -105,12 +105,12 @@ def lookup_latest(auctions: DataFrame, persons: DataFrame, chunk: str = "1 hour"
             .select("holder.name", "holder.city", "holder.state", "auction_id"))
 
 
-def window_join(auctions: DataFrame, persons: DataFrame, size: str, salts: int = 1) -> DataFrame:
+def window_join(auctions: DataFrame, persons: DataFrame, size: str) -> DataFrame:
     """Auctions and their seller's records that fall into the same tumbling window."""
-    left = (auctions.withWatermark("ts", "0 seconds")
-            .select("seller", "reserve", F.col("id").alias("auction_id"),
-                    F.window("ts", size).alias("auction_window")))
-    right = (persons.withWatermark("ts", "0 seconds")
-             .select(F.col("id").alias("person_id"), "name", F.window("ts", size).alias("person_window")))
+    width = interval_micros(size)
+    left = auctions.select("seller", "reserve",
+                           bucket_start(F.unix_micros("ts"), width).alias("auction_window"))
+    right = persons.select(F.col("id").alias("person_id"), "name",
+                           bucket_start(F.unix_micros("ts"), width).alias("person_window"))
     same_window = F.col("auction_window") == F.col("person_window")
-    return _join_on_seller(left, right, salts, same_window).select("person_id", "name", "reserve")
+    return join_on_seller(left, right, 1, same_window).select("person_id", "name", "reserve")

@@ -61,6 +61,8 @@ def session_firings(bids: DataFrame, gap: str, max_events: int) -> DataFrame:
     row: a group never exceeds the milliseconds of one gap.
     """
     gap_us = interval_micros(gap)
+    if gap_us % 1000:
+        raise ValueError("the gap must be in whole milliseconds")
     paned = _in_panes(bids, gap_us)
     before = F.coalesce(
         F.sum("num").over(_by_pane().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -80,8 +82,9 @@ def session_firings(bids: DataFrame, gap: str, max_events: int) -> DataFrame:
 
     due = (panes.where(F.col("ahead") % max_events + F.col("num") >= max_events)
            .select("bidder", "pane", "ahead"))
-    instants = (paned.withColumn("ms", _millis(F.col("us")))
-                .groupBy("bidder", "pane", "ms").agg(F.count(F.lit(1)).alias("num")))
+    instants = (paned.select("bidder", _millis(F.col("us")).alias("ms"))
+                .groupBy("bidder", "ms").agg(F.count(F.lit(1)).alias("num"))
+                .withColumn("pane", bucket_start(F.col("ms") * 1000, gap_us)))
     by_instant = Window.partitionBy("bidder", "pane").orderBy("ms")
     counted = (instants.join(due, ["bidder", "pane"])
                .withColumn("upto", F.col("ahead") + F.sum("num").over(by_instant))

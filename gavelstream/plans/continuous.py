@@ -10,10 +10,11 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
-from gavelstream.operators import joins, stateless
+from gavelstream.operators import stateless
+from gavelstream.operators.joins import incremental_join
 from gavelstream.plans import defaults as d
 from gavelstream.plans.batch import currency_conversion, listed_bids, selected_bids
-from gavelstream.streaming import lookup, sessions, windows
+from gavelstream.streaming import joins, lookup, sessions, windows
 
 __all__ = ["bid_counts", "currency_conversion", "hot_items", "listed_bids", "local_items",
            "local_items_latest", "max_bid_count", "new_users", "selected_bids",
@@ -24,8 +25,8 @@ def local_items(auctions: DataFrame, persons: DataFrame, category: int = d.LOCAL
                 states: Iterable[str] = d.LOCAL_STATES, within: str | None = None,
                 salts: int = 8) -> DataFrame:
     """Query 3; without ``within`` both inputs stay in state for good."""
-    return joins.incremental_join(stateless.in_category(auctions, category),
-                                  stateless.in_states(persons, states), within, salts)
+    return incremental_join(stateless.in_category(auctions, category),
+                            stateless.in_states(persons, states), within, salts)
 
 
 def local_items_latest(auctions: DataFrame, persons: DataFrame, category: int = d.LOCAL_CATEGORY,

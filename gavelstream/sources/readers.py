@@ -12,7 +12,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def read_stream(spark: SparkSession, path: str, schema: StructType | None = None,
                 max_files_per_trigger: int | None = None,
-                max_bytes_per_trigger: str | None = None) -> DataFrame:
+                max_bytes_per_trigger: int | None = None) -> DataFrame:
     """Parquet files as a stream; the two limits bound what one micro-batch takes in.
 
     ``path`` is a folder or a single file.

@@ -55,12 +55,13 @@ def lookup_latest(auctions: DataFrame, persons: DataFrame, salts: int = 8) -> Da
     spread over ``salts`` groups, each of which keeps the seller's record.
     """
     # no column that pandas would turn to float for its nulls: ids must stay exact
-    listed = auctions.where(F.col("id").isNotNull() & F.col("ts").isNotNull()).select(
+    complete = F.col("seller").isNotNull() & F.col("id").isNotNull() & F.col("ts").isNotNull()
+    listed = auctions.where(complete).select(
         F.col("seller").alias("id"), share_of(F.col("id"), salts).alias("share"),
         F.unix_micros("ts").alias("us"), F.lit(True).alias("is_auction"),
         F.col("id").alias("auction_id"),
         *[F.lit(None).cast("string").alias(c) for c in ("name", "city", "state")])
-    known = persons.where(F.col("ts").isNotNull()).select(
+    known = persons.where(F.col("id").isNotNull() & F.col("ts").isNotNull()).select(
         "id", every_share(salts).alias("share"), F.unix_micros("ts").alias("us"),
         F.lit(False).alias("is_auction"), F.lit(0).cast("long").alias("auction_id"),
         "name", "city", "state")

@@ -1,0 +1,193 @@
+"""Streams of several micro-batches, against the batch queries and by hand."""
+
+import random
+
+import pytest
+from conftest import add_file, auction_rows, bid_rows, millis, person_rows, rows, schema_of
+
+from gavelstream.plans import batch, continuous
+from gavelstream.session import scratch_dir
+from gavelstream.streaming.runner import run_discarding, run_to_table, start
+
+ANN = (7, "Ann", "Salem", "OR")
+FAR = 100_000  # a bid at this second closes every window before it
+
+
+def some_bids(seconds, seed):
+    """A third of the bids by bidder 1 and on auction 1, in time order."""
+    rng = random.Random(seed)
+    times = sorted(round(rng.uniform(*seconds), 3) for _ in range(150))
+    return bid_rows(*[(1 if rng.random() < 0.33 else rng.randrange(2, 9),
+                       1 if rng.random() < 0.33 else rng.randrange(2, 30), rng.randrange(99), t)
+                      for t in times])
+
+
+PARTS = [some_bids((0, 40), 1), some_bids((40, 80), 2), some_bids((80, 300), 3)]
+END = bid_rows((-1, -1, 0, FAR))
+
+
+@pytest.fixture
+def all_bids(table):
+    return table(PARTS[0]).union(table(PARTS[1])).union(table(PARTS[2]))
+
+
+@pytest.mark.parametrize("name, options", [
+    ("currency_conversion", {}), ("selected_bids", {"divisors": [3, 7]}), ("listed_bids", {"auction_ids": [1, 5]}),
+    ("bid_counts", {}), ("max_bid_count", {}), ("hot_items", {}),
+    ("user_sessions", {"gap": "2 seconds"}), ("session_firings", {"gap": "2 seconds", "max_events": 3}),
+])
+def test_stream_with_closed_end_equals_batch(stream, all_bids, name, options):
+    result = run_to_table(getattr(continuous, name)(stream(*PARTS, END), **options), name)
+    expected = rows(getattr(batch, name)(all_bids, **options))
+    assert [r for r in rows(result) if r[0] != -1] == expected and expected
+
+
+@pytest.mark.parametrize("name, size", [("bid_counts", 2), ("hot_items", 2), ("user_sessions", 3)])
+def test_open_windows_are_held_back(stream, all_bids, name, size):
+    result = rows(run_to_table(getattr(continuous, name)(stream(*PARTS)), name))
+    newest = PARTS[2].ts.max().value // 1_000_000
+    expected = rows(getattr(batch, name)(all_bids))
+    assert set(result) < set(expected)
+    assert all(r[size] > newest for r in set(expected) - set(result))
+
+
+def test_hot_items_need_no_salt(stream):
+    once = rows(run_to_table(continuous.hot_items(stream(*PARTS), salts=1), "one"))
+    assert once == rows(run_to_table(continuous.hot_items(stream(*PARTS), salts=5), "five"))
+    assert once
+
+
+# a micro-batch drops rows behind the watermark its predecessor worked with
+def test_bid_late_for_some_windows_counts_in_the_others(stream):
+    bids = stream(bid_rows((1, 1, 1, 0), (1, 1, 1, 9)), bid_rows((1, 1, 1, 9.5)), bid_rows((1, 1, 1, 3)), END)
+    counts = {r[2]: r[1] for r in rows(run_to_table(continuous.bid_counts(bids), "late"))}
+    # the windows that end at 4, 6 and 8 had passed when the bid of second 3 came in
+    expected = {2: 1, 4: 1, 6: 1, 8: 1, 10: 4, 12: 3, 14: 2, 16: 2, 18: 2}
+    assert counts == {millis(end): num for end, num in expected.items()}
+
+
+@pytest.mark.parametrize("name, expected", [
+    ("user_sessions", [(1, 3, millis(100), millis(111), 1)]),
+    ("session_firings", [(1, 3, millis(111), True)]),
+])
+def test_row_behind_the_watermark_is_dropped_and_counted(stream, name, expected):
+    frames = bid_rows((1, 1, 1, 100)), bid_rows((1, 1, 1, 101)), bid_rows((2, 1, 1, 5), (1, 1, 1, 101)), END
+    query = getattr(continuous, name)
+    assert rows(run_to_table(query(stream(*frames)), "kept")) == expected
+    progress = run_discarding(query(stream(*frames)), "dropped")
+    assert sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"]) == 1
+
+
+def test_join_finds_pairs_across_batches_in_either_order(stream):
+    auctions = stream(auction_rows((1, 7, 10, 5, 0)), auction_rows((2, 7, 10, 5, 9), (3, 8, 10, 5, 9)))
+    persons = stream(person_rows((9, "Al", "Napa", "CA", 0)), person_rows((*ANN, 5)))
+    assert [r[3] for r in rows(run_to_table(continuous.local_items(auctions, persons), "j"))] == [1, 2]
+
+
+def test_join_within_lets_go_of_old_state(stream):
+    auctions = stream(*[auction_rows((i, 7, 10, 5, i * 100)) for i in range(4)])
+    persons = stream(*[person_rows((*ANN, i * 100)) for i in range(4)])
+    bounded = continuous.local_items(auctions, persons, within="5 seconds", salts=2)
+    assert [r[3] for r in rows(run_to_table(bounded, "within"))] == [0, 1, 2, 3]
+    progress = run_discarding(continuous.local_items(auctions, persons, within="5 seconds", salts=2), "state")
+    held = progress[-1]["stateOperators"][0]["numRowsTotal"]
+    assert held <= 3  # the last auction once, the last person in each of two shares
+
+
+def test_window_join_lets_go_of_old_state(stream):
+    auctions = stream(*[auction_rows((i, 7, 10, i, i * 100)) for i in range(4)])
+    persons = stream(*[person_rows((*ANN, i * 100 + 1)) for i in range(4)])
+    assert [r[2] for r in rows(run_to_table(continuous.new_users(auctions, persons, salts=2), "w"))] == [0, 1, 2, 3]
+    progress = run_discarding(continuous.new_users(auctions, persons, salts=2), "state")
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 3
+
+
+@pytest.mark.parametrize("salts", [1, 8])
+def test_lookup_keeps_the_record_between_batches(stream, salts):
+    auctions = stream(auction_rows((1, 7, 10, 5, 0), (2, 7, 10, 5, 8)),
+                      auction_rows((3, 7, 10, 5, 12), (4, 7, 10, 5, 20), (5, 8, 10, 5, 20)),
+                      auction_rows((6, 7, 10, 5, 30)))
+    persons = stream(person_rows((*ANN, 5)),
+                     person_rows((7, "Ann", "Boise", "ID", 15), (7, "Ann", "Reno", "WA", 16)),
+                     person_rows((7, "Ann", "Napa", "CA", 30)))
+    result = rows(run_to_table(continuous.local_items_latest(auctions, persons, salts=salts), "l"))
+    assert {r[3]: r[1] for r in result} == {2: "Salem", 3: "Salem", 4: "Boise", 6: "Napa"}
+
+
+def test_lookup_keeps_large_ids_exact(stream):
+    big = 2**62 + 1
+    result = run_to_table(continuous.local_items_latest(
+        stream(auction_rows((big, 7, 10, 5, 9))), stream(person_rows((*ANN, 5)))), "big")
+    assert rows(result) == [("Ann", "Salem", "OR", big)]
+
+
+def firings(stream, *frames, gap="10 seconds", max_events=5):
+    return rows(run_to_table(continuous.session_firings(stream(*frames, END), gap, max_events), "f"))
+
+
+def test_firings_go_on_across_batches(stream):
+    parts = [bid_rows(*[(1, 5, 1, s + i) for i in range(4)]) for s in (0, 4, 8)]
+    assert firings(stream, *parts) == [
+        (5, 5, millis(4), False), (5, 10, millis(9), False), (5, 12, millis(21), True)]
+
+
+def test_bid_between_two_sessions_joins_them(stream):
+    # the bid of second 9 is behind the watermark, yet its own session would still be open
+    got = firings(stream, bid_rows((1, 5, 1, 0), (1, 5, 1, 0.5), (1, 6, 1, 0)), bid_rows((1, 5, 1, 18)),
+                  max_events=100)
+    assert got == [(5, 1, millis(28), True), (5, 2, millis(10) + 500, True), (6, 1, millis(10), True)]
+    got = firings(stream, bid_rows((1, 5, 1, 0), (1, 5, 1, 15)), bid_rows((1, 5, 1, 9)), max_events=100)
+    assert got == [(5, 3, millis(25), True)]
+
+
+def test_firing_at_late_bid_counts_the_joined_session(stream):
+    got = firings(stream, bid_rows((1, 5, 1, 0), (1, 5, 1, 15)), bid_rows((1, 5, 1, 9)), max_events=3)
+    assert got == [(5, 3, millis(9), False), (5, 3, millis(25), True)]
+
+
+def test_run_goes_on_from_its_checkpoint(streams, stream):
+    checkpoint, output = scratch_dir(streams, "checkpoint"), scratch_dir(streams, "output")
+    source = stream(PARTS[0])
+
+    def run():
+        return rows(run_to_table(continuous.bid_counts(source), "again", output, checkpoint))
+
+    first = run()
+    assert run() == first
+    add_file(stream.folders[0], 1, PARTS[1])
+    second = run()
+    assert set(first) < set(second)
+    straight = rows(run_to_table(continuous.bid_counts(stream(PARTS[0], PARTS[1])), "straight"))
+    assert second == straight
+
+
+def test_continuous_run_can_be_stopped(stream):
+    query = start(continuous.selected_bids(stream(*PARTS)), "steady", every="1 second")
+    query.processAllAvailable()
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 450
+    query.stop()
+    assert not query.isActive
+
+
+def test_limits_split_the_input(streams, tmp_path):
+    from gavelstream.sources import read_stream
+    for position, part in enumerate(PARTS):
+        add_file(tmp_path, position, part)
+    schema = schema_of(PARTS[0])
+
+    def batches(**limits):
+        source = read_stream(streams, str(tmp_path), schema, **limits)
+        return [p for p in run_discarding(source, "limits") if p["numInputRows"]]
+
+    assert len(batches()) == 1
+    assert len(batches(max_files_per_trigger=1)) == 3
+    assert len(batches(max_files_per_trigger=2)) == 2
+    assert len(batches(max_bytes_per_trigger=1)) == 3
+
+
+def test_caller_s_session_keeps_its_settings(spark, streams):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    assert "RocksDB" in streams.conf.get(provider)
+    assert "RocksDB" not in spark.conf.get(provider, "")
+    assert streams.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert scratch_dir(streams, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
