@@ -1,0 +1,93 @@
+"""Random inputs against brute force in plain Python."""
+
+from collections import Counter, defaultdict
+
+from conftest import at, auction_rows, bid_rows, millis, person_rows, rows
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from gavelstream.plans import batch
+
+few = settings(max_examples=12, deadline=None,
+               suppress_health_check=[HealthCheck.function_scoped_fixture])
+# quarter seconds: many equal times, and gaps of exactly the session gap
+seconds = st.integers(0, 400).map(lambda q: q / 4)
+bids = st.lists(st.tuples(st.integers(0, 4), st.integers(0, 3), st.integers(0, 9), seconds),
+                min_size=1, max_size=60)
+auctions = st.lists(st.tuples(st.integers(0, 999), st.integers(0, 3), st.integers(10, 11),
+                              st.integers(0, 9), seconds), min_size=1, max_size=40)
+persons = st.lists(st.tuples(st.integers(0, 3), st.sampled_from(["Ann", "Bo", "Cy"]), st.just("Salem"),
+                             st.sampled_from(["OR", "CA", "WA"]), seconds), min_size=1, max_size=30)
+
+
+def windows_of(second, size, slide):
+    """End seconds of the windows that hold the time."""
+    start = second // slide * slide
+    while start + size > second:
+        yield start + size
+        start -= slide
+
+
+def sessions_of(given_bids, gap):
+    by_bidder = defaultdict(list)
+    for bid in sorted(given_bids, key=lambda b: b[3]):
+        mine = by_bidder[bid[1]]
+        if mine and bid[3] - mine[-1][-1][3] <= gap:
+            mine[-1].append(bid)
+        else:
+            mine.append([bid])
+    return [session for mine in by_bidder.values() for session in mine]
+
+
+@few
+@given(bids)
+def test_windows(table, given_bids):
+    counted = Counter((a, end) for a, _, _, s in given_bids for end in windows_of(s, 10, 2))
+    top = {}
+    for (_, end), num in counted.items():
+        top[end] = max(num, top.get(end, 0))
+    df = table(bid_rows(*given_bids))
+    assert rows(batch.bid_counts(df)) == sorted((a, n, millis(e)) for (a, e), n in counted.items())
+    assert sum(counted.values()) == 5 * len(given_bids)
+    assert rows(batch.max_bid_count(df)) == sorted((n, millis(e)) for e, n in top.items())
+    assert rows(batch.hot_items(df)) == sorted(
+        (a, n, millis(e)) for (a, e), n in counted.items() if n == top[e])
+
+
+@few
+@given(bids, st.integers(1, 4))
+def test_sessions(table, given_bids, max_events):
+    sessions = sessions_of(given_bids, 10)
+    df = table(bid_rows(*given_bids))
+    assert rows(batch.user_sessions(df)) == sorted(
+        (s[0][1], len(s), millis(s[0][3]), millis(s[-1][3] + 10),
+         max(a for a, _, _, t in s if t == s[-1][3])) for s in sessions)
+    assert rows(batch.session_firings(df, max_events=max_events)) == sorted(
+        [(s[0][1], n, millis(s[n - 1][3]), False) for s in sessions
+         for n in range(max_events, len(s) + 1, max_events)]
+        + [(s[0][1], len(s), millis(s[-1][3] + 10), True) for s in sessions])
+
+
+@few
+@given(auctions, persons, st.sampled_from(["1 second", "30 seconds", "1 hour"]))
+def test_joins(table, given_auctions, given_persons, chunk):
+    local = [p for p in given_persons if p[3] in ("OR", "CA")]
+    listed = [a for a in given_auctions if a[2] == 10]
+    pairs = [(p[1], p[2], p[3], a[0]) for a in listed for p in local if a[1] == p[0]]
+    once = [(p[1], p[2], p[3], i) for i, s in {(a[0], a[1]) for a in listed} for p in local if s == p[0]]
+    known = []
+    for a in listed:
+        before = [(p[4], p[1], p[2], p[3]) for p in local if a[1] == p[0] and p[4] <= a[4]]
+        known += [(*max(before)[1:], a[0])] if before else []
+    together = [(p[0], p[1], a[3]) for a in given_auctions for p in given_persons
+                if a[1] == p[0] and a[4] // 10 == p[4] // 10]
+    left, right = table(auction_rows(*given_auctions)), table(person_rows(*given_persons))
+    assert rows(batch.local_items(left, right)) == sorted(pairs)
+    assert rows(batch.local_items_distinct(left, right)) == sorted(once)
+    assert rows(batch.local_items_latest(left, right, chunk=chunk)) == sorted(known)
+    assert set(known) <= set(pairs)
+    assert rows(batch.new_users(left, right)) == sorted(together)
+
+
+def test_clock():
+    assert millis(1.5) - millis(0) == 1500 and at(0) < at(0.000001)
