@@ -1,33 +1,63 @@
 """Joins of auctions with persons.
 
-``salts`` splits a hot key: each auction goes to one of that many shares of its
-seller, and persons, the narrow side, are repeated once per share. Streams need it,
-because a stateful join pins a key to one task. Batch joins leave it at 1: AQE splits
-skewed partitions there without repeating anything.
+Batch joins leave hot sellers to AQE, which splits skewed partitions without repeating
+anything. A stateful join pins a key to one task, so streams take ``Shares``: a hot
+seller's auctions are dealt out to several shares, and the seller's person records,
+the narrow side, are repeated once per share.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelstream.functions import bucket_start, interval_micros
 
 
-def share_of(column: Column, salts: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
+@dataclass(frozen=True)
+class Shares:
+    """How many shares a key is split into: every key, or only those in ``hot``.
+
+    Any key gives the same result in any number of shares, but a stream's state depends
+    on it: keep the same shares for as long as its checkpoint is in use.
+    """
+
+    number: int = 8
+    hot: Sequence[int] | None = None
+
+    def of(self, row_id: Column, key: Column) -> Column:
+        """The share a row belongs to."""
+        dealt = F.pmod(F.xxhash64(row_id), F.lit(self.number)).cast("int")
+        return dealt if self.hot is None else F.when(key.isin(*self.hot), dealt).otherwise(0)
+
+    def every(self, key: Column) -> Column:
+        """One row for each share of the key."""
+        numbers = F.sequence(F.lit(0), F.lit(self.number - 1))
+        if self.hot is not None:
+            numbers = F.when(key.isin(*self.hot), numbers).otherwise(F.array(F.lit(0)))
+        return F.explode(numbers)
 
 
-def every_share(salts: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+def hot_keys(df: DataFrame, key: str, portion: float = 0.01) -> list[int]:
+    """Keys that hold at least this portion of a table's rows, at most 1 / ``portion``.
+
+    Run it over past data to give a stream's ``Shares`` their hot keys.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("num"))
+    total = counts.agg(F.sum("num")).first()[0] or 0
+    return sorted(row[0] for row in counts.where(F.col("num") >= portion * total).select(key).collect())
 
 
-def join_on_seller(auctions: DataFrame, persons: DataFrame, salts: int, *more: Column) -> DataFrame:
-    """``auctions`` has seller (and auction_id if salted), ``persons`` has person_id."""
+def join_on_seller(auctions: DataFrame, persons: DataFrame, shares: Shares | None,
+                   *more: Column) -> DataFrame:
+    """``auctions`` has seller (and auction_id if in shares), ``persons`` has person_id."""
     on = F.col("seller") == F.col("person_id")
-    if salts > 1:
-        auctions = auctions.withColumn("auction_share", share_of(F.col("auction_id"), salts))
-        persons = persons.withColumn("person_share", every_share(salts))
+    if shares is not None:
+        auctions = auctions.withColumn("auction_share", shares.of(F.col("auction_id"), F.col("seller")))
+        persons = persons.withColumn("person_share", shares.every(F.col("person_id")))
         on = on & (F.col("auction_share") == F.col("person_share"))
     for condition in more:
         on = on & condition
@@ -35,7 +65,7 @@ def join_on_seller(auctions: DataFrame, persons: DataFrame, salts: int, *more: C
 
 
 def incremental_join(auctions: DataFrame, persons: DataFrame, within: str | None = None,
-                     salts: int = 1) -> DataFrame:
+                     shares: Shares | None = None) -> DataFrame:
     """Every auction with every record of its seller, over all history.
 
     A stream of it keeps both inputs for good. ``within`` bounds that: a pair must
@@ -53,7 +83,7 @@ def incremental_join(auctions: DataFrame, persons: DataFrame, within: str | None
                 F.col("auction_ts") <= F.col("person_ts") + reach]
     else:
         left, right = left.drop("auction_ts"), right.drop("person_ts")
-    return (join_on_seller(left, right, salts, *near)
+    return (join_on_seller(left, right, shares, *near)
             .select("name", "city", "state", "auction_id"))
 
 
@@ -113,4 +143,4 @@ def window_join(auctions: DataFrame, persons: DataFrame, size: str) -> DataFrame
     right = persons.select(F.col("id").alias("person_id"), "name",
                            bucket_start(F.unix_micros("ts"), width).alias("person_window"))
     same_window = F.col("auction_window") == F.col("person_window")
-    return join_on_seller(left, right, 1, same_window).select("person_id", "name", "reserve")
+    return join_on_seller(left, right, None, same_window).select("person_id", "name", "reserve")

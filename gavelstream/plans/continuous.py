@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 
 from gavelstream.operators import stateless
-from gavelstream.operators.joins import incremental_join
+from gavelstream.operators.joins import Shares, incremental_join
 from gavelstream.plans import defaults as d
 from gavelstream.plans.batch import currency_conversion, listed_bids, selected_bids
 from gavelstream.streaming import joins, lookup, sessions, windows
@@ -23,17 +23,18 @@ __all__ = ["bid_counts", "currency_conversion", "hot_items", "listed_bids", "loc
 
 def local_items(auctions: DataFrame, persons: DataFrame, category: int = d.LOCAL_CATEGORY,
                 states: Iterable[str] = d.LOCAL_STATES, within: str | None = None,
-                salts: int = 8) -> DataFrame:
+                shares: Shares | None = Shares()) -> DataFrame:
     """Query 3; without ``within`` both inputs stay in state for good."""
     return incremental_join(stateless.in_category(auctions, category),
-                            stateless.in_states(persons, states), within, salts)
+                            stateless.in_states(persons, states), within, shares)
 
 
 def local_items_latest(auctions: DataFrame, persons: DataFrame, category: int = d.LOCAL_CATEGORY,
-                       states: Iterable[str] = d.LOCAL_STATES, salts: int = 8) -> DataFrame:
+                       states: Iterable[str] = d.LOCAL_STATES,
+                       shares: Shares = Shares(4)) -> DataFrame:
     """Query 3 as a lookup of the seller's newest record."""
     return lookup.lookup_latest(stateless.in_category(auctions, category),
-                                stateless.in_states(persons, states), salts)
+                                stateless.in_states(persons, states), shares)
 
 
 def bid_counts(bids: DataFrame, size: str = d.HOT_ITEMS_SIZE,
@@ -47,15 +48,15 @@ def max_bid_count(bids: DataFrame, size: str = d.HOT_ITEMS_SIZE,
 
 
 def hot_items(bids: DataFrame, size: str = d.HOT_ITEMS_SIZE, slide: str = d.HOT_ITEMS_SLIDE,
-              salts: int = 8) -> DataFrame:
+              shares: Shares = Shares()) -> DataFrame:
     """Query 5."""
-    return windows.hot_items(bids, size, slide, salts)
+    return windows.hot_items(bids, size, slide, shares)
 
 
 def new_users(auctions: DataFrame, persons: DataFrame, size: str = d.NEW_USERS_SIZE,
-              salts: int = 8) -> DataFrame:
+              shares: Shares | None = Shares()) -> DataFrame:
     """Query 8."""
-    return joins.window_join(auctions, persons, size, salts)
+    return joins.window_join(auctions, persons, size, shares)
 
 
 def user_sessions(bids: DataFrame, gap: str = d.SESSION_GAP) -> DataFrame:

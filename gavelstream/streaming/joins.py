@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelstream.operators.joins import join_on_seller
+from gavelstream.operators.joins import Shares, join_on_seller
 
 
-def window_join(auctions: DataFrame, persons: DataFrame, size: str, salts: int = 8) -> DataFrame:
+def window_join(auctions: DataFrame, persons: DataFrame, size: str,
+                shares: Shares | None = None) -> DataFrame:
     """Auctions and their seller's records that fall into the same tumbling window.
 
     Both sides carry their window as a join key, by which Spark lets go of the state of
@@ -21,4 +22,4 @@ def window_join(auctions: DataFrame, persons: DataFrame, size: str, salts: int =
              .select(F.col("id").alias("person_id"), "name",
                      F.window("ts", size).alias("person_window")))
     same_window = F.col("auction_window") == F.col("person_window")
-    return join_on_seller(left, right, salts, same_window).select("person_id", "name", "reserve")
+    return join_on_seller(left, right, shares, same_window).select("person_id", "name", "reserve")

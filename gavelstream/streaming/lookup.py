@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from gavelstream.operators.joins import every_share, share_of
+from gavelstream.operators.joins import Shares
 
+PERSON = ("name", "city", "state")
 RESULT = "name string, city string, state string, auction_id long"
-ROWS_PER_FRAME = 50_000
+Local = Row(*PERSON, "auction_id")
 
 
 class LatestRecord(StatefulProcessor):
@@ -22,49 +23,43 @@ class LatestRecord(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.record = handle.getValueState("record", "name string, city string, state string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        people, auction_us, auction_ids = [], [], []
-        for frame in rows:
-            is_auction = frame["is_auction"].to_numpy()
-            auction_us.append(frame["us"].to_numpy()[is_auction])
-            auction_ids.append(frame["auction_id"].to_numpy()[is_auction])
-            people.append(frame.loc[~is_auction, ["us", "name", "city", "state"]])
-        people = pd.concat(people).sort_values(["us", "name", "city", "state"], ignore_index=True)
-        auction_us, auction_ids = np.concatenate(auction_us), np.concatenate(auction_ids)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        people, auction_us, auction_ids = [], array("q"), array("q")
+        for _, _, us, auction_id, is_auction, *person in rows:
+            if is_auction:
+                auction_us.append(us)
+                auction_ids.append(auction_id)
+            else:
+                people.append((us, person))
+        people.sort(key=lambda p: (p[0], ["" if text is None else text for text in p[1]]))
 
+        times = [us for us, _ in people]
         # position 0 stands for the record known before this micro-batch
-        known = self.record.get() if self.record.exists() else None
-        holder = np.searchsorted(people["us"].to_numpy(), auction_us, side="right")
-        records = pd.concat([
-            pd.DataFrame([known or (None, None, None)], columns=["name", "city", "state"]),
-            people[["name", "city", "state"]]], ignore_index=True)
-        if known is None:
-            auction_ids, holder = auction_ids[holder > 0], holder[holder > 0]
-        if len(people):
-            self.record.update(tuple(records.iloc[-1]))
-        for at in range(0, len(auction_ids), ROWS_PER_FRAME):
-            found = records.iloc[holder[at:at + ROWS_PER_FRAME]].reset_index(drop=True)
-            yield found.assign(auction_id=auction_ids[at:at + ROWS_PER_FRAME])
+        before = [self.record.get() if auction_us and (not times or min(auction_us) < times[0]) else None]
+        records = before + [person for _, person in people]
+        if people:
+            self.record.update(tuple(records[-1]))
+        for us, auction_id in zip(auction_us, auction_ids):
+            holder = records[bisect_right(times, us)]
+            if holder:
+                yield Local(*holder, auction_id)
 
 
-def lookup_latest(auctions: DataFrame, persons: DataFrame, salts: int = 8) -> DataFrame:
+def lookup_latest(auctions: DataFrame, persons: DataFrame, shares: Shares = Shares(4)) -> DataFrame:
     """Each auction with the last record of its seller that arrived before it.
 
     Within a micro-batch arrival is taken in order of event time, a person first at
-    equal times. Auctions without a record so far are dropped. A seller's auctions are
-    spread over ``salts`` groups, each of which keeps the seller's record.
+    equal times. Auctions without a record so far are dropped. Each share of a
+    seller keeps the seller's record.
     """
-    # no column that pandas would turn to float for its nulls: ids must stay exact
     complete = F.col("seller").isNotNull() & F.col("id").isNotNull() & F.col("ts").isNotNull()
     listed = auctions.where(complete).select(
-        F.col("seller").alias("id"), share_of(F.col("id"), salts).alias("share"),
-        F.unix_micros("ts").alias("us"), F.lit(True).alias("is_auction"),
-        F.col("id").alias("auction_id"),
-        *[F.lit(None).cast("string").alias(c) for c in ("name", "city", "state")])
+        F.col("seller").alias("id"), shares.of(F.col("id"), F.col("seller")).alias("share"),
+        F.unix_micros("ts").alias("us"), F.col("id").alias("auction_id"),
+        F.lit(True).alias("is_auction"), *[F.lit(None).cast("string").alias(c) for c in PERSON])
     known = persons.where(F.col("id").isNotNull() & F.col("ts").isNotNull()).select(
-        "id", every_share(salts).alias("share"), F.unix_micros("ts").alias("us"),
-        F.lit(False).alias("is_auction"), F.lit(0).cast("long").alias("auction_id"),
-        "name", "city", "state")
+        "id", shares.every(F.col("id")).alias("share"), F.unix_micros("ts").alias("us"),
+        F.lit(None).cast("long").alias("auction_id"), F.lit(False).alias("is_auction"), *PERSON)
     return (listed.unionByName(known)
             .groupBy("id", "share")
-            .transformWithStateInPandas(LatestRecord(), RESULT, "Append", "None"))
+            .transformWithState(LatestRecord(), RESULT, "Append", "None"))

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gavelstream.functions import epoch_millis, interval_micros
 
 RESULT = "bidder long, num long, end_ms_or_fire_ms long, is_final boolean"
+Firing = Row("bidder", "num", "end_ms_or_fire_ms", "is_final")
 OPEN_SESSIONS = ("first_us array<bigint>, last_us array<bigint>, num array<bigint>, "
                  "since_firing array<bigint>, timer_ms bigint")
 MERGED = "bidder long, ms long, num long, first_us long, last_us long"
@@ -61,9 +61,10 @@ class SessionFirings(StatefulProcessor):
         self.open = handle.getValueState("open", OPEN_SESSIONS)
 
     def _read(self) -> tuple[list[list[int]], int | None]:
-        if not self.open.exists():
+        held = self.open.get()
+        if not held:
             return [], None
-        *columns, timer_ms = self.open.get()
+        *columns, timer_ms = held
         return [list(session) for session in zip(*columns)], timer_ms
 
     def _write(self, sessions: list[list[int]], timer_ms: int | None) -> None:
@@ -76,17 +77,9 @@ class SessionFirings(StatefulProcessor):
             self.handle.registerTimer(timer_ms)
         self.open.update((*[list(column) for column in zip(*sessions)], timer_ms))
 
-    def _frame(self, bidder, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        if rows:
-            frame = pd.DataFrame(rows, columns=["num", "end_ms_or_fire_ms", "is_final"])
-            frame.insert(0, "bidder", bidder)
-            yield frame
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(rows).sort_values(["ms", "first_us"])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         sessions, timer_ms = self._read()
-        partials = []
-        for ms, num, first_us, last_us in arrived[["ms", "num", "first_us", "last_us"]].itertuples(index=False):
+        for ms, first_us, last_us, num in sorted((ms, first, last, num) for _, ms, num, first, last, _ in rows):
             near = [s for s in sessions[-1:] if first_us >= s[1] and first_us - s[1] <= self.gap_us]
             if near:
                 current = near[0]
@@ -95,11 +88,11 @@ class SessionFirings(StatefulProcessor):
             current[0], current[1] = min(current[0], first_us), max(current[1], last_us)
             due = max(1, self.max_events - current[3])
             fired = range(due, num + 1, self.max_events)
-            partials.extend((current[2] + at, ms, False) for at in fired)
+            for at in fired:
+                yield Firing(key[0], current[2] + at, ms, False)
             current[2] += num
             current[3] = num - fired[-1] if fired else current[3] + num
         self._write(sessions, self._earlier(sessions, timer_ms))
-        yield from self._frame(key[0], partials)
 
     def _meet(self, sessions, first_us, last_us):
         """The session that spans all sessions within reach of the row; new if there are none."""
@@ -120,12 +113,13 @@ class SessionFirings(StatefulProcessor):
             return None
         return timer_ms
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
         sessions, _ = self._read()
         ended = [s for s in sessions if s[1] + self.gap_us <= watermark_us]
         self._write([s for s in sessions if s[1] + self.gap_us > watermark_us], None)
-        yield from self._frame(key[0], [(s[2], (s[1] + self.gap_us) // 1000, True) for s in ended])
+        for _, last_us, num, _ in ended:
+            yield Firing(key[0], num, (last_us + self.gap_us) // 1000, True)
 
 
 def session_firings(bids: DataFrame, gap: str, max_events: int) -> DataFrame:
@@ -143,5 +137,5 @@ def session_firings(bids: DataFrame, gap: str, max_events: int) -> DataFrame:
                 .withColumn("ends", F.timestamp_micros(F.col("last_us") + gap_us))
                 .withWatermark("ends", f"{gap_us // 1000} milliseconds"))
     return (instants.groupBy("bidder")
-            .transformWithStateInPandas(SessionFirings(gap_us, max_events), RESULT,
+            .transformWithState(SessionFirings(gap_us, max_events), RESULT,
                                         "Append", "EventTime"))

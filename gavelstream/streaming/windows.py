@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelstream.functions import epoch_millis
-from gavelstream.operators.joins import every_share, share_of
+from gavelstream.operators.joins import Shares
 
 
 def _counts(bids: DataFrame, size: str, slide: str) -> DataFrame:
@@ -34,18 +34,18 @@ def window_max(bids: DataFrame, size: str, slide: str) -> DataFrame:
         "max_num", epoch_millis(F.col("window.end")).alias("window_end_ms"))
 
 
-def hot_items(bids: DataFrame, size: str, slide: str, salts: int = 8) -> DataFrame:
+def hot_items(bids: DataFrame, size: str, slide: str, shares: Shares = Shares()) -> DataFrame:
     """All auctions that reach their window's maximum, ties included.
 
     Counts and maxima meet on the event time of their window, by which Spark also lets
-    go of the join state. A window's counts are spread over ``salts`` tasks; only its
-    one-row maximum is repeated.
+    go of the join state. A window's counts are split into shares; only its one-row
+    maximum is repeated.
     """
     counts = _counts(bids, size, slide)
     peaks = _maxima(counts).select(F.window_time("window").alias("peak_time"), "max_num",
-                                   every_share(salts).alias("peak_share"))
+                                   shares.every(F.col("window")).alias("peak_share"))
     items = counts.select(F.window_time("window").alias("item_time"), "auction", "num",
-                          share_of(F.col("auction"), salts).alias("item_share"),
+                          shares.of(F.col("auction"), F.col("window")).alias("item_share"),
                           epoch_millis(F.col("window.end")).alias("window_end_ms"))
     reached = ((F.col("item_time") == F.col("peak_time"))
                & (F.col("item_share") == F.col("peak_share"))

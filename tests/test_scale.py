@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from gavelstream import schemas
+from gavelstream.operators.joins import hot_keys
 from gavelstream.plans import batch
 from gavelstream.sources import views
 
@@ -47,6 +48,12 @@ def test_third_of_the_rows_is_one_key(skewed):
     assert largest_group(skewed["bids"], "auction") > ROWS / 3
 
 
+def test_hot_keys_are_found(skewed):
+    assert hot_keys(skewed["bids"], "bidder", 0.3) == [1]
+    assert hot_keys(skewed["bids"], "auction", 0.3) == [5]
+    assert hot_keys(skewed["bids"].limit(0), "auction") == []
+
+
 def test_counts_combine_before_each_shuffle(skewed):
     plan = final_plan(batch.bid_counts(skewed["bids"]))
     assert plan.count("Exchange hashpartitioning") == 2

@@ -5,6 +5,7 @@ import random
 import pytest
 from conftest import add_file, auction_rows, bid_rows, millis, person_rows, rows, schema_of
 
+from gavelstream.operators.joins import Shares
 from gavelstream.plans import batch, continuous
 from gavelstream.session import scratch_dir
 from gavelstream.streaming.runner import run_discarding, run_to_table, start
@@ -51,9 +52,9 @@ def test_open_windows_are_held_back(stream, all_bids, name, size):
     assert all(r[size] > newest for r in set(expected) - set(result))
 
 
-def test_hot_items_need_no_salt(stream):
-    once = rows(run_to_table(continuous.hot_items(stream(*PARTS), salts=1), "one"))
-    assert once == rows(run_to_table(continuous.hot_items(stream(*PARTS), salts=5), "five"))
+def test_hot_items_need_no_shares(stream):
+    once = rows(run_to_table(continuous.hot_items(stream(*PARTS), shares=Shares(1)), "one"))
+    assert once == rows(run_to_table(continuous.hot_items(stream(*PARTS), shares=Shares(5)), "five"))
     assert once
 
 
@@ -84,12 +85,23 @@ def test_join_finds_pairs_across_batches_in_either_order(stream):
     assert [r[3] for r in rows(run_to_table(continuous.local_items(auctions, persons), "j"))] == [1, 2]
 
 
+@pytest.mark.parametrize("shares", [None, Shares(1), Shares(3, hot=[7])])
+def test_shares_do_not_change_joins(stream, table, shares):
+    auctions = [auction_rows(*[(i, 7 if i % 3 else i, 10, i, i) for i in range(s, s + 20)]) for s in (0, 20)]
+    persons = [person_rows(*[(i, f"n{i}", "Napa", "CA", i) for i in range(s, s + 20)]) for s in (0, 20)]
+    for name in ("local_items", "new_users"):
+        plain = getattr(batch, name)(table(auctions[0]).union(table(auctions[1])),
+                                     table(persons[0]).union(table(persons[1])))
+        streamed = getattr(continuous, name)(stream(*auctions), stream(*persons), shares=shares)
+        assert rows(run_to_table(streamed, name)) == rows(plain)
+
+
 def test_join_within_lets_go_of_old_state(stream):
     auctions = stream(*[auction_rows((i, 7, 10, 5, i * 100)) for i in range(4)])
     persons = stream(*[person_rows((*ANN, i * 100)) for i in range(4)])
-    bounded = continuous.local_items(auctions, persons, within="5 seconds", salts=2)
+    bounded = continuous.local_items(auctions, persons, within="5 seconds", shares=Shares(2))
     assert [r[3] for r in rows(run_to_table(bounded, "within"))] == [0, 1, 2, 3]
-    progress = run_discarding(continuous.local_items(auctions, persons, within="5 seconds", salts=2), "state")
+    progress = run_discarding(continuous.local_items(auctions, persons, within="5 seconds", shares=Shares(2)), "state")
     held = progress[-1]["stateOperators"][0]["numRowsTotal"]
     assert held <= 3  # the last auction once, the last person in each of two shares
 
@@ -97,20 +109,20 @@ def test_join_within_lets_go_of_old_state(stream):
 def test_window_join_lets_go_of_old_state(stream):
     auctions = stream(*[auction_rows((i, 7, 10, i, i * 100)) for i in range(4)])
     persons = stream(*[person_rows((*ANN, i * 100 + 1)) for i in range(4)])
-    assert [r[2] for r in rows(run_to_table(continuous.new_users(auctions, persons, salts=2), "w"))] == [0, 1, 2, 3]
-    progress = run_discarding(continuous.new_users(auctions, persons, salts=2), "state")
+    assert [r[2] for r in rows(run_to_table(continuous.new_users(auctions, persons, shares=Shares(2)), "w"))] == [0, 1, 2, 3]
+    progress = run_discarding(continuous.new_users(auctions, persons, shares=Shares(2)), "state")
     assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 3
 
 
-@pytest.mark.parametrize("salts", [1, 8])
-def test_lookup_keeps_the_record_between_batches(stream, salts):
+@pytest.mark.parametrize("shares", [Shares(1), Shares(8), Shares(8, hot=[7]), Shares(8, hot=[3])])
+def test_lookup_keeps_the_record_between_batches(stream, shares):
     auctions = stream(auction_rows((1, 7, 10, 5, 0), (2, 7, 10, 5, 8)),
                       auction_rows((3, 7, 10, 5, 12), (4, 7, 10, 5, 20), (5, 8, 10, 5, 20)),
                       auction_rows((6, 7, 10, 5, 30)))
     persons = stream(person_rows((*ANN, 5)),
                      person_rows((7, "Ann", "Boise", "ID", 15), (7, "Ann", "Reno", "WA", 16)),
                      person_rows((7, "Ann", "Napa", "CA", 30)))
-    result = rows(run_to_table(continuous.local_items_latest(auctions, persons, salts=salts), "l"))
+    result = rows(run_to_table(continuous.local_items_latest(auctions, persons, shares=shares), "l"))
     assert {r[3]: r[1] for r in result} == {2: "Salem", 3: "Salem", 4: "Boise", 6: "Napa"}
 
 
