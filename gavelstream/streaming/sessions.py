@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from gavelstream.functions import epoch_millis, interval_micros
+from gavelstream.functions import bucket_start, epoch_millis, interval_micros
 
 RESULT = "bidder long, num long, end_ms_or_fire_ms long, is_final boolean"
 Firing = Row("bidder", "num", "end_ms_or_fire_ms", "is_final")
 OPEN_SESSIONS = ("first_us array<bigint>, last_us array<bigint>, num array<bigint>, "
                  "since_firing array<bigint>, timer_ms bigint")
-MERGED = "bidder long, ms long, num long, first_us long, last_us long"
-ROWS_PER_MERGE = 500_000
+PACKED = ("bidder long, last_us long, ms array<long>, num array<long>, "
+          "first_us_of array<long>, last_us_of array<long>")
+ROWS_PER_PACK = 500_000
 
 
 def session_counts(bids: DataFrame, gap: str) -> DataFrame:
@@ -30,23 +31,27 @@ def session_counts(bids: DataFrame, gap: str) -> DataFrame:
                     F.col("last_bid.auction").alias("last_auction")))
 
 
-def _merge_by_instant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bids of a bidder in the same millisecond as one row, ahead of the shuffle."""
-    def merged(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).group_by(["bidder", "ms"]).aggregate(
-            [("us", "count"), ("us", "min"), ("us", "max")])
-        named = table.select(["bidder", "ms", "us_count", "us_min", "us_max"])
-        yield from named.rename_columns(["bidder", "ms", "num", "first_us", "last_us"]).to_batches()
+def _pack(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    instants = pa.Table.from_batches(held).group_by(["bidder", "pane", "ms"], use_threads=False).aggregate(
+        [("us", "count"), ("us", "min"), ("us", "max")])
+    packed = instants.group_by(["bidder", "pane"], use_threads=False).aggregate(
+        [("us_max", "max"), ("ms", "list"), ("us_count", "list"), ("us_min", "list"), ("us_max", "list")])
+    named = packed.select(["bidder", "us_max_max", "ms_list", "us_count_list", "us_min_list", "us_max_list"])
+    yield from named.rename_columns(
+        ["bidder", "last_us", "ms", "num", "first_us_of", "last_us_of"]).to_batches()
 
+
+def _pack_by_pane(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bids of a bidder and pane as one row, counted by millisecond, ahead of the shuffle."""
     held, rows = [], 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows >= ROWS_PER_MERGE:
-            yield from merged(held)
+        if rows >= ROWS_PER_PACK:
+            yield from _pack(held)
             held, rows = [], 0
     if held:
-        yield from merged(held)
+        yield from _pack(held)
 
 
 class SessionFirings(StatefulProcessor):
@@ -79,13 +84,14 @@ class SessionFirings(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         sessions, timer_ms = self._read()
-        for ms, first_us, last_us, num in sorted((ms, first, last, num) for _, ms, num, first, last, _ in rows):
-            near = [s for s in sessions[-1:] if first_us >= s[1] and first_us - s[1] <= self.gap_us]
-            if near:
-                current = near[0]
-            else:
-                current, sessions = self._meet(sessions, first_us, last_us)
-            current[0], current[1] = min(current[0], first_us), max(current[1], last_us)
+        arrived = sorted(instant for _, _, ms, num, first, last, _ in rows for instant in zip(ms, first, last, num))
+        for ms, first_us, last_us, num in arrived:
+            if not sessions or first_us - sessions[-1][1] > self.gap_us:
+                sessions.append([first_us, last_us, 0, 0])
+            elif first_us < sessions[-1][0]:
+                sessions = self._joined(sessions, first_us, last_us)
+            current = next(s for s in reversed(sessions) if s[0] <= first_us)
+            current[1] = max(current[1], last_us)
             due = max(1, self.max_events - current[3])
             fired = range(due, num + 1, self.max_events)
             for at in fired:
@@ -94,16 +100,14 @@ class SessionFirings(StatefulProcessor):
             current[3] = num - fired[-1] if fired else current[3] + num
         self._write(sessions, self._earlier(sessions, timer_ms))
 
-    def _meet(self, sessions, first_us, last_us):
-        """The session that spans all sessions within reach of the row; new if there are none."""
-        def reached(s):
-            return first_us - s[1] <= self.gap_us and s[0] - last_us <= self.gap_us
-
-        touched = [s for s in sessions if reached(s)] or [[first_us, last_us, 0, 0]]
-        current = [min(s[0] for s in touched), max(s[1] for s in touched),
-                   sum(s[2] for s in touched), sum(s[3] for s in touched)]
-        rest = [s for s in sessions if not reached(s)]
-        return current, sorted([*rest, current], key=lambda s: s[0])
+    def _joined(self, sessions, first_us, last_us):
+        """The sessions after a late row has joined all it reaches, or opened one of its own."""
+        before = [s for s in sessions if first_us - s[1] > self.gap_us]
+        after = [s for s in sessions if s[0] - last_us > self.gap_us]
+        reached = sessions[len(before):len(sessions) - len(after)]
+        joined = [min([first_us, *(s[0] for s in reached)]), max([last_us, *(s[1] for s in reached)]),
+                  sum(s[2] for s in reached), sum(s[3] for s in reached)]
+        return [*before, joined, *after]
 
     def _earlier(self, sessions, timer_ms):
         """The standing timer, unless a session has come up that may end before it."""
@@ -125,17 +129,20 @@ class SessionFirings(StatefulProcessor):
 def session_firings(bids: DataFrame, gap: str, max_events: int) -> DataFrame:
     """Running count at each ``max_events``-th bid of a session, and its total at the end.
 
-    Bids are merged by bidder and millisecond inside each map task, which bounds what
-    a hot bidder sends to its one task. A bid is late once the session it would open by
-    itself is over, so the watermark is taken from that end, set back by the gap.
+    Inside each map task a bidder's bids within a pane as long as the gap, which share a
+    session, become one row with a count per millisecond; that bounds what a hot bidder
+    sends to its one task. A row is late once the session it would open by itself is
+    over, so the watermark is taken from that end, set back by the gap.
     """
     gap_us = interval_micros(gap)
-    instants = (bids.where(F.col("ts").isNotNull())
-                .select("bidder", epoch_millis(F.col("ts")).alias("ms"),
-                        F.unix_micros("ts").alias("us"))
-                .mapInArrow(_merge_by_instant, MERGED)
-                .withColumn("ends", F.timestamp_micros(F.col("last_us") + gap_us))
-                .withWatermark("ends", f"{gap_us // 1000} milliseconds"))
-    return (instants.groupBy("bidder")
-            .transformWithState(SessionFirings(gap_us, max_events), RESULT,
-                                        "Append", "EventTime"))
+    if gap_us % 1000:
+        raise ValueError("the gap must be in whole milliseconds")
+    us = F.unix_micros("ts")
+    packed = (bids.where(F.col("ts").isNotNull())
+              .select("bidder", bucket_start(us, gap_us).alias("pane"),
+                      epoch_millis(F.col("ts")).alias("ms"), us.alias("us"))
+              .mapInArrow(_pack_by_pane, PACKED)
+              .withColumn("ends", F.timestamp_micros(F.col("last_us") + gap_us))
+              .withWatermark("ends", f"{gap_us // 1000} milliseconds"))
+    return (packed.groupBy("bidder")
+            .transformWithState(SessionFirings(gap_us, max_events), RESULT, "Append", "EventTime"))

@@ -157,6 +157,15 @@ def test_firing_at_late_bid_counts_the_joined_session(stream):
     assert got == [(5, 3, millis(9), False), (5, 3, millis(25), True)]
 
 
+def test_late_bids_open_extend_and_join_sessions_in_any_order(stream):
+    times = [0, 3, 8, 21, 30, 40.5, 41, 55, 56, 56.5, 70]
+    first = bid_rows(*[(1, 5, 1, t) for t in random.Random(4).sample(times, len(times))])
+    second = bid_rows(*[(1, 5, 1, t) for t in (61.5, 64, 80, 75)])
+    assert firings(stream, first, second, max_events=100) == [
+        (5, 2, millis(40), True), (5, 2, millis(51), True), (5, 3, millis(18), True),
+        (5, 8, millis(90), True)]
+
+
 def test_run_goes_on_from_its_checkpoint(streams, stream):
     checkpoint, output = scratch_dir(streams, "checkpoint"), scratch_dir(streams, "output")
     source = stream(PARTS[0])
