@@ -18,7 +18,8 @@ from gavelstream.streaming.runner import run_to_table
 Query = Callable[[SparkSession, str], DataFrame]
 Reader = Callable[[str], DataFrame]
 
-SIZE, SLIDE, GAP, MAX_EVENTS, CHUNK = "10 hours", "2 hours", "10 hours", 5, "1 day"
+SIZE, SLIDE, GAP, MAX_EVENTS = "10 hours", "2 hours", "10 hours", 5
+CHUNK, WITHIN = "1 day", "2 days"
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -38,6 +39,10 @@ def _order_auctions(table: Reader) -> DataFrame:
     return warehouse.auctions_from_orders(table("orders"))
 
 
+def _announcements(table: Reader) -> DataFrame:
+    return warehouse.announcements_from_events(table("events"))
+
+
 def _event_auctions(table: Reader) -> DataFrame:
     return warehouse.auctions_from_events(table("events"))
 
@@ -71,20 +76,28 @@ def queries() -> dict[str, Query]:
         "q2_filter_mod": lambda t: batch.selected_bids(_line_bids(t)),
         "q2_filter_in": lambda t: batch.listed_bids(_line_bids(t)),
         "q3_local_items": lambda t: batch.local_items(_order_auctions(t), _customers(t)),
-        "q3_local_items_dedup": lambda t: batch.local_items_distinct(_order_auctions(t), _customers(t)),
+        "q3_local_items_dedup": lambda t: batch.local_items_distinct(_announcements(t), _customers(t)),
+        "q3_local_items_within": lambda t: batch.local_items(_event_auctions(t), _signups(t), within=WITHIN),
         "q3_lookup_latest": lambda t: batch.local_items_latest(_event_auctions(t), _signups(t), chunk=CHUNK),
         "q5_window_counts": lambda t: batch.bid_counts(_event_bids(t), SIZE, SLIDE),
         "q5_window_max": lambda t: batch.max_bid_count(_event_bids(t), SIZE, SLIDE),
         "q5_hot_items": lambda t: batch.hot_items(_event_bids(t), SIZE, SLIDE),
         "q5_hot_items_join": lambda t: batch.hot_items_of_two(_event_bids(t), _event_bids(t), SIZE, SLIDE),
+        "q5_hot_items_last_hour": lambda t: batch.hot_items(_event_bids(t), "60 minutes", "1 minute"),
         "q8_new_users": lambda t: batch.new_users(_event_auctions(t), _signups(t), SIZE),
+        "q8_new_users_half_day": lambda t: batch.new_users(_event_auctions(t), _signups(t), "12 hours"),
         "q11_sessions": lambda t: batch.user_sessions(_event_bids(t), GAP),
         "q11_session_firings": lambda t: batch.session_firings(_event_bids(t), GAP, MAX_EVENTS),
     }
     streamed = {
         "stream_q1_currency": lambda s, t: continuous.currency_conversion(_line_bids(s)),
         "stream_q2_filter_mod": lambda s, t: continuous.selected_bids(_line_bids(s)),
+        "stream_q2_filter_in": lambda s, t: continuous.listed_bids(_line_bids(s)),
         "stream_q3_local_items": lambda s, t: continuous.local_items(_order_auctions(s), _customers(s, t)),
+        "stream_q3_local_items_dedup": lambda s, t: continuous.local_items_distinct(
+            _announcements(s), _customers(s, t)),
+        "stream_q3_local_items_within": lambda s, t: continuous.local_items(
+            _event_auctions(s), _signups(s, t), within=WITHIN),
         "stream_q3_lookup_latest": lambda s, t: continuous.local_items_latest(_event_auctions(s), _signups(s, t)),
         "stream_q5_window_counts": lambda s, t: continuous.bid_counts(_event_bids(s), SIZE, SLIDE),
         "stream_q5_window_max": lambda s, t: continuous.max_bid_count(_event_bids(s), SIZE, SLIDE),
@@ -133,13 +146,19 @@ person AS (
   SELECT id, name, city, state, ts
   FROM events JOIN placed ON user_id = id WHERE event_type = 'signup')"""
 
-_COUNTS = _BID_E + """,
+
+
+def _counts(size: str, slide: str, steps: int) -> str:
+    return _BID_E + f""",
 counts AS (
-  SELECT auction, count(*) AS num, epoch_us(start + INTERVAL 10 HOUR) // 1000 AS window_end_ms
-  FROM (SELECT auction, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 2 HOUR * back AS start
-        FROM bid, range(5) AS step(back))
+  SELECT auction, count(*) AS num, epoch_us(start + INTERVAL {size}) // 1000 AS window_end_ms
+  FROM (SELECT auction, time_bucket(INTERVAL {slide}, ts, TIMESTAMP '1970-01-01') - INTERVAL {slide} * back AS start
+        FROM bid, range({steps}) AS step(back))
   GROUP BY auction, start)"""
 
+
+_COUNTS = _counts("10 HOUR", "2 HOUR", 5)
+
 # a stream's watermark: the newest event time cut to milliseconds (epoch_ms would round)
 _WATERMARK_MS = "(SELECT epoch_us(max(ts)) // 1000 FROM bid)"
 _COUNTS_CLOSED = _COUNTS + f""",
@@ -174,10 +193,18 @@ SELECT auction, price FROM bid
 WHERE auction % 1007 = 0 OR auction % 1020 = 0 OR auction % 2001 = 0
    OR auction % 2019 = 0 OR auction % 2087 = 0"""
 
+_Q2_IN = f"""WITH {_BID_L}
+SELECT auction, price FROM bid WHERE auction IN (1007, 1020, 2001, 2019, 2087)"""
+
 _Q3 = f"""WITH {_AUCTION_O}, {_CUSTOMER}
-SELECT name, city, state, a.id AS auction_id FROM {{listings}} a JOIN placed p ON a.seller = p.id
+SELECT name, city, state, a.id AS auction_id FROM auction a JOIN placed p ON a.seller = p.id
 WHERE category = 10 AND state IN ('OR', 'ID', 'CA')"""
 
+_Q3_DEDUP = f"""WITH {_BID_E}, {_CUSTOMER}
+SELECT name, city, state, a.auction AS auction_id
+FROM (SELECT DISTINCT bidder, auction FROM bid WHERE 10 + auction % 5 = 10) a
+JOIN placed p ON a.bidder = p.id WHERE state IN ('OR', 'ID', 'CA')"""
+
 _Q3_LATEST = f"""WITH {_AUCTION_E}, {_PERSON_E}
 SELECT name, city, state, a.id AS auction_id
 FROM (SELECT * FROM auction WHERE category = 10) a
@@ -192,11 +219,16 @@ _HOT_JOIN = """SELECT c.auction, c.num, c.window_end_ms
 FROM counts c JOIN (SELECT max(num) AS max_num, window_end_ms FROM counts GROUP BY window_end_ms) m
   ON c.window_end_ms = m.window_end_ms AND c.num >= m.max_num"""
 
+_Q3_WITHIN = f"""WITH {_AUCTION_E}, {_PERSON_E}
+SELECT name, city, state, a.id AS auction_id FROM auction a JOIN person p ON a.seller = p.id
+ AND a.ts BETWEEN p.ts - INTERVAL 2 DAY AND p.ts + INTERVAL 2 DAY
+WHERE category = 10 AND state IN ('OR', 'ID', 'CA')"""
+
 _Q8 = f"""WITH {_AUCTION_E}, {_PERSON_E}
 SELECT p.id AS person_id, name, reserve FROM auction a JOIN person p
   ON a.seller = p.id
- AND time_bucket(INTERVAL 10 HOUR, a.ts, TIMESTAMP '1970-01-01')
-   = time_bucket(INTERVAL 10 HOUR, p.ts, TIMESTAMP '1970-01-01')"""
+ AND time_bucket(INTERVAL {{size}}, a.ts, TIMESTAMP '1970-01-01')
+   = time_bucket(INTERVAL {{size}}, p.ts, TIMESTAMP '1970-01-01')"""
 
 _SESSIONS = "SELECT bidder, num, start_ms, end_ms, last_auction FROM sessions"
 _FIRINGS = """SELECT bidder, num, end_ms_or_fire_ms, false AS is_final FROM partials
@@ -207,26 +239,31 @@ def oracle_sql() -> dict[str, str]:
     return {
         "q1_currency": _Q1,
         "q2_filter_mod": _Q2_MOD,
-        "q2_filter_in": f"WITH {_BID_L} SELECT auction, price FROM bid "
-                        "WHERE auction IN (1007, 1020, 2001, 2019, 2087)",
-        "q3_local_items": _Q3.format(listings="auction"),
-        "q3_local_items_dedup": _Q3.format(listings="(SELECT DISTINCT seller, id, category FROM auction)"),
+        "q2_filter_in": _Q2_IN,
+        "q3_local_items": _Q3,
+        "q3_local_items_dedup": _Q3_DEDUP,
+        "q3_local_items_within": _Q3_WITHIN,
         "q3_lookup_latest": _Q3_LATEST,
         "q5_window_counts": f"WITH {_COUNTS} SELECT auction, num, window_end_ms FROM counts",
         "q5_window_max": f"WITH {_COUNTS} {_MAX.format(counts='counts')}",
         "q5_hot_items": f"WITH {_COUNTS} {_HOT.format(counts='counts')}",
         "q5_hot_items_join": f"WITH {_COUNTS} {_HOT_JOIN}",
-        "q8_new_users": _Q8,
+        "q5_hot_items_last_hour": f"WITH {_counts('60 MINUTE', '1 MINUTE', 60)} {_HOT.format(counts='counts')}",
+        "q8_new_users": _Q8.format(size="10 HOUR"),
+        "q8_new_users_half_day": _Q8.format(size="12 HOUR"),
         "q11_sessions": f"WITH {_SESSION_BIDS} {_SESSIONS}",
         "q11_session_firings": f"WITH {_SESSION_BIDS} {_FIRINGS}",
         "stream_q1_currency": _Q1,
         "stream_q2_filter_mod": _Q2_MOD,
-        "stream_q3_local_items": _Q3.format(listings="auction"),
+        "stream_q2_filter_in": _Q2_IN,
+        "stream_q3_local_items": _Q3,
+        "stream_q3_local_items_dedup": _Q3_DEDUP,
+        "stream_q3_local_items_within": _Q3_WITHIN,
         "stream_q3_lookup_latest": _Q3_LATEST,
         "stream_q5_window_counts": f"WITH {_COUNTS_CLOSED} SELECT auction, num, window_end_ms FROM closed",
         "stream_q5_window_max": f"WITH {_COUNTS_CLOSED} {_MAX.format(counts='closed')}",
         "stream_q5_hot_items": f"WITH {_COUNTS_CLOSED} {_HOT.format(counts='closed')}",
-        "stream_q8_new_users": _Q8,
+        "stream_q8_new_users": _Q8.format(size="10 HOUR"),
         "stream_q11_sessions": f"WITH {_SESSION_BIDS} {_SESSIONS} {_CLOSED_SESSION}",
         "stream_q11_session_firings": f"WITH {_SESSION_BIDS} {_FIRINGS} {_CLOSED_SESSION}",
     }

@@ -17,8 +17,8 @@ from gavelstream.plans.batch import currency_conversion, listed_bids, selected_b
 from gavelstream.streaming import joins, lookup, sessions, windows
 
 __all__ = ["bid_counts", "currency_conversion", "hot_items", "listed_bids", "local_items",
-           "local_items_latest", "max_bid_count", "new_users", "selected_bids",
-           "session_firings", "user_sessions"]
+           "local_items_distinct", "local_items_latest", "max_bid_count", "new_users",
+           "selected_bids", "session_firings", "user_sessions"]
 
 
 def local_items(auctions: DataFrame, persons: DataFrame, category: int = d.LOCAL_CATEGORY,
@@ -29,6 +29,15 @@ def local_items(auctions: DataFrame, persons: DataFrame, category: int = d.LOCAL
                             stateless.in_states(persons, states), within, shares)
 
 
+def local_items_distinct(auctions: DataFrame, persons: DataFrame,
+                         category: int = d.LOCAL_CATEGORY,
+                         states: Iterable[str] = d.LOCAL_STATES,
+                         shares: Shares | None = Shares()) -> DataFrame:
+    """Query 3 with repeated announcements of an auction taken once."""
+    announced = stateless.in_category(auctions, category).dropDuplicates(["seller", "id"])
+    return incremental_join(announced, stateless.in_states(persons, states), shares=shares)
+
+
 def local_items_latest(auctions: DataFrame, persons: DataFrame, category: int = d.LOCAL_CATEGORY,
                        states: Iterable[str] = d.LOCAL_STATES,
                        shares: Shares = Shares(4)) -> DataFrame:
@@ -48,7 +57,7 @@ def max_bid_count(bids: DataFrame, size: str = d.HOT_ITEMS_SIZE,
 
 
 def hot_items(bids: DataFrame, size: str = d.HOT_ITEMS_SIZE, slide: str = d.HOT_ITEMS_SLIDE,
-              shares: Shares = Shares()) -> DataFrame:
+              shares: int = 8) -> DataFrame:
     """Query 5."""
     return windows.hot_items(bids, size, slide, shares)
 

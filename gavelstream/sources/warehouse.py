@@ -50,6 +50,13 @@ def auctions_from_events(events: DataFrame) -> DataFrame:
                           reserve=_cents("value"))
 
 
+def announcements_from_events(events: DataFrame) -> DataFrame:
+    """An announcement of auction k by the event's user, again with each event on it."""
+    key = F.get_json_object("props", BID_KEY_PATH).cast("long")
+    return views.auctions(events, id=key, seller="user_id", category=F.lit(10) + key % 5,
+                          reserve=_cents("value"))
+
+
 def persons_from_events(events: DataFrame, customers: DataFrame) -> DataFrame:
     """One person record for each sign-up, described by the customer of that id."""
     signups = events.where(F.col("event_type") == "signup").select("user_id", "ts")

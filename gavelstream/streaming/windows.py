@@ -34,18 +34,19 @@ def window_max(bids: DataFrame, size: str, slide: str) -> DataFrame:
         "max_num", epoch_millis(F.col("window.end")).alias("window_end_ms"))
 
 
-def hot_items(bids: DataFrame, size: str, slide: str, shares: Shares = Shares()) -> DataFrame:
+def hot_items(bids: DataFrame, size: str, slide: str, shares: int = 8) -> DataFrame:
     """All auctions that reach their window's maximum, ties included.
 
     Counts and maxima meet on the event time of their window, by which Spark also lets
     go of the join state. A window's counts are split into shares; only its one-row
     maximum is repeated.
     """
+    split = Shares(shares)
     counts = _counts(bids, size, slide)
     peaks = _maxima(counts).select(F.window_time("window").alias("peak_time"), "max_num",
-                                   shares.every(F.col("window")).alias("peak_share"))
+                                   split.every(F.col("window")).alias("peak_share"))
     items = counts.select(F.window_time("window").alias("item_time"), "auction", "num",
-                          shares.of(F.col("auction"), F.col("window")).alias("item_share"),
+                          split.of(F.col("auction"), F.col("window")).alias("item_share"),
                           epoch_millis(F.col("window.end")).alias("window_end_ms"))
     reached = ((F.col("item_time") == F.col("peak_time"))
                & (F.col("item_share") == F.col("peak_share"))

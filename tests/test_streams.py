@@ -53,8 +53,8 @@ def test_open_windows_are_held_back(stream, all_bids, name, size):
 
 
 def test_hot_items_need_no_shares(stream):
-    once = rows(run_to_table(continuous.hot_items(stream(*PARTS), shares=Shares(1)), "one"))
-    assert once == rows(run_to_table(continuous.hot_items(stream(*PARTS), shares=Shares(5)), "five"))
+    once = rows(run_to_table(continuous.hot_items(stream(*PARTS), shares=1), "one"))
+    assert once == rows(run_to_table(continuous.hot_items(stream(*PARTS), shares=5), "five"))
     assert once
 
 
@@ -85,6 +85,12 @@ def test_join_finds_pairs_across_batches_in_either_order(stream):
     assert [r[3] for r in rows(run_to_table(continuous.local_items(auctions, persons), "j"))] == [1, 2]
 
 
+def test_repeated_announcement_counts_once(stream):
+    auctions = stream(auction_rows((1, 7, 10, 5, 0), (1, 7, 10, 5, 1)), auction_rows((1, 7, 10, 5, 9), (2, 7, 10, 5, 9)))
+    persons = stream(person_rows((*ANN, 5)))
+    assert [r[3] for r in rows(run_to_table(continuous.local_items_distinct(auctions, persons), "once"))] == [1, 2]
+
+
 @pytest.mark.parametrize("shares", [None, Shares(1), Shares(3, hot=[7])])
 def test_shares_do_not_change_joins(stream, table, shares):
     auctions = [auction_rows(*[(i, 7 if i % 3 else i, 10, i, i) for i in range(s, s + 20)]) for s in (0, 20)]
