@@ -143,6 +143,14 @@ def test_session_reports_highest_auction_of_its_last_instant(table):
     assert rows(batch.user_sessions(bids)) == [(5, 4, millis(0), millis(13), 6)]
 
 
+@pytest.mark.parametrize("auction", [0, -1, 5, 2**63 - 1, -2**63])
+@pytest.mark.parametrize("second", [0, 0.000001, -2e9])
+def test_session_keeps_any_auction_id_exact(table, auction, second):
+    lower = max(auction - 1, -2**63)
+    bids = table(bid_rows((auction, 5, 1, second), (lower, 5, 1, second), (2**63 - 1, 5, 1, second - 0.000001)))
+    assert [r.last_auction for r in batch.user_sessions(bids).collect()] == [auction]
+
+
 def test_session_of_ten_fires_at_five_and_ten(table):
     bids = table(bid_rows(*[(1, 5, 1, i) for i in range(10)]))
     assert rows(batch.session_firings(bids, max_events=5)) == [
