@@ -10,25 +10,40 @@ from pyspark.sql import functions as F
 from gavelstream.functions import bucket_start, interval_micros
 
 
+# stretches are this many windows long
+STRETCH = 16
+
+
 def window_counts(bids: DataFrame, size: str, slide: str) -> DataFrame:
     """Bids per auction and sliding window, as (auction, num, window_end_ms).
 
-    Bids are first counted in panes, the widest slices that no window edge cuts, and
-    only a pane's one row per auction is then copied into the windows that cover it.
-    Both counts combine map-side, so a hot auction costs one row per pane and task.
+    Bids are first counted in panes, the widest slices that no window edge cuts, with
+    partial counts map-side: a hot auction costs one row per pane and task. Panes are
+    then brought together by stretches of window starts, and copied into the windows
+    that cover them only there, so the copies are never shuffled. A pane near the end of
+    a stretch goes to two. The partitions are not left to AQE, which would merge them by
+    their size ahead of the copying.
     """
     size_us, slide_us = interval_micros(size), interval_micros(slide)
     if slide_us > size_us:
         raise ValueError("the slide must not be longer than the window")
     pane_us = gcd(size_us, slide_us)
-    pane = F.col("pane")
+    stretch_us = STRETCH * slide_us * -(-size_us // slide_us)
+    pane, stretch = F.col("pane"), F.col("stretch")
     first_start = -bucket_start(-(pane + pane_us - size_us), slide_us)
-    starts = F.sequence(first_start, bucket_start(pane, slide_us), F.lit(slide_us))
+    last_start = bucket_start(pane, slide_us)
+    stretches = F.sequence(bucket_start(first_start, stretch_us), bucket_start(last_start, stretch_us),
+                           F.lit(stretch_us))
+    starts = F.sequence(F.greatest(first_start, stretch),
+                        F.least(last_start, stretch + stretch_us - slide_us), F.lit(slide_us))
+    partitions = int(bids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (bids.where(F.col("ts").isNotNull())
             .select("auction", bucket_start(F.unix_micros("ts"), pane_us).alias("pane"))
             .groupBy("auction", "pane").agg(F.count(F.lit(1)).alias("num"))
-            .select("auction", "num", F.explode(starts).alias("start"))
-            .groupBy("auction", "start").agg(F.sum("num").alias("num"))
+            .withColumn("stretch", F.explode(stretches))
+            .repartition(partitions, "auction", "stretch")
+            .withColumn("start", F.explode(starts))
+            .groupBy("auction", "stretch", "start").agg(F.sum("num").alias("num"))
             .select("auction", "num",
                     F.unix_millis(F.timestamp_micros(F.col("start") + size_us)).alias("window_end_ms")))
 

@@ -94,7 +94,8 @@ def test_bid_on_a_slide_edge_is_in_five_windows(table):
 
 
 @pytest.mark.parametrize("size, slide", [("10 seconds", "3 seconds"), ("5 seconds", "5 seconds"),
-                                         ("7 seconds", "2 seconds"), ("90 seconds", "1 minute")])
+                                         ("7 seconds", "2 seconds"), ("90 seconds", "1 minute"),
+                                         ("1 second", "250 milliseconds")])
 def test_windows_follow_the_engine_s_own(spark, table, size, slide):
     from pyspark.sql import functions as F
     bids = table(bid_rows(*[(i % 3, 1, 1, i * 0.75 - 20) for i in range(80)]))

@@ -54,11 +54,12 @@ def test_hot_keys_are_found(skewed):
     assert hot_keys(skewed["bids"].limit(0), "auction") == []
 
 
-def test_counts_combine_before_each_shuffle(skewed):
+def test_counts_combine_before_the_shuffle_and_copy_after_it(skewed):
     plan = final_plan(batch.bid_counts(skewed["bids"]))
     assert plan.count("Exchange hashpartitioning") == 2
-    for keys, combined in re.findall(r"Exchange hashpartitioning\((.*?), \d+\).*?\n[^\n]*HashAggregate\(keys=.*?functions=\[(\w+)\(", plan):
-        assert combined.startswith("partial_"), keys
+    into_windows, rest = plan.split("Exchange hashpartitioning(auction", 1)
+    assert "explode(sequence(greatest" in into_windows and "REPARTITION_BY_NUM" in rest
+    assert "partial_count" in rest.split("Exchange hashpartitioning(auction", 1)[1]
 
 
 def test_hot_items_count_once_and_sort_no_window_in_one_task(skewed):
