@@ -15,6 +15,15 @@ from gavelstream.session import streaming_session
 from gavelstream.sources import read_stream, read_table, warehouse
 from gavelstream.streaming.runner import run_to_table
 
+try:
+    import corpus_pipeline
+    from gavelstream.llm import queries as llm
+except ModuleNotFoundError as missing:
+    # the training-data operators are optional as a whole
+    if missing.name not in ("corpus_pipeline", "gavelstream.llm"):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 Reader = Callable[[str], DataFrame]
 
@@ -106,8 +115,9 @@ def queries() -> dict[str, Query]:
         "stream_q11_sessions": lambda s, t: continuous.user_sessions(_event_bids(s), GAP),
         "stream_q11_session_firings": lambda s, t: continuous.session_firings(_event_bids(s), GAP, MAX_EVENTS),
     }
-    return {**{name: _batch(build) for name, build in single.items()},
-            **{name: _stream(name, build) for name, build in streamed.items()}}
+    found = {**{name: _batch(build) for name, build in single.items()},
+             **{name: _stream(name, build) for name, build in streamed.items()}}
+    return found if llm is None else {**found, **llm.queries(), "pipeline": corpus_pipeline.run}
 
 
 _BID_E = """
@@ -236,7 +246,7 @@ UNION ALL SELECT bidder, num, end_ms, true FROM sessions"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    found = {
         "q1_currency": _Q1,
         "q2_filter_mod": _Q2_MOD,
         "q2_filter_in": _Q2_IN,
@@ -267,3 +277,4 @@ def oracle_sql() -> dict[str, str]:
         "stream_q11_sessions": f"WITH {_SESSION_BIDS} {_SESSIONS} {_CLOSED_SESSION}",
         "stream_q11_session_firings": f"WITH {_SESSION_BIDS} {_FIRINGS} {_CLOSED_SESSION}",
     }
+    return found if llm is None else {**found, **llm.oracle_sql()}
