@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelstream.llm import decontaminate, mixing, pii, quality, simhash
+from gavelstream.llm import ann, decontaminate, html_extract, mixing, pii, quality, simhash, url_filter
 from gavelstream.llm.common import freed_shuffles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, _table(spark, sf_dir, "labels").where(~held_out()))
@@ -42,12 +47,26 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: What is allowed and blocked whatever the words say.
+RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES, url_filter.example_model())
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op3_quality, op5_simhash, op7_mixing, op9_decontamination)}
+    return {f.__name__: f for f in (op1_pii, op2_html, op3_quality, op5_simhash, op7_mixing, op8_urls, op9_decontamination,
+                                    op10_neighbours)}
 
 
 _OP7 = r"""
