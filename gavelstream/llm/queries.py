@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelstream.llm import ann, decontaminate, html_extract, mixing, pii, quality, simhash, url_filter
+from gavelstream.llm import ann, decontaminate, html_extract, mixing, pii, quality, simhash, suffix_repeats, url_filter
 from gavelstream.llm.common import freed_shuffles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -65,7 +72,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_html, op3_quality, op5_simhash, op7_mixing, op8_urls, op9_decontamination,
+    return {f.__name__: f for f in (op1_pii, op2_html, op3_quality, op5_simhash, op6_repeats, op7_mixing, op8_urls, op9_decontamination,
                                     op10_neighbours)}
 
 
