@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelstream.llm import ann, decontaminate, html_extract, mixing, pii, quality, simhash, suffix_repeats, url_filter
+from gavelstream.llm import ann, decontaminate, html_extract, mixing, ngram_lm, pii, quality, simhash, suffix_repeats, url_filter
 from gavelstream.llm.common import freed_shuffles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.backoff_scores(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -72,7 +76,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_html, op3_quality, op5_simhash, op6_repeats, op7_mixing, op8_urls, op9_decontamination,
+    return {f.__name__: f for f in (op1_pii, op2_html, op3_quality, op4_lm, op5_simhash, op6_repeats, op7_mixing, op8_urls, op9_decontamination,
                                     op10_neighbours)}
 
 
