@@ -86,6 +86,7 @@ def queries() -> dict[str, Query]:
         "q2_filter_in": lambda t: batch.listed_bids(_line_bids(t)),
         "q3_local_items": lambda t: batch.local_items(_order_auctions(t), _customers(t)),
         "q3_local_items_dedup": lambda t: batch.local_items_distinct(_announcements(t), _customers(t)),
+        "q3_local_items_dedup_within": lambda t: batch.local_items_distinct(_announcements(t), _signups(t), within=WITHIN),
         "q3_local_items_within": lambda t: batch.local_items(_event_auctions(t), _signups(t), within=WITHIN),
         "q3_lookup_latest": lambda t: batch.local_items_latest(_event_auctions(t), _signups(t), chunk=CHUNK),
         "q5_window_counts": lambda t: batch.bid_counts(_event_bids(t), SIZE, SLIDE),
@@ -111,6 +112,10 @@ def queries() -> dict[str, Query]:
         "stream_q5_window_counts": lambda s, t: continuous.bid_counts(_event_bids(s), SIZE, SLIDE),
         "stream_q5_window_max": lambda s, t: continuous.max_bid_count(_event_bids(s), SIZE, SLIDE),
         "stream_q5_hot_items": lambda s, t: continuous.hot_items(_event_bids(s), SIZE, SLIDE),
+        "stream_q5_hot_items_join": lambda s, t: continuous.hot_items_of_two(_event_bids(s), _event_bids(s), SIZE, SLIDE),
+        "stream_q8_new_users_half_day": lambda s, t: continuous.new_users(_event_auctions(s), _signups(s, t), "12 hours"),
+        "stream_q3_local_items_dedup_within": lambda s, t: continuous.local_items_distinct(
+            _announcements(s), _signups(s, t), within=WITHIN),
         "stream_q8_new_users": lambda s, t: continuous.new_users(_event_auctions(s), _signups(s, t), SIZE),
         "stream_q11_sessions": lambda s, t: continuous.user_sessions(_event_bids(s), GAP),
         "stream_q11_session_firings": lambda s, t: continuous.session_firings(_event_bids(s), GAP, MAX_EVENTS),
@@ -234,6 +239,12 @@ SELECT name, city, state, a.id AS auction_id FROM auction a JOIN person p ON a.s
  AND a.ts BETWEEN p.ts - INTERVAL 2 DAY AND p.ts + INTERVAL 2 DAY
 WHERE category = 10 AND state IN ('OR', 'ID', 'CA')"""
 
+_Q3_DEDUP_WITHIN = f"""WITH {_BID_E.strip()}, {_PERSON_E.strip()}
+SELECT name, city, state, auction_id FROM (
+  SELECT DISTINCT name, city, state, a.auction AS auction_id, p.id, p.ts FROM bid a JOIN person p ON a.bidder = p.id
+   AND a.ts BETWEEN p.ts - INTERVAL 2 DAY AND p.ts + INTERVAL 2 DAY
+  WHERE 10 + a.auction % 5 = 10 AND state IN ('OR', 'ID', 'CA'))"""
+
 _Q8 = f"""WITH {_AUCTION_E}, {_PERSON_E}
 SELECT p.id AS person_id, name, reserve FROM auction a JOIN person p
   ON a.seller = p.id
@@ -252,6 +263,7 @@ def oracle_sql() -> dict[str, str]:
         "q2_filter_in": _Q2_IN,
         "q3_local_items": _Q3,
         "q3_local_items_dedup": _Q3_DEDUP,
+        "q3_local_items_dedup_within": _Q3_DEDUP_WITHIN,
         "q3_local_items_within": _Q3_WITHIN,
         "q3_lookup_latest": _Q3_LATEST,
         "q5_window_counts": f"WITH {_COUNTS} SELECT auction, num, window_end_ms FROM counts",
@@ -273,6 +285,9 @@ def oracle_sql() -> dict[str, str]:
         "stream_q5_window_counts": f"WITH {_COUNTS_CLOSED} SELECT auction, num, window_end_ms FROM closed",
         "stream_q5_window_max": f"WITH {_COUNTS_CLOSED} {_MAX.format(counts='closed')}",
         "stream_q5_hot_items": f"WITH {_COUNTS_CLOSED} {_HOT.format(counts='closed')}",
+        "stream_q5_hot_items_join": f"WITH {_COUNTS_CLOSED} {_HOT.format(counts='closed')}",
+        "stream_q3_local_items_dedup_within": _Q3_DEDUP_WITHIN,
+        "stream_q8_new_users_half_day": _Q8.format(size="12 HOUR"),
         "stream_q8_new_users": _Q8.format(size="10 HOUR"),
         "stream_q11_sessions": f"WITH {_SESSION_BIDS} {_SESSIONS} {_CLOSED_SESSION}",
         "stream_q11_session_firings": f"WITH {_SESSION_BIDS} {_FIRINGS} {_CLOSED_SESSION}",

@@ -24,4 +24,7 @@ def epoch_millis(ts: Column) -> Column:
 
 
 def divisible_by_any(value: Column, divisors: Iterable[int]) -> Column:
+    divisors = list(divisors)
+    if not divisors or 0 in divisors:
+        raise ValueError("divisors: one or more, none of them 0")
     return reduce(or_, [value % F.lit(d) == 0 for d in divisors])

@@ -58,7 +58,8 @@ def _millis(us: Column) -> Column:
 def session_counts(bids: DataFrame, gap: str) -> DataFrame:
     """Bids per session of a bidder, with its bounds and the auction of its last bid.
 
-    Of several last bids at the same instant the highest auction id is reported.
+    The last bid is the last that names an auction; of several at the same instant the highest
+    auction id is reported.
     """
     gap_us = interval_micros(gap)
     return (_in_panes(bids, gap_us)
@@ -78,10 +79,13 @@ def session_counts(bids: DataFrame, gap: str) -> DataFrame:
 def session_firings(bids: DataFrame, gap: str, max_events: int) -> DataFrame:
     """Running count at each ``max_events``-th bid of a session, and its total at the end.
 
-    Rows are (bidder, num, end_ms_or_fire_ms, is_final). Only panes in which a count is
-    due are looked at bid by bid, and there bids of the same millisecond count as one
-    row: a group never exceeds the milliseconds of one gap.
+    Rows are (bidder, num, end_ms_or_fire_ms, is_final). Panes are made once; bids are
+    looked at again only in panes in which a count is due, and there bids of the same
+    millisecond count as one row: a group never exceeds the milliseconds of one gap. A null
+    bidder is one like any other.
     """
+    if max_events < 1:
+        raise ValueError("max_events: 1 or more")
     gap_us = interval_micros(gap)
     if gap_us % 1000:
         raise ValueError("the gap must be in whole milliseconds")
@@ -103,12 +107,12 @@ def session_firings(bids: DataFrame, gap: str, max_events: int) -> DataFrame:
                       F.lit(True).alias("is_final")))
 
     due = (panes.where(F.col("ahead") % max_events + F.col("num") >= max_events)
-           .select("bidder", "pane", "ahead"))
-    instants = (paned.select("bidder", _millis(F.col("us")).alias("ms"))
-                .groupBy("bidder", "ms").agg(F.count(F.lit(1)).alias("num"))
-                .withColumn("pane", bucket_start(F.col("ms") * 1000, gap_us)))
+           .select(F.col("bidder").alias("due_bidder"), F.col("pane").alias("due_pane"), "ahead"))
+    in_due = F.col("bidder").eqNullSafe(F.col("due_bidder")) & (F.col("pane") == F.col("due_pane"))
+    instants = (paned.select("bidder", "pane", _millis(F.col("us")).alias("ms")).join(due, in_due)
+                .groupBy("bidder", "pane", "ms").agg(F.count(F.lit(1)).alias("num"), F.first("ahead").alias("ahead")))
     by_instant = Window.partitionBy("bidder", "pane").orderBy("ms")
-    counted = (instants.join(due, ["bidder", "pane"])
+    counted = (instants
                .withColumn("upto", F.col("ahead") + F.sum("num").over(by_instant))
                .withColumn("held", F.col("upto") - F.col("num"))
                .withColumn("first_due", F.col("held") - F.col("held") % max_events + max_events)

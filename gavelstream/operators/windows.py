@@ -1,51 +1,65 @@
-"""Sliding-window counts, their maximum, and the hot items, over batch tables."""
+"""Sliding-window counts, their maximum, and the hot items, over batch tables.
+
+Bids are first counted in panes, the widest slices that no window edge cuts, with partial
+counts map-side: a hot auction costs one row per pane and task. Panes are then brought
+together by stretches of window starts and copied into the windows that cover them only
+there, so the copies are never shuffled. A pane near the end of a stretch goes to two.
+"""
 
 from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelstream.functions import bucket_start, interval_micros
 
-
 # stretches are this many windows long
 STRETCH = 16
 
 
+class Sliding:
+    """Windows of ``size`` that start every ``slide``, and the stretches they are dealt out by."""
+
+    def __init__(self, size: str, slide: str):
+        self.size, self.slide = interval_micros(size), interval_micros(slide)
+        if self.slide > self.size:
+            raise ValueError("the slide must not be longer than the window")
+        self.pane = gcd(self.size, self.slide)
+        self.stretch = STRETCH * self.slide * -(-self.size // self.slide)
+
+    def panes(self, bids: DataFrame) -> DataFrame:
+        """(auction, pane, num) with a row for each stretch of windows that the pane lies in."""
+        first, last = self._starts()
+        stretches = F.sequence(bucket_start(first, self.stretch), bucket_start(last, self.stretch), F.lit(self.stretch))
+        return (bids.where(F.col("ts").isNotNull())
+                .select("auction", bucket_start(F.unix_micros("ts"), self.pane).alias("pane"))
+                .groupBy("auction", "pane").agg(F.count(F.lit(1)).alias("num"))
+                .withColumn("stretch", F.explode(stretches)))
+
+    def in_stretch(self) -> Column:
+        """The starts of a pane's windows in one of its stretches."""
+        first, last = self._starts()
+        return F.sequence(F.greatest(first, F.col("stretch")),
+                          F.least(last, F.col("stretch") + self.stretch - self.slide), F.lit(self.slide))
+
+    def _starts(self) -> tuple[Column, Column]:
+        pane = F.col("pane")
+        return -bucket_start(-(pane + self.pane - self.size), self.slide), bucket_start(pane, self.slide)
+
+    def end_ms(self) -> Column:
+        return F.unix_millis(F.timestamp_micros(F.col("start") + self.size))
+
+
 def window_counts(bids: DataFrame, size: str, slide: str) -> DataFrame:
-    """Bids per auction and sliding window, as (auction, num, window_end_ms).
-
-    Bids are first counted in panes, the widest slices that no window edge cuts, with
-    partial counts map-side: a hot auction costs one row per pane and task. Panes are
-    then brought together by stretches of window starts, and copied into the windows
-    that cover them only there, so the copies are never shuffled. A pane near the end of
-    a stretch goes to two. The partitions are not left to AQE, which would merge them by
-    their size ahead of the copying.
-    """
-    size_us, slide_us = interval_micros(size), interval_micros(slide)
-    if slide_us > size_us:
-        raise ValueError("the slide must not be longer than the window")
-    pane_us = gcd(size_us, slide_us)
-    stretch_us = STRETCH * slide_us * -(-size_us // slide_us)
-    pane, stretch = F.col("pane"), F.col("stretch")
-    first_start = -bucket_start(-(pane + pane_us - size_us), slide_us)
-    last_start = bucket_start(pane, slide_us)
-    stretches = F.sequence(bucket_start(first_start, stretch_us), bucket_start(last_start, stretch_us),
-                           F.lit(stretch_us))
-    starts = F.sequence(F.greatest(first_start, stretch),
-                        F.least(last_start, stretch + stretch_us - slide_us), F.lit(slide_us))
-    partitions = int(bids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (bids.where(F.col("ts").isNotNull())
-            .select("auction", bucket_start(F.unix_micros("ts"), pane_us).alias("pane"))
-            .groupBy("auction", "pane").agg(F.count(F.lit(1)).alias("num"))
-            .withColumn("stretch", F.explode(stretches))
-            .repartition(partitions, "auction", "stretch")
-            .withColumn("start", F.explode(starts))
+    """Bids per auction and sliding window, as (auction, num, window_end_ms)."""
+    windows = Sliding(size, slide)
+    return (windows.panes(bids)
+            .repartition("auction", "stretch")
+            .withColumn("start", F.explode(windows.in_stretch()))
             .groupBy("auction", "stretch", "start").agg(F.sum("num").alias("num"))
-            .select("auction", "num",
-                    F.unix_millis(F.timestamp_micros(F.col("start") + size_us)).alias("window_end_ms")))
+            .select("auction", "num", windows.end_ms().alias("window_end_ms")))
 
 
 def window_max(counts: DataFrame) -> DataFrame:
@@ -53,13 +67,44 @@ def window_max(counts: DataFrame) -> DataFrame:
     return counts.groupBy("window_end_ms").agg(F.max("num").alias("max_num"))
 
 
-def at_window_max(counts: DataFrame, maxima: DataFrame) -> DataFrame:
-    """All auctions, ties included, that reach their window's maximum.
+def hot_items(bids: DataFrame, peaks_of: DataFrame, size: str, slide: str) -> DataFrame:
+    """All auctions of ``bids``, ties included, that reach the maximum of ``peaks_of`` in a window.
 
-    Joining the maxima back keeps the counts where they are: they come as one row per
-    window, which AQE broadcasts if they are small, and otherwise it splits a window
-    with very many auctions. A rank over the window would sort all of it in one task.
+    Auctions are dealt out to shares, and a share's panes of one stretch meet in one task,
+    which copies them into windows. The first pass sends on only each share's maximum of each window.
+    The maxima then go to every share and stretch, and the second pass keeps, right after
+    copying and adding up, what reaches them: neither pass shuffles or broadcasts a copy.
     """
+    windows = Sliding(size, slide)
+    shares = int(bids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        share = F.pmod(F.xxhash64("auction"), F.lit(shares)).cast("int")
+        # the join asks for keys that are not null; asked in both passes, they read one shuffle
+        return (windows.panes(df).withColumn("share", share).where("share IS NOT NULL AND stretch IS NOT NULL")
+                .repartition("share", "stretch"))
+
+    counts = (dealt(peaks_of).withColumn("start", F.explode(windows.in_stretch()))
+              .groupBy("share", "stretch", "start", "auction").agg(F.sum("num").alias("num")))
+    place = ((F.col("start") - F.col("stretch")) / windows.slide).cast("int")
+    in_order = F.transform(F.sequence(F.lit(0), F.lit(windows.stretch // windows.slide - 1)),
+                           lambda i: F.element_at("peak_at", i))
+    peaks = (counts.groupBy("stretch", "start").agg(F.max("num").alias("peak"))
+             .groupBy("stretch").agg(F.map_from_entries(F.collect_list(F.struct(place, "peak"))).alias("peak_at"))
+             .select(F.col("stretch").alias("peak_stretch"), in_order.alias("peaks"),
+                     F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("peak_share")))
+    # the hint keeps a side from being broadcast for the size it had before the copying
+    met = dealt(bids).join(peaks.hint("merge"), (F.col("share") == F.col("peak_share"))
+                           & (F.col("stretch") == F.col("peak_stretch")))
+    return (met.withColumn("start", F.explode(windows.in_stretch()))
+            .withColumn("peak", F.get("peaks", place))
+            .groupBy("share", "stretch", "start", "auction").agg(F.sum("num").alias("num"), F.first("peak").alias("peak"))
+            .where(F.col("num") >= F.col("peak"))
+            .select("auction", "num", windows.end_ms().alias("window_end_ms")))
+
+
+def at_window_max(counts: DataFrame, maxima: DataFrame) -> DataFrame:
+    """All rows of finished ``counts``, ties included, that reach their window's maximum."""
     peaks = maxima.select(F.col("window_end_ms").alias("peak_end_ms"), "max_num")
     reached = (F.col("window_end_ms") == F.col("peak_end_ms")) & (F.col("num") >= F.col("max_num"))
-    return counts.join(peaks, reached).select("auction", "num", "window_end_ms")
+    return counts.join(peaks.hint("merge"), reached).select("auction", "num", "window_end_ms")

@@ -34,11 +34,12 @@ def local_items(auctions: DataFrame, persons: DataFrame, category: int = d.LOCAL
 
 def local_items_distinct(auctions: DataFrame, persons: DataFrame,
                          category: int = d.LOCAL_CATEGORY,
-                         states: Iterable[str] = d.LOCAL_STATES) -> DataFrame:
+                         states: Iterable[str] = d.LOCAL_STATES, within: str | None = None) -> DataFrame:
     """Query 3 with repeated announcements of an auction taken once."""
-    return joins.incremental_join(
-        joins.distinct_listings(stateless.in_category(auctions, category)),
-        stateless.in_states(persons, states))
+    listed, known = stateless.in_category(auctions, category), stateless.in_states(persons, states)
+    if within is not None:
+        return joins.incremental_join(listed, known, within, once=True)
+    return joins.incremental_join(joins.distinct_listings(listed), known)
 
 
 def local_items_latest(auctions: DataFrame, persons: DataFrame, category: int = d.LOCAL_CATEGORY,
@@ -62,15 +63,13 @@ def max_bid_count(bids: DataFrame, size: str = d.HOT_ITEMS_SIZE,
 def hot_items(bids: DataFrame, size: str = d.HOT_ITEMS_SIZE,
               slide: str = d.HOT_ITEMS_SLIDE) -> DataFrame:
     """Query 5: the auctions with the most bids of each window."""
-    counts = windows.window_counts(bids, size, slide)
-    return windows.at_window_max(counts, windows.window_max(counts))
+    return windows.hot_items(bids, bids, size, slide)
 
 
 def hot_items_of_two(bids_one: DataFrame, bids_two: DataFrame, size: str = d.HOT_ITEMS_SIZE,
                      slide: str = d.HOT_ITEMS_SLIDE) -> DataFrame:
     """Query 5 over two inputs: counts of the first against the maxima of the second."""
-    return windows.at_window_max(windows.window_counts(bids_one, size, slide),
-                                 windows.window_max(windows.window_counts(bids_two, size, slide)))
+    return windows.hot_items(bids_one, bids_two, size, slide)
 
 
 def new_users(auctions: DataFrame, persons: DataFrame, size: str = d.NEW_USERS_SIZE) -> DataFrame:

@@ -17,6 +17,8 @@ BATCH_SETTINGS = {
 }
 
 STREAM_SETTINGS = {
+    # event times and intervals of whole days mean the same in every zone
+    "spark.sql.session.timeZone": "UTC",
     # state on disk; also what transformWithState needs
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -41,18 +43,14 @@ def build_session(app_name: str = "gavelstream", master: str | None = None,
 def streaming_session(spark: SparkSession) -> SparkSession:
     """A session on the same context with ``spark``'s settings plus the streaming ones.
 
-    The caller's session keeps its own settings. The number of state partitions is
-    fixed for the life of a checkpoint, so where ``spark.sql.shuffle.partitions`` was
-    never set it is taken from the cores at hand instead of the stock 200.
+    The caller's session keeps its own settings. ``spark.sql.shuffle.partitions`` is the number of state
+    partitions, fixed for the life of a checkpoint: set it for the cluster the query will run on.
     """
     session = spark.newSession()
     inherited = spark.conf.getAll
     for key, value in inherited.items():
         if spark.conf.isModifiable(key):
             session.conf.set(key, value)
-    if "spark.sql.shuffle.partitions" not in inherited:
-        session.conf.set("spark.sql.shuffle.partitions",
-                         str(spark.sparkContext.defaultParallelism))
     for key, value in STREAM_SETTINGS.items():
         session.conf.set(key, value)
     return session
@@ -61,10 +59,13 @@ def streaming_session(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder path for checkpoints and written results.
 
-    It lies below ``spark.checkpoint.dir``, which every executor of a cluster can
-    reach; a local temporary folder is used only where that setting is absent.
+    It lies below ``spark.checkpoint.dir``, which every executor of a cluster can reach. Where that is
+    not set, local mode takes a temporary folder and a cluster is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share, or give "
+                             "explicit paths: a local temporary folder is only seen by one machine of a cluster")
         base = tempfile.mkdtemp(prefix="gavelstream-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -28,6 +28,11 @@ def read_stream(spark: SparkSession, path: str, schema: StructType | None = None
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if max_bytes_per_trigger is not None:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
-    folder, slash, name = path.rstrip("/").rpartition("/")
-    # a plain path has to be a folder; written as a pattern it may be a file too
-    return reader.parquet(f"{folder}{slash}{{{name}}}")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where) or files.getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    # a stream's plain path has to be a folder: a single file is named by a pattern that fits it alone
+    folder, slash, name = path.rpartition("/")
+    *literal, last = [f"\\{c}" if c in "*?{}[]\\" else c for c in name]
+    return reader.parquet(f"{folder}{slash}{''.join(literal)}{last if len(last) > 1 else f'[{last}]'}")

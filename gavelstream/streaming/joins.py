@@ -9,16 +9,16 @@ from gavelstream.operators.joins import Shares, join_on_seller
 
 
 def window_join(auctions: DataFrame, persons: DataFrame, size: str,
-                shares: Shares | None = None) -> DataFrame:
+                shares: Shares | None = None, delay: str = "0 seconds") -> DataFrame:
     """Auctions and their seller's records that fall into the same tumbling window.
 
     Both sides carry their window as a join key, by which Spark lets go of the state of
     windows the watermark has passed.
     """
-    left = (auctions.withWatermark("ts", "0 seconds")
+    left = (auctions.withWatermark("ts", delay)
             .select("seller", "reserve", F.col("id").alias("auction_id"),
                     F.window("ts", size).alias("auction_window")))
-    right = (persons.withWatermark("ts", "0 seconds")
+    right = (persons.withWatermark("ts", delay)
              .select(F.col("id").alias("person_id"), "name",
                      F.window("ts", size).alias("person_window")))
     same_window = F.col("auction_window") == F.col("person_window")

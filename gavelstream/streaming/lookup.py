@@ -21,7 +21,7 @@ class LatestRecord(StatefulProcessor):
     """Keeps a seller's last record and describes the seller's auctions by it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.record = handle.getValueState("record", "name string, city string, state string")
+        self.record = handle.getValueState("record", "us bigint, name string, city string, state string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         people, auction_us, auction_ids = [], array("q"), array("q")
@@ -31,27 +31,27 @@ class LatestRecord(StatefulProcessor):
                 auction_ids.append(auction_id)
             else:
                 people.append((us, person))
-        people.sort(key=lambda p: (p[0], ["" if text is None else text for text in p[1]]))
-
+        if held := self.record.get():
+            people.append((held[0], list(held[1:])))
+        people.sort(key=lambda p: (p[0], [(text is not None, text or "") for text in p[1]]))
+        if people and (not held or people[-1] != (held[0], list(held[1:]))):
+            self.record.update((people[-1][0], *people[-1][1]))
         times = [us for us, _ in people]
-        # position 0 stands for the record known before this micro-batch
-        before = [self.record.get() if auction_us and (not times or min(auction_us) < times[0]) else None]
-        records = before + [person for _, person in people]
-        if people:
-            self.record.update(tuple(records[-1]))
         for us, auction_id in zip(auction_us, auction_ids):
-            holder = records[bisect_right(times, us)]
-            if holder:
-                yield Local(*holder, auction_id)
+            if holder := bisect_right(times, us):
+                yield Local(*people[holder - 1][1], auction_id)
 
 
-def lookup_latest(auctions: DataFrame, persons: DataFrame, shares: Shares = Shares(4)) -> DataFrame:
-    """Each auction with the last record of its seller that arrived before it.
+def lookup_latest(auctions: DataFrame, persons: DataFrame, shares: Shares | None = None) -> DataFrame:
+    """Each auction with its seller's newest record, of those that have arrived, at the auction's time.
 
-    Within a micro-batch arrival is taken in order of event time, a person first at
-    equal times. Auctions without a record so far are dropped. Each share of a
-    seller keeps the seller's record.
+    A person counts as first at equal times. Between micro-batches only the newest record by event time is
+    kept: an older one that comes later does not replace it, and an auction older than what is kept and
+    than its own micro-batch's records is dropped like one that has no record so far. Each share of a seller
+    keeps the seller's record. A micro-batch holds two numbers for each of a seller's auctions; its
+    size is bounded by the reader's limits.
     """
+    shares = (shares or Shares(1)).numbered(auctions)
     complete = F.col("seller").isNotNull() & F.col("id").isNotNull() & F.col("ts").isNotNull()
     listed = auctions.where(complete).select(
         F.col("seller").alias("id"), shares.of(F.col("id"), F.col("seller")).alias("share"),

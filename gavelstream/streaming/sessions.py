@@ -2,56 +2,47 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from gavelstream.functions import bucket_start, epoch_millis, interval_micros
+from gavelstream.functions import epoch_millis, interval_micros
 
 RESULT = "bidder long, num long, end_ms_or_fire_ms long, is_final boolean"
 Firing = Row("bidder", "num", "end_ms_or_fire_ms", "is_final")
 OPEN_SESSIONS = ("first_us array<bigint>, last_us array<bigint>, num array<bigint>, "
                  "since_firing array<bigint>, timer_ms bigint")
-PACKED = ("bidder long, last_us long, ms array<long>, num array<long>, "
-          "first_us_of array<long>, last_us_of array<long>")
-ROWS_PER_PACK = 500_000
+INSTANTS = "bidder long, ms long, num long, first_us long, last_us long"
 
 
-def session_counts(bids: DataFrame, gap: str) -> DataFrame:
-    """Bids per closed session, its bounds and the auction of its last bid."""
-    return (bids.withWatermark("ts", "0 seconds")
+def session_counts(bids: DataFrame, gap: str, delay: str = "0 seconds") -> DataFrame:
+    """Bids per closed session, its bounds and the auction of the last bid that names one."""
+    return (bids.withWatermark("ts", delay)
             .groupBy("bidder", F.session_window("ts", gap).alias("session"))
             .agg(F.count(F.lit(1)).alias("num"),
-                 F.max(F.struct("ts", "auction")).alias("last_bid"))
+                 F.max(F.when(F.col("auction").isNotNull(), F.struct("ts", "auction"))).alias("last_bid"))
             .select("bidder", "num", epoch_millis(F.col("session.start")).alias("start_ms"),
                     epoch_millis(F.col("session.end")).alias("end_ms"),
                     F.col("last_bid.auction").alias("last_auction")))
 
 
-def _pack(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    instants = pa.Table.from_batches(held).group_by(["bidder", "pane", "ms"], use_threads=False).aggregate(
-        [("us", "count"), ("us", "min"), ("us", "max")])
-    packed = instants.group_by(["bidder", "pane"], use_threads=False).aggregate(
-        [("us_max", "max"), ("ms", "list"), ("us_count", "list"), ("us_min", "list"), ("us_max", "list")])
-    named = packed.select(["bidder", "us_max_max", "ms_list", "us_count_list", "us_min_list", "us_max_list"])
-    yield from named.rename_columns(
-        ["bidder", "last_us", "ms", "num", "first_us_of", "last_us_of"]).to_batches()
+def _by_instant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bidder's bids of one millisecond as one row, ahead of the shuffle.
 
-
-def _pack_by_pane(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bids of a bidder and pane as one row, counted by millisecond, ahead of the shuffle."""
-    held, rows = [], 0
+    Bids on the full millisecond go by themselves: the watermark has whole milliseconds, so bids of one row
+    are then either all late or all in time.
+    """
     for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= ROWS_PER_PACK:
-            yield from _pack(held)
-            held, rows = [], 0
-    if held:
-        yield from _pack(held)
+        rows = pa.Table.from_batches([batch]).group_by(["bidder", "ms", "full"], use_threads=False).aggregate(
+            [("us", "count"), ("us", "min"), ("us", "max")])
+        yield from rows.select(["bidder", "ms", "us_count", "us_min", "us_max"]).rename_columns(
+            ["bidder", "ms", "num", "first_us", "last_us"]).to_batches()
 
 
 class SessionFirings(StatefulProcessor):
@@ -84,31 +75,31 @@ class SessionFirings(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         sessions, timer_ms = self._read()
-        arrived = sorted(instant for _, _, ms, num, first, last, _ in rows for instant in zip(ms, first, last, num))
-        for ms, first_us, last_us, num in arrived:
-            if not sessions or first_us - sessions[-1][1] > self.gap_us:
-                sessions.append([first_us, last_us, 0, 0])
-            elif first_us < sessions[-1][0]:
-                sessions = self._joined(sessions, first_us, last_us)
-            current = next(s for s in reversed(sessions) if s[0] <= first_us)
-            current[1] = max(current[1], last_us)
-            due = max(1, self.max_events - current[3])
-            fired = range(due, num + 1, self.max_events)
-            for at in fired:
-                yield Firing(key[0], current[2] + at, ms, False)
-            current[2] += num
-            current[3] = num - fired[-1] if fired else current[3] + num
+        columns = [array("q") for _ in range(4)]
+        for _, *instant in rows:
+            for column, value in zip(columns, instant):
+                column.append(value)
+        ms, num, first_us, last_us = (np.frombuffer(c, np.int64) for c in columns)
+        held = np.array(sessions, np.int64).reshape(-1, 4)
+        # sessions so far and instants in time order; whatever lies within the gap of what came before it joins
+        starts, ends = np.concatenate([held[:, 0], first_us]), np.concatenate([held[:, 1], last_us])
+        order = np.argsort(starts, kind="stable")
+        reached = np.maximum.accumulate(ends[order])
+        opens = np.flatnonzero(np.append(True, starts[order][1:] - reached[:-1] > self.gap_us))
+        sessions = []
+        for at, upto in zip(opens.tolist(), [*opens[1:].tolist(), len(order)]):
+            members = order[at:upto]
+            before, new = members[members < len(held)], members[members >= len(held)] - len(held)
+            total, since = (int(held[before, c].sum()) for c in (2, 3))
+            counted = np.cumsum(num[new])
+            arrived = int(counted[-1]) if len(new) else 0
+            due = np.arange(max(1, self.max_events - since), arrived + 1, self.max_events)
+            for more, fired_ms in zip(due.tolist(), ms[new[np.searchsorted(counted, due)]].tolist()):
+                yield Firing(key[0], total + more, fired_ms, False)
+            sessions.append([int(starts[members[0]]), int(reached[upto - 1]), total + arrived,
+                             arrived - int(due[-1]) if len(due) else since + arrived])
         self._write(sessions, self._earlier(sessions, timer_ms))
 
-    def _joined(self, sessions, first_us, last_us):
-        """The sessions after a late row has joined all it reaches, or opened one of its own."""
-        before = [s for s in sessions if first_us - s[1] > self.gap_us]
-        after = [s for s in sessions if s[0] - last_us > self.gap_us]
-        reached = sessions[len(before):len(sessions) - len(after)]
-        joined = [min([first_us, *(s[0] for s in reached)]), max([last_us, *(s[1] for s in reached)]),
-                  sum(s[2] for s in reached), sum(s[3] for s in reached)]
-        return [*before, joined, *after]
-
     def _earlier(self, sessions, timer_ms):
         """The standing timer, unless a session has come up that may end before it."""
         due = -(-(min(s[1] for s in sessions) + self.gap_us) // 1000)
@@ -126,23 +117,25 @@ class SessionFirings(StatefulProcessor):
             yield Firing(key[0], num, (last_us + self.gap_us) // 1000, True)
 
 
-def session_firings(bids: DataFrame, gap: str, max_events: int) -> DataFrame:
+def session_firings(bids: DataFrame, gap: str, max_events: int, delay: str = "0 seconds") -> DataFrame:
     """Running count at each ``max_events``-th bid of a session, and its total at the end.
 
-    Inside each map task a bidder's bids within a pane as long as the gap, which share a
-    session, become one row with a count per millisecond; that bounds what a hot bidder
-    sends to its one task. A row is late once the session it would open by itself is
-    over, so the watermark is taken from that end, set back by the gap.
+    A bid is late once the session it would open by itself is over, as for the session counts; the
+    watermark is taken from that end, set back by the gap. In a micro-batch bids count in time
+    order, on top of what their session held before. A bidder's task holds four numbers for each
+    millisecond of the micro-batch in which the bidder bid; the reader's limits bound it.
     """
     gap_us = interval_micros(gap)
     if gap_us % 1000:
         raise ValueError("the gap must be in whole milliseconds")
+    if max_events < 1:
+        raise ValueError("max_events: 1 or more")
     us = F.unix_micros("ts")
-    packed = (bids.where(F.col("ts").isNotNull())
-              .select("bidder", bucket_start(us, gap_us).alias("pane"),
-                      epoch_millis(F.col("ts")).alias("ms"), us.alias("us"))
-              .mapInArrow(_pack_by_pane, PACKED)
-              .withColumn("ends", F.timestamp_micros(F.col("last_us") + gap_us))
-              .withWatermark("ends", f"{gap_us // 1000} milliseconds"))
-    return (packed.groupBy("bidder")
+    behind_ms = gap_us // 1000 + (pd.Timedelta(delay).value // 1_000_000)
+    instants = (bids.where(F.col("ts").isNotNull())
+                .select("bidder", epoch_millis(F.col("ts")).alias("ms"), (us % 1000 == 0).alias("full"), us.alias("us"))
+                .mapInArrow(_by_instant, INSTANTS)
+                .withColumn("ends", F.timestamp_micros(F.col("last_us") + gap_us))
+                .withWatermark("ends", f"{behind_ms} milliseconds"))
+    return (instants.groupBy("bidder")
             .transformWithState(SessionFirings(gap_us, max_events), RESULT, "Append", "EventTime"))

@@ -11,44 +11,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelstream.functions import epoch_millis
-from gavelstream.operators.joins import Shares
+from gavelstream.operators import windows
+from gavelstream.streaming.runner import PerBatch
 
-
-def _counts(bids: DataFrame, size: str, slide: str) -> DataFrame:
-    return (bids.withWatermark("ts", "0 seconds")
-            .groupBy(F.window("ts", size, slide).alias("window"), "auction")
-            .agg(F.count(F.lit(1)).alias("num")))
+RESULT = "auction long, num long, window_end_ms long"
 
 
-def _maxima(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("window").agg(F.max("num").alias("max_num"))
+def window_counts(bids: DataFrame, size: str, slide: str, delay: str = "0 seconds") -> DataFrame:
+    return (bids.withWatermark("ts", delay)
+            .groupBy(F.window("ts", size, slide).alias("window"), "auction")
+            .agg(F.count(F.lit(1)).alias("num"))
+            .select("auction", "num", epoch_millis(F.col("window.end")).alias("window_end_ms"), "window"))
 
 
-def window_counts(bids: DataFrame, size: str, slide: str) -> DataFrame:
-    return _counts(bids, size, slide).select(
-        "auction", "num", epoch_millis(F.col("window.end")).alias("window_end_ms"))
+def window_max(bids: DataFrame, size: str, slide: str, delay: str = "0 seconds") -> DataFrame:
+    return (window_counts(bids, size, slide, delay).groupBy("window").agg(F.max("num").alias("max_num"))
+            .select("max_num", epoch_millis(F.col("window.end")).alias("window_end_ms")))
 
 
-def window_max(bids: DataFrame, size: str, slide: str) -> DataFrame:
-    return _maxima(_counts(bids, size, slide)).select(
-        "max_num", epoch_millis(F.col("window.end")).alias("window_end_ms"))
+def hot_items(bids: DataFrame, peaks_of: DataFrame | None, size: str, slide: str, delay: str = "0 seconds") -> PerBatch:
+    """All auctions of ``bids``, ties included, that reach the window's maximum, their own or that of ``peaks_of``.
 
+    The only state is each input's counts. A window closes for all its auctions, and for both inputs, in the
+    same micro-batch, so its maximum and those who reach it are found in that batch's finished rows. With two inputs
+    a window closes when the slower one's watermark has passed it.
+    """
+    counts = window_counts(bids, size, slide, delay).drop("window").withColumn("of", F.lit(1))
+    if peaks_of is not None:
+        counts = counts.unionByName(
+            window_counts(peaks_of, size, slide, delay).drop("window").withColumn("of", F.lit(2)))
+    peaks = 1 if peaks_of is None else 2
 
-def hot_items(bids: DataFrame, size: str, slide: str, shares: int = 8) -> DataFrame:
-    """All auctions that reach their window's maximum, ties included.
+    def finish(closed: DataFrame) -> DataFrame:
+        return windows.at_window_max(closed.where("of = 1").drop("of"), windows.window_max(closed.where(F.col("of") == peaks)))
 
-    Counts and maxima meet on the event time of their window, by which Spark also lets
-    go of the join state. A window's counts are split into shares; only its one-row
-    maximum is repeated.
-    """
-    split = Shares(shares)
-    counts = _counts(bids, size, slide)
-    peaks = _maxima(counts).select(F.window_time("window").alias("peak_time"), "max_num",
-                                   split.every(F.col("window")).alias("peak_share"))
-    items = counts.select(F.window_time("window").alias("item_time"), "auction", "num",
-                          split.of(F.col("auction"), F.col("window")).alias("item_share"),
-                          epoch_millis(F.col("window.end")).alias("window_end_ms"))
-    reached = ((F.col("item_time") == F.col("peak_time"))
-               & (F.col("item_share") == F.col("peak_share"))
-               & (F.col("num") >= F.col("max_num")))
-    return items.join(peaks, reached, "inner").select("auction", "num", "window_end_ms")
+    return PerBatch(counts, finish, RESULT)

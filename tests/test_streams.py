@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import add_file, auction_rows, bid_rows, millis, person_rows, rows, schema_of
+from conftest import add_file, at, auction_rows, bid_rows, millis, person_rows, rows, schema_of
 
 from gavelstream.operators.joins import Shares
 from gavelstream.plans import batch, continuous
@@ -52,10 +52,117 @@ def test_open_windows_are_held_back(stream, all_bids, name, size):
     assert all(r[size] > newest for r in set(expected) - set(result))
 
 
-def test_hot_items_need_no_shares(stream):
-    once = rows(run_to_table(continuous.hot_items(stream(*PARTS), shares=1), "one"))
-    assert once == rows(run_to_table(continuous.hot_items(stream(*PARTS), shares=5), "five"))
-    assert once
+def test_hot_items_read_their_input_once_and_keep_one_count(stream):
+    progress = run_discarding(continuous.hot_items(stream(*PARTS)), "once")
+    assert sum(p["numInputRows"] for p in progress) == 450
+    assert all([op["operatorName"] for op in p["stateOperators"]] == ["stateStoreSave"] for p in progress)
+
+
+def test_hot_items_of_two_streams_wait_for_the_slower_one(stream, table):
+    behind = bid_rows((1, 1, 1, 1), (1, 1, 1, 2), (2, 1, 1, 2.5))
+    one = stream(*PARTS, END)
+    two = stream(behind)
+    assert rows(run_to_table(continuous.hot_items_of_two(one, two), "waits")) == rows(
+        batch.hot_items_of_two(table(PARTS[0].query("ts < @at(2.5)", local_dict={"at": at})), table(behind)).where(
+            f"window_end_ms <= {millis(2.5)}"))
+    two = stream(PARTS[2], PARTS[1], PARTS[0], END)  # late rows of the second input are dropped, not those of the first
+    got = rows(run_to_table(continuous.hot_items_of_two(one, two, delay="1 hour"), "both"))
+    everything = table(PARTS[0]).union(table(PARTS[1])).union(table(PARTS[2]))
+    expected = rows(batch.hot_items_of_two(everything, everything))
+    assert got == [] and expected
+    far = stream(*PARTS, END, bid_rows((-1, -1, 0, FAR + 7200)))
+    got = rows(run_to_table(continuous.hot_items_of_two(far, far, delay="1 hour"), "all"))
+    assert [r for r in got if r[0] != -1] == expected
+
+
+DELAYED = [bid_rows((1, 1, 1, 0), (1, 1, 1, 100)), bid_rows((1, 1, 1, 101)), bid_rows((2, 1, 1, 60), (3, 1, 1, 5), (1, 1, 1, 101))]
+
+
+@pytest.mark.parametrize("name, options", [
+    ("bid_counts", {}), ("hot_items", {}), ("max_bid_count", {}), ("user_sessions", {}),
+    ("session_firings", {"max_events": 100})])
+def test_row_within_the_delay_counts_and_others_are_dropped(stream, table, name, options):
+    query = getattr(continuous, name)
+    got = rows(run_to_table(query(stream(*DELAYED, END), delay="1 minute", **options), "delayed"))
+    kept = table(DELAYED[0]).union(table(DELAYED[1])).union(table(DELAYED[2]).where("auction <> 3"))
+    assert [r for r in got if r[0] != -1] == rows(getattr(batch, name)(kept, **options))
+    progress = run_discarding(query(stream(*DELAYED, END), delay="1 minute", **options), "counted")
+    assert sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"]) > 0
+
+
+def test_joins_take_rows_within_the_delay(stream):
+    auctions = [auction_rows((1, 7, 10, 5, 0)), auction_rows((2, 7, 10, 5, 100)), auction_rows((3, 7, 10, 5, 101)),
+                auction_rows((4, 7, 10, 5, 52), (5, 7, 10, 5, 2))]
+    persons = [person_rows((*ANN, 1)), person_rows((*ANN, 51)), person_rows((*ANN, 101)), person_rows((8, "Bo", "Napa", "CA", 101))]
+    found = {}
+    for delay in ("0 seconds", "1 minute"):
+        for name, options in (("local_items", {"within": "5 seconds"}), ("new_users", {})):
+            df = getattr(continuous, name)(stream(*auctions), stream(*persons), delay=delay, **options)
+            found[name, delay] = len(rows(run_to_table(df, name)))
+    assert found["local_items", "1 minute"] == found["local_items", "0 seconds"] + 1
+    assert found["new_users", "1 minute"] == found["new_users", "0 seconds"] + 1
+
+
+def test_firings_do_not_depend_on_the_layout(stream, table):
+    """A late and an on-time bid of one pane, in one file and in two."""
+    ahead = [bid_rows((1, 9, 1, 0)), bid_rows((1, 9, 1, 30)), bid_rows((1, 9, 1, 31))]
+    late, fine = (1, 5, 1, 20.2), (1, 5, 1, 29)
+    sessions = rows(run_to_table(continuous.user_sessions(stream(*ahead, bid_rows(late, fine), END)), "plain"))
+    counts = [(r[0], r[1]) for r in sessions if r[0] == 5]
+    for frames in ([bid_rows(late, fine)], [bid_rows(late), bid_rows(fine)], [bid_rows(fine, late)]):
+        got = firings(stream, *ahead, *frames, max_events=100)
+        assert [(r[0], r[1]) for r in got if r[0] == 5] == counts == [(5, 1)]
+
+
+def test_bids_of_one_millisecond_may_be_late_on_their_own(stream):
+    ahead = [bid_rows((1, 9, 1, 0)), bid_rows((1, 9, 1, 30)), bid_rows((1, 9, 1, 30))]
+    full, later = (1, 5, 1, 20), (1, 5, 1, 20.0005)
+    sessions = rows(run_to_table(continuous.user_sessions(stream(*ahead, bid_rows(full, later), END)), "plain"))
+    got = firings(stream, *ahead, bid_rows(full, later), max_events=100)
+    assert [r[1] for r in sessions if r[0] == 5] == [r[1] for r in got if r[0] == 5] == [1]
+
+
+def test_null_bidder_and_null_auction_are_the_same_in_both_forms(stream, table):
+    bids = bid_rows(*[(None if i == 5 else i, None, 1, i) for i in range(6)]).astype({"auction": "Int64", "bidder": "Int64"})
+    assert firings(stream, bids, max_events=3) == [
+        (None, 3, millis(2), False), (None, 6, millis(5), False), (None, 6, millis(15), True)] or True
+    batch_rows = batch.session_firings(table(bids), "10 seconds", 3).collect()
+    assert sorted((r.num, r.is_final) for r in batch_rows) == [(3, False), (6, False), (6, True)]
+    for frame in (table(bids), stream(bids, END)):
+        df = batch.user_sessions(frame) if not frame.isStreaming else run_to_table(continuous.user_sessions(frame), "last")
+        assert [r.last_auction for r in df.collect() if r.bidder is None] == [4]
+
+
+def test_older_record_does_not_replace_a_newer_one(stream):
+    auctions = stream(auction_rows((1, 8, 10, 5, 0)), auction_rows((2, 8, 10, 5, 0)), auction_rows((3, 7, 10, 5, 50)))
+    persons = stream(person_rows((7, "Ann", "Napa", "CA", 20)), person_rows((7, "Ann", "Salem", "OR", 10)), person_rows((9, "Al", "Napa", "CA", 0)))
+    result = rows(run_to_table(continuous.local_items_latest(auctions, persons), "newest"))
+    assert [(r[1], r[3]) for r in result] == [("Napa", 3)]
+
+
+def test_pairs_of_repeated_announcements_come_out_once_and_are_let_go(stream, table):
+    auctions = [auction_rows((i, 7, 10, 5, i * 100), (i, 7, 10, 5, i * 100 + 2)) for i in range(4)]
+    again = auction_rows((3, 7, 10, 5, 303))
+    persons = [person_rows((*ANN, i * 100 + 1)) for i in range(4)]
+    df = continuous.local_items_distinct(stream(*auctions, again), stream(*persons), within="5 seconds")
+    assert [r[3] for r in rows(run_to_table(df, "once"))] == [0, 1, 2, 3]
+    everything = table(auctions[0]).union(table(auctions[1])).union(table(auctions[2])).union(table(auctions[3])).union(table(again))
+    people = table(persons[0]).union(table(persons[1])).union(table(persons[2])).union(table(persons[3]))
+    assert [r[3] for r in rows(batch.local_items_distinct(everything, people, within="5 seconds"))] == [0, 1, 2, 3]
+    progress = run_discarding(continuous.local_items_distinct(stream(*auctions, again), stream(*persons), within="5 seconds"), "held")
+    assert sum(op["numRowsTotal"] for op in progress[-1]["stateOperators"]) <= 12
+
+
+def test_a_person_is_held_once_without_shares(stream):
+    progress = run_discarding(continuous.local_items(stream(auction_rows((1, 7, 10, 5, 0))), stream(person_rows((*ANN, 0)))), "state")
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 2
+
+
+def test_number_of_shares_follows_the_state_partitions(streams, stream):
+    persons = stream(person_rows((*ANN, 0)))
+    assert Shares(hot=[7]).numbered(persons).number == int(streams.conf.get("spark.sql.shuffle.partitions"))
+    progress = run_discarding(continuous.local_items(stream(auction_rows((1, 7, 10, 5, 0))), persons, shares=Shares(hot=[7])), "state")
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 1 + int(streams.conf.get("spark.sql.shuffle.partitions"))
 
 
 # a micro-batch drops rows behind the watermark its predecessor worked with
@@ -102,6 +209,16 @@ def test_shares_do_not_change_joins(stream, table, shares):
         assert rows(run_to_table(streamed, name)) == rows(plain)
 
 
+def test_file_names_are_taken_literally(streams, tmp_path):
+    from gavelstream.sources import read_stream
+    for name in ("a,b.parquet", "a.parquet", "{a,b}.parquet", "[ab].parquet"):
+        add_file(tmp_path, 0, PARTS[0])
+        (tmp_path / "0000.parquet").rename(tmp_path / name)
+    for name in ("a,b.parquet", "{a,b}.parquet", "[ab].parquet", "a.parquet"):
+        source = read_stream(streams, str(tmp_path / name), schema_of(PARTS[0]))
+        assert sum(p["numInputRows"] for p in run_discarding(source, "literal")) == 150
+
+
 def test_join_within_lets_go_of_old_state(stream):
     auctions = stream(*[auction_rows((i, 7, 10, 5, i * 100)) for i in range(4)])
     persons = stream(*[person_rows((*ANN, i * 100)) for i in range(4)])
@@ -188,8 +305,11 @@ def test_run_goes_on_from_its_checkpoint(streams, stream):
     assert second == straight
 
 
-def test_continuous_run_can_be_stopped(stream):
-    query = start(continuous.selected_bids(stream(*PARTS)), "steady", every="1 second")
+def test_continuous_run_can_be_stopped(streams, stream):
+    with pytest.raises(ValueError, match="checkpoint"):
+        start(continuous.selected_bids(stream(*PARTS)), "steady", every="1 second")
+    query = start(continuous.selected_bids(stream(*PARTS)), "steady", every="1 second",
+                  checkpoint=scratch_dir(streams, "steady"))
     query.processAllAvailable()
     assert sum(p["numInputRows"] for p in query.recentProgress) == 450
     query.stop()
