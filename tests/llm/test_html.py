@@ -1,0 +1,74 @@
+"""Main text of pages, and the cut against all labellings."""
+
+import html
+import itertools
+import random
+import re
+
+import pytest
+from conftest import clashing, rows_of
+
+from gavelstream.llm import html_extract as h
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style></head><body class="has-sidebar">
+<header><h1>Site</h1></header><div id="cookie-notice">We use cookies</div><nav><ul><li><a href="/x">Menu</a></ul></nav>
+<main><article><header><h1>Title &eacute;</h1></header><p>First <b>par</b>agraph.<p>Second<br>line &amp;amp; more
+<div class="ad-slot">Buy now</div><script>var x = "<p>no</p>";</script><ul><li>one<li>two</ul><form>Name <input></form><p>Last</article>
+<section class="comments"><article><p>I like this very much indeed, it is a long comment of a reader</p></article></section></main>
+<aside>Side <p>bar</p></aside><footer>foot</footer></body></html>"""
+
+
+def test_article_without_what_surrounds_it():
+    assert h.main_text(PAGE) == "Title é\nFirst paragraph.\nSecond line &amp; more\none\ntwo\nLast"
+
+
+def test_page_without_marks():
+    prose = "Plain text of a page that says nothing about its parts. " * 5
+    page = f"<div><p>{prose}</p><p>Short.</p><p>{prose}</p><div><a href=1>next</a> <a href=2>previous</a></div></div>"
+    assert h.main_text(page) == "\n".join([prose.strip(), "Short.", prose.strip()])
+
+
+@pytest.mark.parametrize("page", ["", "<", '<a "', "<!--x", "<p", "<p>" * 3000 + "x", "<script>x", "</p></div>", "&#0; &bad; &amp",
+                                  "<table><tr><td>a<td>b<tr><td>c</table>", "<select><option>a<option>b", "\x00<p>\x00"])
+def test_broken_pages_end(page):
+    assert isinstance(h.main_text(page), str)
+
+
+def test_cut_is_a_least_one():
+    rng = random.Random(2)
+    for _ in range(150):
+        n = rng.randint(1, 9)
+        cost = [round(rng.uniform(-3, 3), 2) for _ in range(n)]
+        ties = [(i, i + 1, round(rng.uniform(0, 2), 2)) for i in range(n - 1)]
+        ties += [(i, j, round(rng.uniform(0, 2), 2)) for i in range(n) for j in range(i + 2, n) if rng.random() < 0.2]
+
+        def value(labels):
+            return (sum(-c for c, keep in zip(cost, labels) if c < 0 and keep) + sum(c for c, keep in zip(cost, labels) if c > 0 and not keep)
+                    + sum(w for u, v, w in ties if labels[u] != labels[v]))
+
+        least = min(value(labels) for labels in itertools.product([False, True], repeat=n))
+        assert abs(value(h.minimum_cut(cost, ties)) - least) < 1e-6
+
+
+def test_smoothness_carries_a_block_along():
+    assert h.minimum_cut([3.0, -0.5, 3.0], [(0, 1, 1.0), (1, 2, 1.0)]) == [True, True, True]
+    assert h.minimum_cut([3.0, -0.5, 3.0], [(0, 1, 0.1), (1, 2, 0.1)]) == [True, False, True]
+
+
+def test_all_pages_of_the_tables(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in h.extract(pages).collect()}
+    for r in pages.collect():
+        article = r.html[r.html.find("<article>") + 9:r.html.find("</article>")]
+        blocks = [" ".join(html.unescape(re.sub(r"<(?!/?(p|h1)\b)[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        assert got[r.page_id] == "\n".join(filter(None, blocks))
+
+
+def test_rows(spark):
+    pages = spark.createDataFrame([(1, "u", "<article><p>a b</article>"), (1, "u", "<article><p>a b</article>"), (2, None, None),
+                                   (None, "u", "")], "page_id long, url string, html string")
+    out = h.extract(clashing(pages).withColumnRenamed("data", "text"))
+    assert rows_of(out, "page_id", "text") == [(1, "a b"), (1, "a b"), (2, ""), (None, "")]
+    assert "key" in out.columns and h.extract(pages.limit(0)).count() == 0
+    long = "word " * 300_000
+    assert h.main_text(f"<article><p>{long}</article>") == long.strip()
