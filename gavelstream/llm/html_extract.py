@@ -42,6 +42,8 @@ _NAMES = re.compile(
     r"pagination|pager|toolbar|tags|byline)(?![a-z])|(?:advert|sponsor|promo|banner|cookie|consent|notice|alert|menu|nav(?:bar|igation)?(?![a-z])|"
     r"sidebar|side-|footer|header|breadcrumb|comment|discuss|disqus|share|social|related|recommend|newsletter|subscri|"
     r"search|widget|popup|modal|teaser|outbrain|taboola))")
+_CONTENT_NAMES = re.compile(r"(?<![a-z])(?:article|post|entry|story|content|main)(?:[-_]?(?:body|content|text|main))?(?![a-z-])")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _HEADERS = re.compile(r"(?<![a-z])(?:header|masthead|byline)")
 _COMMENTS = re.compile(r"(?<![a-z])(?:comment|respond|repl(?:y|ies)|discuss|disqus)")
 
@@ -59,6 +61,7 @@ class Element:
     marked: bool = False  # as boilerplate
     lasting: bool = False  # marked in a way that no content inside can undo
     content: bool = False
+    named: bool = False  # like content
     holds_content: bool = False
     chars: int = 0
 
@@ -86,11 +89,14 @@ def _opened(tag: str, attributes: str, parent: Element | None) -> Element:
                 if (m := _NAMES.search(value)) and not (in_content and _HEADERS.match(value, m.start())):
                     marked = True
                     made.lasting |= bool(_COMMENTS.search(value))
+                made.named |= bool(_CONTENT_NAMES.search(value))
             elif name == "role":
                 marked |= value in BOILERPLATE_ROLES
                 made.content |= value in ("main", "article")
             elif (name == "hidden" or name == "aria-hidden") and value in ("true", "hidden"):
                 marked = True
+            elif name == "style" and _HIDDEN.search(value):
+                marked = made.lasting = True
     made.marked = marked
     made.lasting |= tag in ("nav", "aside", "footer")
     if made.content:
@@ -213,11 +219,12 @@ def costs(blocks: list[Block]) -> list[float]:
     if not blocks:
         return []
     total = sum(len(b.text) for b in blocks)
-    inside_any = any(_zone(b, total) > 0 for b in blocks)
+    zones = [_zone(b, total) for b in blocks]
+    outside = -4.0 if 2 in zones else -0.5
     found = []
-    for b in blocks:
-        zone, size = _zone(b, total), len(b.text)
-        cost = 8.0 * zone if zone else (-4.0 if inside_any else -0.5)
+    for b, zone in zip(blocks, zones, strict=True):
+        size = len(b.text)
+        cost = {2: 8.0, 1: 3.0 + outside, 0: outside, -1: -8.0}[zone]
         cost += min(1.5, size / 100)
         cost -= 3.0 * (b.linked > size / 2)
         cost += 0.5 * (b.tag in ("h1", "p", "blockquote", "pre"))
@@ -228,12 +235,12 @@ def costs(blocks: list[Block]) -> list[float]:
 
 
 def _zone(block: Block, total: int) -> int:
-    """1 inside an article or main part, -1 inside what is marked as boilerplate, 0 if nothing says."""
+    """2 inside an article or main part, 1 inside what is named like one, -1 inside what is marked as boilerplate, else 0."""
     inside, at = 0, block.owner
     while at is not None:
         if at.marked and not (at.holds_content and not at.lasting and at.chars * 2 > total):
             return -1
-        inside |= at.content
+        inside = max(inside, 2 if at.content else 1 if at.named else 0)
         at = at.parent
     return inside
 

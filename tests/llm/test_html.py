@@ -28,6 +28,13 @@ def test_page_without_marks():
     assert h.main_text(page) == "\n".join([prose.strip(), "Short.", prose.strip()])
 
 
+def test_parts_told_by_their_names():
+    page = """<div class="top-menu">Menu</div><div id="content"><h1>Head</h1><p>Short.</p><div class="related">More</div><p>End.</p>
+    <div style="display: none">secret</div></div><div class="sidebar-content"><p>A text at the side that is quite long, as long as others</p></div>
+    <div class="post-comments"><div class="comment-content">A long opinion of some reader on what has been written above</div></div>"""
+    assert h.main_text(page) == "Head\nShort.\nEnd."
+
+
 @pytest.mark.parametrize("page", ["", "<", '<a "', "<!--x", "<p", "<p>" * 3000 + "x", "<script>x", "</p></div>", "&#0; &bad; &amp",
                                   "<table><tr><td>a<td>b<tr><td>c</table>", "<select><option>a<option>b", "\x00<p>\x00"])
 def test_broken_pages_end(page):
