@@ -97,9 +97,12 @@ def incremental_join(auctions: DataFrame, persons: DataFrame, within: str | None
         own = bucket_start(F.unix_micros("person_ts"), width)
         left = left.withColumn("auction_bucket", bucket_start(F.unix_micros("auction_ts"), width))
         right = right.withColumn("person_bucket", F.explode(F.array(own - width, own, own + width)))
-        near = [F.col("auction_bucket") == F.col("person_bucket"),
-                F.col("auction_ts") >= F.col("person_ts") - reach,
-                F.col("auction_ts") <= F.col("person_ts") + reach]
+        near = [F.col("auction_bucket") == F.col("person_bucket")]
+        if auctions.isStreaming:
+            # in this form Spark reads off the condition when state can go; its sessions are in UTC
+            near += [F.col("auction_ts") >= F.col("person_ts") - reach, F.col("auction_ts") <= F.col("person_ts") + reach]
+        else:
+            near.append(F.abs(F.unix_micros("auction_ts") - F.unix_micros("person_ts")) <= width)
     else:
         left, right = left.drop("auction_ts"), right.drop("person_ts")
     pairs = join_on_seller(left, right, shares, *near)

@@ -50,6 +50,16 @@ def test_join_within_bounds_the_distance(table):
     assert [r[3] for r in rows(batch.local_items(auctions, persons, within="20 seconds"))] == [1, 2]
 
 
+def test_within_is_the_same_time_where_clocks_change(spark, table):
+    march = 69 * 86_400  # 2024-03-10, New York's clocks go forward at 07:00 UTC
+    auctions, persons = table(auction_rows((1, 7, 10, 5, march + 86_400 * 2), (2, 7, 10, 5, march + 86_400 * 2 + 1))), table(person_rows((*ANN, march)))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert [r[3] for r in rows(batch.local_items(auctions, persons, within="2 days"))] == [1]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_repeated_announcement_counts_once(table):
     auctions = table(auction_rows((1, 7, 10, 5, 0), (1, 7, 10, 6, 3), (2, 7, 10, 5, 0)))
     persons = table(person_rows((*ANN, 0)))
