@@ -23,11 +23,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared scratch folder, read back.
 
     Cuts the lineage: a lost executor costs no recomputation of what is above, and
-    every later use reads the same rows.
+    every later use reads the same rows. The files go when the application ends.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
