@@ -1,3 +1,5 @@
+"""Helpers of these tests; the session is that of the folder above."""
+
 import sys
 from pathlib import Path
 
@@ -10,17 +12,6 @@ sys.path.insert(0, str(ROOT))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    from gavelstream.session import build_session
-
-    session = build_session("llm-tests", "local[4]", {
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
-    session.sparkContext.setLogLevel("ERROR")
-    return session
-
-
 @pytest.fixture
 def docs(spark):
     """Rows of (doc_id, text) as documents, in several partitions."""

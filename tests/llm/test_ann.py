@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import clashing
+from llm_support import clashing
 from pyspark.sql import functions as F
 
 from gavelstream.llm import ann, queries

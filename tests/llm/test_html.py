@@ -6,7 +6,7 @@ import random
 import re
 
 import pytest
-from conftest import clashing, rows_of
+from llm_support import clashing, rows_of
 
 from gavelstream.llm import html_extract as h
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import pytest
-from conftest import clashing
+from llm_support import clashing, docs  # noqa: F401
 
 from gavelstream.llm import mixing
 

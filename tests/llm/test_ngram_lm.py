@@ -5,7 +5,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import clashing
+from llm_support import clashing, docs  # noqa: F401
 
 from gavelstream.llm import ngram_lm as lm
 

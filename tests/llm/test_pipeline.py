@@ -7,7 +7,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from conftest import ROOT, clashing, rows_of
+from llm_support import ROOT, clashing, docs, rows_of  # noqa: F401
 from test_decontaminate import plain as plain_contained
 from test_simhash import plain_classes, plain_fingerprint
 

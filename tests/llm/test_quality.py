@@ -1,7 +1,7 @@
 """Held-out accuracy, bounds and odd inputs of the compression classifier."""
 
 import pytest
-from conftest import clashing, rows_of
+from llm_support import clashing, docs, rows_of  # noqa: F401
 from pyspark.sql import functions as F
 
 from gavelstream.llm import quality, queries

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from conftest import clashing, rows_of
+from llm_support import clashing, docs, rows_of  # noqa: F401
 
 from gavelstream.llm import simhash
 

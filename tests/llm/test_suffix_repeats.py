@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import clashing, rows_of
+from llm_support import clashing, docs, rows_of  # noqa: F401
 
 from gavelstream.llm import suffix_repeats as s
 

@@ -4,7 +4,7 @@ import itertools
 import math
 
 import pytest
-from conftest import clashing
+from llm_support import clashing
 from pyspark.sql import functions as F
 
 from gavelstream.llm import queries, url_filter as u
