@@ -15,7 +15,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_EPOCHS = 2
 #: Rows that a key range of one source holds on average, at most.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
