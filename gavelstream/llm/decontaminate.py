@@ -8,12 +8,11 @@ contains enough of the item cannot miss. Documents that meet a sketch are verifi
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelstream.llm.common import ascii_lower, byte_set, mixed, run_hashes, runs, slices, text_of, utf8, written
@@ -65,21 +64,20 @@ def _by_shingle(rows: DataFrame, words: int) -> DataFrame:
 
 
 def sketches(items: DataFrame, words: int = SHINGLE, containment: float = CONTAINMENT) -> tuple[DataFrame, DataFrame]:
-    """All shingles (``item, shingle``) of ``id, text`` rows, and the sketch (``shingle``) with the size class it is for.
+    """All shingles (``item, shingle``) of ``id, text`` rows, and the items' sketches.
 
     An item of n shingles needs m = ceil(containment * n) of them; whoever has m of n has one of any
-    n - m + 1, so the n - m + 1 least hashes are the sketch.
+    n - m + 1. Items of 2^c to 2^(c+1) - 1 shingles are one partition, and its sketches are the
+    least hashes in the number that its largest size asks for.
     """
-    from pyspark.sql import Window
-
     shingles = written(_by_shingle(items, words).withColumnRenamed("id", "item").distinct(), "items")
     per_item = Window.partitionBy("item")
     ranked = (shingles.withColumn("n", F.count("*").over(per_item))
               .withColumn("place", F.row_number().over(per_item.orderBy("shingle")))
               .withColumn("needed", F.ceil(F.col("n") * F.lit(containment) - 1e-9)))
-    sketch = (ranked.where(F.col("place") <= F.col("n") - F.col("needed") + 1)
-              .select("item", "n", "needed", "shingle", F.floor(F.log2("n")).alias("size_class")))
-    return shingles, written(sketch, "sketch")
+    largest = F.pow(F.lit(2.0), F.floor(F.log2("n")) + 1) - 1
+    length = largest - F.ceil(largest * F.lit(containment) - 1e-9) + 1
+    return shingles, written(ranked.where(F.col("place") <= length).select("item", "n", "needed", "shingle"), "sketch")
 
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",

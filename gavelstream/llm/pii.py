@@ -7,7 +7,6 @@ belongs to and check it.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 
