@@ -17,6 +17,7 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that are worked on at once inside a task.
 SLICE_BYTES = 4 << 20
+_HASHED = 1 << 19
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -107,15 +108,22 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     if not len(starts):
         return np.empty(0, np.uint64)
     value = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    longest = int((ends - starts).max())
-    power = np.full(longest, np.uint64(0xD1342543DE82EF95))
+    length = ends - starts
+    power = np.full(int(length.max()), np.uint64(0xD1342543DE82EF95))
     power[0] = 1
     power = np.multiply.accumulate(power)
-    length = ends - starts
-    first = np.cumsum(length) - length
-    within = np.arange(int(length.sum())) - np.repeat(first, length)
-    return mixed(np.add.reduceat(value[data[np.repeat(starts, length) + within]] * power[within], first)
-                 + length.astype(np.uint64))
+    # in blocks, for what is made along the way has eight bytes for each byte of text
+    upto, found, at = np.cumsum(length), np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _HASHED, "right")))
+        some = length[at:end]
+        first = np.cumsum(some) - some
+        within = np.arange(int(some.sum())) - np.repeat(first, some)
+        byte = value[data[np.repeat(starts[at:end], some) + within]]
+        byte *= power[within]
+        found[at:end] = np.add.reduceat(byte, first)
+        at = end
+    return mixed(found + length.astype(np.uint64))
 
 
 def components(links: DataFrame, name: str) -> DataFrame:

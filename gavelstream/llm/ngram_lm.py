@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelstream.llm.common import SPACES, ascii_lower, byte_set, mixed, run_hashes, runs, slices, text_of, utf8, written
+from gavelstream.llm.common import SPACES, ascii_lower, byte_set, mixed, run_hashes, runs, slices, text_of, written
 
 ORDER, CUTOFF, BACKOFF = 3, 2, 0.4
 SLICE = 4 << 20
@@ -51,7 +53,7 @@ def _pieces(data: bytes, context: int) -> Iterator[tuple[bytes, int]]:
 
 def _pack(context: int, id_type: pa.DataType):
     schema = pa.schema([("slice", pa.int64()), ("rows", pa.list_(pa.int64())), ("ids", pa.list_(id_type)),
-                        ("skips", pa.list_(pa.int32())), ("texts", pa.list_(pa.binary()))])
+                        ("skips", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64())), ("texts", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = row = TaskContext.get().partitionId() << 40
@@ -60,8 +62,10 @@ def _pack(context: int, id_type: pa.DataType):
 
         def done() -> pa.RecordBatch:
             rows, ids, skips, texts = (list(c) for c in zip(*held, strict=True))
+            offsets = [0, *accumulate(map(len, texts))]
+            packed = zstandard.ZstdCompressor().compress(b"".join(texts))
             return pa.RecordBatch.from_arrays(
-                [pa.array([v], f.type) for v, f in zip((number, rows, ids, skips, texts), schema, strict=True)], schema=schema)
+                [pa.array([v], f.type) for v, f in zip((number, rows, ids, skips, offsets, packed), schema, strict=True)], schema=schema)
 
         for batch in batches:
             for part in slices(batch, "data"):
@@ -82,8 +86,7 @@ def _pack(context: int, id_type: pa.DataType):
 class _Words:
     """The words of a slice: hash, place in its piece, piece, and whether they are the piece's own."""
 
-    def __init__(self, texts: pa.Array, skips: np.ndarray) -> None:
-        data, offsets = utf8(texts.cast(pa.large_binary()).view(pa.large_string()))
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, skips: np.ndarray) -> None:
         data = ascii_lower(data)
         starts, ends, first = runs(~_SPACE[data], offsets)
         self.hash = run_hashes(data, starts, ends)
@@ -107,11 +110,15 @@ def _parts(names: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _read(batch: pa.RecordBatch, i: int) -> _Words:
-    return _Words(batch.column("texts")[i].values, batch.column("skips")[i].values.to_numpy())
+    data = zstandard.ZstdDecompressor().decompress(batch.column("texts")[i].as_py())
+    return _Words(np.frombuffer(data, np.uint8), batch.column("offsets")[i].values.to_numpy(), batch.column("skips")[i].values.to_numpy())
 
 
 def count_table(table: DataFrame, order: int, bits: int) -> DataFrame:
-    """``slice, part, counts``: for each slice's distinct n-grams of a partition, by hash, how often the corpus has them."""
+    """``slice, part, counts``: for each slice's distinct n-grams of a partition, by hash, how often the corpus has them.
+
+    Counts are packed, for most are small.
+    """
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -133,8 +140,9 @@ def count_table(table: DataFrame, order: int, bits: int) -> DataFrame:
         counts = np.frombuffer(b"".join(asked.column("counts").to_pylist()), np.uint32)
         totals = np.bincount(which, counts).astype(np.int64)[which]
         ends = np.cumsum([len(n) for n in names])[:-1]
+        pack = zstandard.ZstdCompressor(level=1).compress
         return pa.table({"slice": asked.column("slice"), "part": asked.column("part"),
-                         "counts": pa.array([t.tobytes() for t in np.split(totals, ends)], pa.binary())})
+                         "counts": pa.array([pack(t.tobytes()) for t in np.split(totals, ends)], pa.binary())})
 
     return (table.mapInArrow(ask, "part long, slice long, names binary, counts binary")
             .groupBy("part").applyInArrow(total, "slice long, part long, counts binary"))
@@ -159,9 +167,9 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if kind not in ("string", "int", "bigint"):
         raise ValueError("ids: int, bigint or string")
     table = written(rows.mapInArrow(_pack(order - 1, id_type), f"slice long, rows array<long>, ids array<{kind}>, skips array<int>, "
-                                    "texts array<binary>"), "lm-slices")
+                                    "offsets array<long>, texts binary"), "lm-slices")
     # a word and its white space take two bytes at least, six or so on average
-    n_bytes = table.agg(F.sum(F.expr("aggregate(texts, 0L, (n, t) -> n + octet_length(t))"))).first()[0] or 0
+    n_bytes = table.agg(F.sum(F.element_at("offsets", -1))).first()[0] or 0
     bits = max(0, min(40, (n_bytes // 6 // TABLE_NGRAMS).bit_length()))
     counts = [written(count_table(table, k, bits).withColumn("k", F.lit(k)), f"lm-counts-{k}") for k in range(1, order + 1)]
     answers = counts[0]
@@ -171,6 +179,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_words = _own_words(table)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(batch.num_rows):
                 words = _read(batch, i)
@@ -181,7 +190,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     at, name = words.grams(k)
                     unique, which = np.unique(name, return_inverse=True)
                     parts = _parts(unique, bits)
-                    found = [np.frombuffer(totals[k, p], np.int64) for p in np.unique(parts).tolist()]
+                    found = [np.frombuffer(unpack(totals[k, p]), np.int64) for p in np.unique(parts).tolist()]
                     count = np.zeros(n, np.int64)
                     if found:
                         count[at] = np.concatenate(found)[which]
