@@ -11,7 +11,7 @@ Only whether two suffixes agree in their first ``length`` bytes matters, not whi
 3. The remaining suffixes, those whose window reaches such a tuple, are merged in with their full names, and
    neighbours in sorted order are compared: equal ones are repeats.
 
-Texts travel in slices of a few MB; a sort partition is asked about a slice's names with one packed row
+Texts travel in slices of about a MB; a sort partition is asked about a slice's names with one packed row
 and answers with one bit each. Texts that occur several times as a whole are taken once.
 """
 
@@ -34,7 +34,7 @@ PERIOD = 273
 COVER = (1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256)
 #: Parts in which the second round looks at where a window may begin.
 PARTS = 4
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Names that one sort partition holds on average.
 SORTED_NAMES = 1 << 20
 
