@@ -11,26 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelstream.llm import decontaminate, mixing, pii, quality, simhash
-from gavelstream.llm.common import few, freed_shuffles, written
+from gavelstream.llm.common import bounded, few, written
 from gavelstream.llm.queries import held_out
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier doesn't reject (score under 0.5); it learns from the labels that are not held out."""
-    freed_shuffles(spark)
+    bounded(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()))
     return quality.scored(docs, model, score_col="quality_score").where("quality_score >= 0.5").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least id, of each group tied by fingerprints within three bits."""
-    freed_shuffles(spark)
+    bounded(spark)
     return simhash.representatives(docs)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold less than 0.8 of the five-word shingles of every benchmark item."""
-    freed_shuffles(spark)
+    bounded(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     named, unnamed = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
     found = decontaminate.contained(named, items).select("doc_id").distinct()
@@ -46,7 +46,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes: ``doc_id, source, size, source_size, target, taken`` where ``taken`` is over 0."""
-    freed_shuffles(spark)
+    bounded(spark)
     return mixing.mix(docs).where("taken > 0")
 
 

@@ -40,9 +40,14 @@ def few(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def freed_shuffles(spark: SparkSession) -> None:
-    """Lets shuffle files go when the query that wrote them has ended, not when the driver collects garbage."""
+def bounded(spark: SparkSession) -> None:
+    """Sets what keeps the operators' disk and memory low.
+
+    Shuffle files go when the query that wrote them has ended, not when the driver collects garbage, and
+    rows go to Python workers in small batches, of which the JVM and the worker hold several.
+    """
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def text_of(column: str | Column) -> Column:

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelstream.llm import ann, decontaminate, html_extract, mixing, ngram_lm, pii, quality, simhash, suffix_repeats, url_filter
-from gavelstream.llm.common import freed_shuffles
+from gavelstream.llm.common import bounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    freed_shuffles(spark)
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
