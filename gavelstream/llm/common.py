@@ -20,7 +20,12 @@ SLICE_BYTES = 4 << 20
 _HASHED = 1 << 19
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: For tables with rows of about a MB: by default a Parquet page has 100 rows at least, and each is held unpacked outside the heap.
+LARGE_ROWS = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 2, "parquet.page.row.count.limit": 1,
+              "parquet.block.size": 8 << 20, "parquet.enable.dictionary": "false"}
+
+
+def written(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """``df`` as a table in the shared scratch folder, read back.
 
     Cuts the lineage: a lost executor costs no recomputation of what is above, and
@@ -28,7 +33,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

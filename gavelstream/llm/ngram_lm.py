@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelstream.llm.common import SPACES, ascii_lower, byte_set, mixed, run_hashes, runs, slices, text_of, written
+from gavelstream.llm.common import LARGE_ROWS, SPACES, ascii_lower, byte_set, mixed, run_hashes, runs, slices, text_of, written
 
 ORDER, CUTOFF, BACKOFF = 3, 2, 0.4
 SLICE = 4 << 20
@@ -167,7 +167,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if kind not in ("string", "int", "bigint"):
         raise ValueError("ids: int, bigint or string")
     table = written(rows.mapInArrow(_pack(order - 1, id_type), f"slice long, rows array<long>, ids array<{kind}>, skips array<int>, "
-                                    "offsets array<long>, texts binary"), "lm-slices")
+                                    "offsets array<long>, texts binary"), "lm-slices", LARGE_ROWS)
     # a word and its white space take two bytes at least, six or so on average
     n_bytes = table.agg(F.sum(F.element_at("offsets", -1))).first()[0] or 0
     bits = max(0, min(40, (n_bytes // 6 // TABLE_NGRAMS).bit_length()))

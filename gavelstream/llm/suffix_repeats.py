@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelstream.llm.common import mixed, slices, text_of, written
+from gavelstream.llm.common import LARGE_ROWS, mixed, slices, text_of, written
 
 LENGTH = 400
 #: A perfect difference set; every residue modulo 273 is a difference of two of them.
@@ -302,15 +302,16 @@ def _covered(plan: Plan) -> Callable[[Slice, np.ndarray], list[tuple[str, int, i
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """``key, start, end``: byte ranges of the distinct texts (``key, data``) that hold a repeat; some may overlap or touch."""
     plan = plan_for(length)
-    table = written(texts.select("key", "data").mapInArrow(_pack_texts(plan), _SLICE_SCHEMA), "repeat-slices")
+    table = written(texts.select("key", "data").mapInArrow(_pack_texts(plan), _SLICE_SCHEMA), "repeat-slices", LARGE_ROWS)
     total = table.agg(F.sum(F.length("data"))).first()[0] or 0
 
     def count(table: DataFrame) -> int:
         return table.agg(F.sum(F.size("marks"))).first()[0] or 0
 
     table = written(_answered(table, _sampled, plan, total * len(plan.cover) // plan.period, _regions(plan), _SLICE_SCHEMA, _batch),
-                    "repeat-regions")
-    table = written(_answered(table, _around, plan, count(table) * PARTS, _candidates(plan), _SLICE_SCHEMA, _batch), "repeat-windows")
+                    "repeat-regions", LARGE_ROWS)
+    table = written(_answered(table, _around, plan, count(table) * PARTS, _candidates(plan), _SLICE_SCHEMA, _batch), "repeat-windows",
+                    LARGE_ROWS)
 
     def rows(found: list[tuple[str, int, int]]) -> pa.RecordBatch:
         key, start, end = zip(*found, strict=True)
