@@ -22,7 +22,7 @@ _HASHED = 1 << 19
 
 #: For tables with rows of about a MB: by default a Parquet page has 100 rows at least, and each is held unpacked outside the heap.
 LARGE_ROWS = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 2, "parquet.page.row.count.limit": 1,
-              "parquet.block.size": 8 << 20, "parquet.enable.dictionary": "false"}
+              "parquet.block.size": 8 << 20, "parquet.enable.dictionary": "false", "compression": "zstd"}
 
 
 def written(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
