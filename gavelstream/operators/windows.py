@@ -81,8 +81,9 @@ def hot_items(bids: DataFrame, peaks_of: DataFrame, size: str, slide: str) -> Da
     def dealt(df: DataFrame) -> DataFrame:
         share = F.pmod(F.xxhash64("auction"), F.lit(shares)).cast("int")
         # the join asks for keys that are not null; asked in both passes, they read one shuffle
+        # as many partitions as shares: left to AQE, they would be merged by the size they have ahead of the copying
         return (windows.panes(df).withColumn("share", share).where("share IS NOT NULL AND stretch IS NOT NULL")
-                .repartition("share", "stretch"))
+                .repartition(shares, "share", "stretch"))
 
     counts = (dealt(peaks_of).withColumn("start", F.explode(windows.in_stretch()))
               .groupBy("share", "stretch", "start", "auction").agg(F.sum("num").alias("num")))
