@@ -2,13 +2,11 @@
 
 Every vector is represented by its nearest pivots in order. It is posted under each of them, so a pivot's
 inverted file holds the vectors that see the pivot among their nearest. A query reads the files of its own nearest
-pivots, ranks what it finds by the footrule distance of the two orders, and reranks the best by the exact
-cosine.
+pivots whole: each part of a file gives its exact nearest by cosine, so nothing that a file holds is left out.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +16,19 @@ from pyspark.sql import functions as F
 
 from gavelstream.llm.common import written
 
-#: Bound of the fit: the pivots are chosen among this many vectors at most. A place in an order is one byte.
+#: Bound of the fit: the pivots are chosen among this many vectors at most.
 SAMPLE, PIVOTS = 20_000, 128
 #: Inverted files that a vector is posted in, and that a query reads.
 POSTED, PROBES = 16, 8
-#: Candidates that are reranked for each wanted neighbour: half the square root of the rows, this many at least.
-RERANKED = 60
-#: Postings of one inverted file that are searched in one go; longer files are split.
-FILE_ROWS = 20_000
+#: Up to this many rows for each wanted neighbour, queries read every inverted file.
+FEW_ROWS = 60
+#: Postings of one inverted file, and queries, that meet in one go; longer files and more queries are split. Wide vectors
+#: are split to ``FILE_BYTES`` as doubles.
+FILE_ROWS, FILE_BYTES = 20_000, 32 << 20
+#: Cosines that are held at once, and components of pairs whose cosine is taken again.
+_HELD = 1 << 21
+#: How far a product of matrices may be from the cosine of the same two vectors taken alone.
+_SLACK = 1e-12
 
 
 def usable(vector: str | Column) -> Column:
@@ -54,22 +57,22 @@ def choose_pivots(vectors: np.ndarray, count: int) -> np.ndarray:
     return unit[chosen]
 
 
-def orders(rows: DataFrame, pivots: np.ndarray, posted: int) -> DataFrame:
-    """``vec_id, places, near``: each pivot's place in the vector's order of pivots, a byte each, and the first ``posted`` pivots."""
+def orders(rows: DataFrame, pivots: np.ndarray, posted: int, single: bool) -> DataFrame:
+    """``vec_id, asks, vector, near``: the vector packed as bytes (of floats if ``single``), and the first ``posted`` pivots of its order."""
+    packed = np.float32 if single else np.float64
+
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
-            order = np.argsort(-(_unit(flat.reshape(batch.num_rows, -1)) @ pivots.T), axis=1, kind="stable")
-            places = np.argsort(order, axis=1).astype(np.uint8)
-            near = order[:, :posted].astype(np.int32)
+            vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            near = np.argsort(-(_unit(vectors) @ pivots.T), axis=1, kind="stable")[:, :posted].astype(np.int32)
             ends = np.arange(batch.num_rows + 1, dtype=np.int32) * near.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), pa.array([p.tobytes() for p in places], pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel()))], ["vec_id", "places", "near"])
+                [batch.column("vec_id"), batch.column("asks"), pa.array([v.tobytes() for v in vectors.astype(packed)], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel()))], ["vec_id", "asks", "vector", "near"])
 
-    return rows.mapInArrow(rank, f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, places binary, near array<int>")
+    return rows.mapInArrow(rank, f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, asks boolean, vector binary, near array<int>")
 
 
 def footrule(own: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -77,17 +80,57 @@ def footrule(own: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (np.maximum(own, others) - np.minimum(own, others)).sum(axis=1, dtype=np.int32)
 
 
+def _without_copies(ids: np.ndarray, unit: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` least ids of each distinct vector, ids ascending: no list of ``most`` - 1 others has room for more."""
+    by_id = np.argsort(ids, kind="stable")
+    _, same = np.unique(np.ascontiguousarray(unit).view(np.dtype((np.void, unit.shape[1] * unit.itemsize))).ravel(), return_inverse=True)
+    by_vector = by_id[np.argsort(same[by_id], kind="stable")]
+    starts = np.flatnonzero(np.diff(same[by_vector], prepend=-1))
+    place = np.arange(len(ids)) - np.repeat(starts, np.diff(starts, append=len(ids)))
+    kept = np.zeros(len(ids), bool)
+    kept[by_vector[place < most]] = True
+    return by_id[kept[by_id]]
+
+
+def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, unit: np.ndarray,
+            k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every query (unit vectors) the exact ``k`` nearest others: places of queries, places of ``ids``, and the cosines."""
+    kept = _without_copies(ids, unit, k + 1)
+    ids, unit = ids[kept], unit[kept]
+    found: list[tuple[np.ndarray, ...]] = []
+    step, pairs = max(1, _HELD // max(1, len(ids))), max(1, _HELD // unit.shape[1])
+    for at in range(0, len(queries), step):
+        block, own = queries[at:at + step], query_ids[at:at + step]
+        near = block @ unit.T
+        place = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        itself = np.flatnonzero(ids[place] == own)
+        near[itself, place[itself]] = -np.inf
+        edge = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(block), -np.inf)
+        q, v = np.nonzero((near >= edge[:, None] - _SLACK) & (near > -np.inf))
+        # again pair by pair: the last digits of a product of matrices depend on where a vector stands
+        score = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", block[q[i:i + pairs]], unit[v[i:i + pairs]])
+                                               for i in range(0, len(q), pairs))])
+        order = np.lexsort((v, -score, q))
+        q, v, score = q[order], v[order], score[order]
+        first = np.searchsorted(q, np.arange(len(block)))
+        top = np.arange(len(q)) - first[q] < k
+        found.append((q[top] + at, kept[v[top]], score[top]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-            pivots: int = PIVOTS, posted: int = POSTED, probes: int = PROBES, reranked: int = RERANKED) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each row that ``queries`` picks the ``k`` nearest found of all other rows.
+            pivots: int = PIVOTS, posted: int = POSTED, probes: int = PROBES) -> DataFrame:
+    """``query_id, rank, vec_id, score``: for each row that ``queries`` picks the ``k`` nearest of all other rows in the files it reads.
 
     Score is the cosine in double precision of the original vectors; ties go to the smaller id. Vectors that are null,
     zero, of another length than most, or hold a null or non-finite component take no part, nor do rows without an id. Rows of
     one id are one vector (the least by value). Every other row is indexed; the pivots (256 at most) are chosen
-    in a bounded sample. Where there are no more rows than candidates to rerank, every file is read and all rows are.
+    in a bounded sample. What a read file holds is compared exactly, however many of its vectors are alike. Where there
+    are no more than ``FEW_ROWS`` rows for each wanted neighbour, every file is read and all rows are.
     """
     if not 1 <= pivots <= 256:
         raise ValueError("pivots: 1 to 256")
+    single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
     picked = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"),
                             queries.alias("asks")).where(F.col("vec_id").isNotNull() & usable("vector"))
     rows = written(picked.groupBy("vec_id").agg(F.min(F.struct("vector", "asks")).alias("v"))
@@ -97,64 +140,55 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     result = f"query_id {kind}, rank int, vec_id {kind}, score double"
     if not sizes:
         return vectors.sparkSession.createDataFrame([], result)
-    rows = rows.where(F.size("vector") == sizes[0]["d"])
-    n = sizes[0]["count"]
+    width, n = sizes[0]
+    rows = rows.where(F.size("vector") == width)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()
     chosen = choose_pivots(np.array([r[0] for r in sample]), pivots)
-    best = k * max(reranked, int(math.sqrt(n) / 2))
-    width, posted, probes = len(chosen), min(posted, len(chosen)), min(probes, len(chosen))
+    posted, probes = min(posted, len(chosen)), min(probes, len(chosen))
 
-    index = written(orders(rows, chosen, posted).join(rows.select("vec_id", "asks"), "vec_id"), "orders")
+    index = written(orders(rows, chosen, posted, single), "orders")
     every = F.sequence(F.lit(0), F.lit(len(chosen) - 1))
-    files = index.select("vec_id", "places", F.explode("near").alias("pivot"))
+    files = index.select("vec_id", "vector", F.explode("near").alias("pivot"))
     asked = index.where("asks").select(
-        "vec_id", "places", F.explode(F.slice("near", 1, min(probes, posted)) if n > best else every).alias("pivot"))
-    # the length of each inverted file says into how many parts it goes; a query reads all of them
-    parts = (files.groupBy("pivot").count()
-             .select("pivot", F.ceil(F.col("count") / FILE_ROWS).cast("int").alias("parts")).collect())
-    parts = F.create_map(*(F.lit(x) for r in parts for x in (r["pivot"], r["parts"])))
-    files = files.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts[F.col("pivot")]).cast("int"))
-    asked = (asked.withColumn("parts", parts[F.col("pivot")]).where("parts IS NOT NULL")
-             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+        "vec_id", "vector", F.explode(F.slice("near", 1, min(probes, posted)) if n > k * FEW_ROWS else every).alias("pivot"))
+    # the numbers of postings and of queries of a pivot say into how many parts either goes; every two parts meet
+    most = max(1, min(FILE_ROWS, FILE_BYTES // (8 * width)))
 
-    def look(asks: pa.Table, file: pa.Table) -> pa.Table:
-        ids = file.column("vec_id").to_numpy()
-        by_id = np.argsort(ids, kind="stable")
-        ids = ids[by_id]
-        there, own = (np.frombuffer(b"".join(t.column("places").to_pylist()), np.uint8).reshape(t.num_rows, width) for t in (file, asks))
-        there = there[by_id] if len(ids) else there
-        found: list[tuple[np.ndarray, ...]] = []
-        for query, places in zip(asks.column("vec_id").to_numpy(), own, strict=True):
-            far = footrule(places, there) if len(ids) else np.empty(0, np.int32)
-            others = np.flatnonzero(ids != query)
-            if len(others) > best:
-                # ids ascend: of equal distances the smaller ids stay
-                edge = np.partition(far[others], best - 1)[best - 1]
-                nearer, at_edge = others[far[others] < edge], others[far[others] == edge]
-                others = np.concatenate([nearer, at_edge[:best - len(nearer)]])
-            found.append((np.full(len(others), query), ids[others], far[others]))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], []]
-        id_type = file.schema.field("vec_id").type
-        return pa.table({"query_id": pa.array(columns[0], id_type), "vec_id": pa.array(columns[1], id_type),
-                         "far": pa.array(columns[2], pa.int32())})
+    def dealt(table: DataFrame) -> dict[int, int]:
+        return {r["pivot"]: -(-r["count"] // most) for r in table.groupBy("pivot").count().collect()}
 
-    found = (asked.select("pivot", "part", "vec_id", "places").groupBy("pivot", "part")
-             .cogroup(files.select("pivot", "part", "vec_id", "places").groupBy("pivot", "part"))
-             .applyInArrow(look, f"query_id {kind}, vec_id {kind}, far int"))
-    # at most best * probes * parts short rows of a query meet here
-    ranked = found.distinct().groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("far", "vec_id"))).alias("c"))
-    candidates = ranked.select("query_id", F.explode(F.slice("c", 1, best)).alias("c")).select("query_id", "c.vec_id")
+    def of_pivot(counts: dict[int, int]) -> Column:
+        return F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))[F.col("pivot")]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("a", "b"))
-            cosine = np.einsum("ij,ij->i", _unit(a), _unit(b)) if batch.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(cosine)],
-                                             ["query_id", "vec_id", "score"])
-
-    pairs = (candidates.join(rows.select("vec_id", F.col("vector").alias("b")), "vec_id")
-             .join(rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("a")), "query_id")
-             .mapInArrow(score, f"query_id {kind}, vec_id {kind}, score double"))
+    parts, asks_parts = dealt(files), dealt(asked)
+    met = parts.keys() & asks_parts.keys()
+    if not met:
+        return vectors.sparkSession.createDataFrame([], result)
+
+    def cut(table: DataFrame, own: str, counts: dict[int, int], other: str, others: dict[int, int]) -> DataFrame:
+        return (table.where(F.col("pivot").isin(*met))
+                .withColumn(own, F.pmod(F.xxhash64("vec_id"), of_pivot(counts)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), of_pivot(others) - 1))))
+
+    files = cut(files, "part", parts, "asks_part", asks_parts)
+    asked = cut(asked, "asks_part", asks_parts, "part", parts)
+    packed = np.float32 if single else np.float64
+
+    def look(asks: pa.Table, file: pa.Table) -> pa.Table:
+        id_type = file.schema.field("vec_id").type
+        scores = pa.schema([("query_id", id_type), ("vec_id", id_type), ("score", pa.float64())])
+        if not asks.num_rows or not file.num_rows:
+            return scores.empty_table()
+        own, there = (_unit(np.frombuffer(b"".join(t.column("vector").to_pylist()), packed).astype(float).reshape(t.num_rows, -1))
+                      for t in (asks, file))
+        q, v, score = best_of(asks.column("vec_id").to_numpy(), own, file.column("vec_id").to_numpy(), there, k)
+        return pa.table([asks.column("vec_id").take(pa.array(q)), file.column("vec_id").take(pa.array(v)), pa.array(score)], schema=scores)
+
+    by = ["pivot", "part", "asks_part"]
+    found = (asked.select(*by, "vec_id", "vector").groupBy(*by).cogroup(files.select(*by, "vec_id", "vector").groupBy(*by))
+             .applyInArrow(look, f"query_id {kind}, vec_id {kind}, score double"))
+    # at most k * probes * parts short rows of a query meet here
+    pairs = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
     return (pairs.groupBy("query_id").agg(top.alias("t")).select("query_id", F.posexplode("t").alias("p", "t"))
             .select("query_id", (F.col("p") + 1).alias("rank"), "t.vec_id", (-F.col("t.s")).alias("score")))

@@ -82,3 +82,32 @@ def test_nothing_to_find(spark, rows):
 def test_footrule():
     own, others = np.array([0, 1, 2], np.uint8), np.array([[0, 1, 2], [2, 1, 0], [1, 0, 2]], np.uint8)
     assert ann.footrule(own, others).tolist() == [0, 4, 2]
+
+
+@pytest.mark.parametrize("noise", [0.01, 0.0001])
+def test_recall_among_near_copies(spark, monkeypatch, noise):
+    monkeypatch.setattr(ann, "FILE_ROWS", 300)
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(3000, 32))
+    vectors[::3] = vectors[0] + noise * rng.normal(size=(1000, 32))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).repartition(4)
+    got, expected = found(ann.nearest(df, F.col("vec_id") % 25 == 0)), plain(rows, range(0, 3000, 25))
+    alike = [q for q in expected if q % 3 == 0]
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) for q in alike) >= 0.99 * 5 * len(alike)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) for q in expected) >= 0.9 * 5 * len(expected)
+
+
+def test_best_of_a_file_are_exact():
+    rng = np.random.default_rng(7)
+    unit = rng.normal(size=(400, 8))
+    unit[100:300] = unit[5]
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    ids = rng.permutation(400)
+    for k in (1, 5, 500):
+        q, v, score = ann.best_of(ids[:120], unit[:120], ids, unit, k)
+        for i in range(120):
+            cosine = np.einsum("ij,ij->i", np.broadcast_to(unit[i], unit.shape), unit)
+            best = [j for j in np.lexsort((ids, -cosine)) if j != i]
+            best = best[:k] if k < 500 else [j for j in best if j in set(v[q == i])]
+            assert v[q == i].tolist() == best and score[q == i].tolist() == cosine[best].tolist()
