@@ -65,7 +65,8 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES, url_filter.example_model())
+    pages = _table(spark, sf_dir, "pages")
+    found = url_filter.judge(pages.select("page_id", "url"), RULES, url_filter.counted(pages, url_filter.example_model()))
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 

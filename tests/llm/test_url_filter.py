@@ -78,3 +78,50 @@ def test_rows(spark):
     out = u.judge(pages.withColumn("host", F.lit("old")).withColumn("verdict", F.lit(1)), queries.RULES, u.example_model())
     assert out.count() == 3 and {r.verdict for r in out.collect()} == {"allow"}
     assert u.judge(pages.limit(0), queries.RULES, u.example_model()).count() == 0
+
+
+#: Names that are no word of the lexicon. These came up along with it, by the same hand, so they are held out as names only;
+#: the later ones were made when the lexicon was done, and it has not changed since.
+BAD_NAMES = (
+    "luckyroulette grandpokerroom onlinecasinobonus royal-blackjack bestsportsbook megajackpotslots betting-tips-daily free-spins-casino viagra-express "
+    "buycialisnow xanax-shop diet-pills-fast cheapmeds pornhouse xxxmovies nudecams hotgirlscams adulthookup sexdating erotic-stories warezworld "
+    "keygen-archive crackedgames phishing-kit botnetrental paydayloans instantcashloans cryptogiveaway replicarolex cheap-followers "
+    "buybacklinks popunder-network spammer-tools torrentpirate lotterywinner millionaireforex serialhacks ransomware-store escortsguide").split()
+CLEAN_NAMES = (
+    "fastmail getty videolan getaway buyer-guide linksgolf nowtoronto winchester freebsd farmers-weekly trackmania "
+    "cardiff-council adulteducation spamfilter luckyluke cheapflights cityhospital poetryarchive sexeducation onlinelearning weathermaps "
+    "gamesradar cashew betterhomes slotmachinehistory clubpenguin mediawiki stackoverflow bakerycoffee villagechurch datingscience "
+    "railwaymuseum hotelreviews watchmaker oceanography tibetanbooks").split()
+LATER_BAD = (
+    "vegasspins hotslotsbonus winbigpoker bitcoin-doubler fakewatches essaywriters weightlossmiracle sexshopdirect livecamsex hornysingles "
+    "rxmedsonline genericviagra noprescriptionmeds moviepirates freecracksoftware passwordstealer keyloggerpro quickloansnow "
+    "binaryoptionsprofit clickfraudbot").split()
+LATER_CLEAN = (
+    "botanicgarden analyticsweekly grassroots therapist bassexpert specialists expertsexchange scunthorpe cocktails padstow breadmaking "
+    "spinstitch betaversion alphabetsoup loanword pillowtalk seoulguide camera-shop cashmere forexample hackathon dieticians oddsandends "
+    "bankofengland serialpodcast camping adsorption crackerbarrel spamalot casinoroyalereview").split()
+
+
+def verdicts(spark, urls, model):
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    return {urls[r.page_id]: r.verdict for r in u.judge(df, [], model).collect()}
+
+
+def test_rates_on_names_held_out(spark):
+    model = u.counted(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), u.example_model())
+    for m in (model, u.example_model()):
+        rates = []
+        for names in (BAD_NAMES, CLEAN_NAMES, LATER_BAD, LATER_CLEAN):
+            got = verdicts(spark, [f"https://www.{n}.net/en/1" for n in names], m)
+            rates.append(sum(v == "block" for v in got.values()) / len(got))
+        print(rates)  # of the later bad ones, most are allowed: their words are not in the lexicon
+        assert rates[0] >= 0.7 and rates[1] <= 0.05 and rates[3] <= 0.2
+        assert not {*BAD_NAMES, *CLEAN_NAMES, *LATER_BAD, *LATER_CLEAN} & m.odds.keys()
+
+
+def test_unigrams_are_those_of_all_pages(spark):
+    pages = [("http://big-stonehouse.net/old/1", "<p>Stone &amp; stone <script>house</script><b class='stone'>stone</b> house of cards</p>")] * 3
+    model = u.counted(spark.createDataFrame([*pages, (None, None)], "url string, html string").repartition(2), u.example_model())
+    assert (model.counts["stone"], model.counts["house"], model.counts["stonehouse"], model.counts["big"]) == (9, 3, 3, 12)
+    assert "cards" in model.counts and "of" not in model.counts and model.counts["casino"] == 18
+    assert "lexicon" not in model.counts and u.segment("bighouse", model.counts, model.total) == ["big", "house"]
