@@ -50,14 +50,14 @@ ALLOWED_WORDS = (
 #: How often a word of either kind counts as seen, and the log odds that a host is bad before any word is read (about one in five).
 SEEN = {"strong": 18, "weak": 6, "common": 6, "allowed": 6}
 PRIOR = -1.5
-#: Added to both counts of a word.
-SMOOTHING = 1.0
+#: Added to both counts of a word, so that one that a single example has stays below the margin of ``judge``.
+SMOOTHING = 2.0
 #: What a word of the path weighs against one of the host.
-PATH_WEIGHT = 1.0
+PATH_WEIGHT = 0.5
 #: The share of all words that a word of the lexicon or of labelled URLs has at least in the unigram model.
 LEAST_SHARE = 1e-5
 #: Shorter words beside a piece that is no word are taken for chance.
-SURE_LETTERS = 1
+SURE_LETTERS = 5
 
 _TOKEN = re.compile(r"[a-z]+|[^\W\d_a-z]+")
 _MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")

@@ -115,10 +115,19 @@ def test_rates_on_names_held_out(spark):
             got = verdicts(spark, [f"https://www.{n}.net/en/1" for n in names], m)
             rates.append(sum(v == "block" for v in got.values()) / len(got))
         print(rates)  # of the later bad ones, most are allowed: their words are not in the lexicon
-        assert rates[0] >= 0.7 and rates[1] <= 0.05 and rates[3] <= 0.2
+        assert rates[0] >= 0.7 and rates[1] <= 0.05 and rates[3] <= 0.1
         assert not {*BAD_NAMES, *CLEAN_NAMES, *LATER_BAD, *LATER_CLEAN} & m.odds.keys()
 
 
+def test_one_common_word_blocks_nothing(spark):
+    urls = [f"https://www.example.net/en/{w}/1.html" for w in ("videos", "buy", "get", "now", "fast", "links", "x", "casino")]
+    urls += ["https://x.net/", "https://fastmail.com/", "https://getty.edu/", "https://cheap.net/"]
+    assert set(verdicts(spark, urls, u.example_model()).values()) == {"allow"}
+    rows = [("http://rare-casino.com/", True), ("http://lone-river.com/", False)]
+    fitted = u.fit(spark.createDataFrame(rows, "url string, blocked boolean"))
+    assert set(verdicts(spark, ["http://rare.net/"], fitted).values()) == {"allow"}
+
+
 def test_unigrams_are_those_of_all_pages(spark):
     pages = [("http://big-stonehouse.net/old/1", "<p>Stone &amp; stone <script>house</script><b class='stone'>stone</b> house of cards</p>")] * 3
     model = u.counted(spark.createDataFrame([*pages, (None, None)], "url string, html string").repartition(2), u.example_model())
