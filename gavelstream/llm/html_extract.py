@@ -37,15 +37,21 @@ _P_LIMIT = frozenset("table td th caption button object body html article sectio
 CONTENT_TAGS = frozenset({"article", "main"})
 BOILERPLATE_TAGS = frozenset("nav aside footer header form menu dialog search fieldset".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+_ENDS = (r"(?:s|list|box|bar|form|area|wrapper|wrap|container|link|icon|button|section|block|menu|nav|right|left|top|bottom|panel|"
+         r"inner|content|text|title|item|column)*(?![a-z])")
 _NAMES = re.compile(
-    r"(?<![a-z])(?:(?:ads?|adv|adbox|adslot|gdpr|aside|masthead|respond|reply|replies|login|signup|overlay|copyright|"
-    r"pagination|pager|toolbar|tags|byline)(?![a-z])|(?:advert|sponsor|promo|banner|cookie|consent|notice|alert|menu|nav(?:bar|igation)?(?![a-z])|"
-    r"sidebar|side-|footer|header|breadcrumb|comment|discuss|disqus|share|social|related|recommend|newsletter|subscri|"
-    r"search|widget|popup|modal|teaser|outbrain|taboola))")
+    r"(?<![a-z])(?:side-(?!by(?![a-z]))|(?:ad|ads|adv|adbox|adslot|adsbygoogle|advert(?:isement|ising|iser)?|gdpr|aside|masthead|respond|reply|"
+    r"replies|login|signup|overlay|copyright|pagination|pager|toolbar|tags|byline|sponsor(?:ed)?|promo(?:tion|ted)?|banner|cookie|consent|"
+    r"notice|alert|menu|nav(?:bar|igation)?|sidebar|footer|header|breadcrumb|comment(?:er|ing)?|discuss(?:ion)?|disqus|shar(?:e|ing)|social|"
+    r"related|recommend(?:ed|ation)?|newsletter|subscri(?:be|ber|ption)|search|widget|popup|modal|teaser|outbrain|taboola)" + _ENDS + ")")
+#: Names that say how a page is laid out, or what a post is about, and nothing about the element itself.
+_LAYOUT = re.compile(r"(?<![a-z])(?:has|with|without|no)[-_]\S*|(?<!\S)comments?-(?:open|closed|off|enabled|disabled)(?!\S)")
+_TOPICS = re.compile(r"(?<!\S)(?:tag|category|cat|topic|author|type|format|status|tax|term)-\S*")
 _CONTENT_NAMES = re.compile(r"(?<![a-z])(?:article|post|entry|story|content|main)(?:[-_]?(?:body|content|text|main))?(?![a-z-])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _HEADERS = re.compile(r"(?<![a-z])(?:header|masthead|byline)")
-_COMMENTS = re.compile(r"(?<![a-z])(?:comment|respond|repl(?:y|ies)|discuss|disqus)")
+_COMMENTS = re.compile(r"(?<![a-z])(?:comment(?:er|ing)?|respond|reply|replies|discuss(?:ion)?|disqus)" + _ENDS)
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
@@ -63,6 +69,8 @@ class Element:
     content: bool = False
     named: bool = False  # like content
     holds_content: bool = False
+    remark: bool = False  # an article named like a comment
+    excused: bool = False  # holds the main content, whatever its own name
     chars: int = 0
 
 
@@ -82,21 +90,30 @@ def _opened(tag: str, attributes: str, parent: Element | None) -> Element:
     in_content = parent is not None and (parent.content or (parent.parent is not None and parent.parent.content))
     if marked and tag == "header" and in_content:
         marked = False
+    names: list[str] = []
     if attributes and tag not in ("html", "body", "a", "b", "i", "span", "em", "strong"):
         for name, *values in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), "".join(values).lower()
+            name, value = name.lower(), "".join(values)
             if name in ("class", "id"):
-                if (m := _NAMES.search(value)) and not (in_content and _HEADERS.match(value, m.start())):
-                    marked = True
-                    made.lasting |= bool(_COMMENTS.search(value))
-                made.named |= bool(_CONTENT_NAMES.search(value))
-            elif name == "role":
+                names.append(_LAYOUT.sub(" ", _HUMP.sub("-", value).lower()))
+                continue
+            value = value.lower()
+            if name == "role":
                 marked |= value in BOILERPLATE_ROLES
                 made.content |= value in ("main", "article")
             elif (name == "hidden" or name == "aria-hidden") and value in ("true", "hidden"):
                 marked = True
             elif name == "style" and _HIDDEN.search(value):
                 marked = made.lasting = True
+    made.named = any(_CONTENT_NAMES.search(value) for value in names)
+    for value in names:
+        if made.content:
+            made.remark |= bool(_COMMENTS.search(value))
+            continue
+        value = _TOPICS.sub(" ", value) if made.named else value
+        if any(not (in_content and _HEADERS.match(value, m.start())) for m in _NAMES.finditer(value)):
+            marked = True
+            made.lasting |= bool(_COMMENTS.search(value))
     made.marked = marked
     made.lasting |= tag in ("nav", "aside", "footer")
     if made.content:
@@ -218,8 +235,7 @@ def costs(blocks: list[Block]) -> list[float]:
     """For each block the cost of calling it boilerplate less that of calling it content."""
     if not blocks:
         return []
-    total = sum(len(b.text) for b in blocks)
-    zones = [_zone(b, total) for b in blocks]
+    zones = _zones(blocks)
     outside = -4.0 if 2 in zones else -0.5
     found = []
     for b, zone in zip(blocks, zones, strict=True):
@@ -234,13 +250,49 @@ def costs(blocks: list[Block]) -> list[float]:
     return found
 
 
+def _zones(blocks: list[Block]) -> list[int]:
+    """The zone of each block. Where marks would leave no article or main part, they don't count around the main content."""
+    total = sum(len(b.text) for b in blocks)
+    zones = [_zone(b, total) for b in blocks]
+    if 2 not in zones and (found := _main_content(blocks, zones)):
+        while (found := found.parent) is not None:
+            found.excused = True
+        zones = [_zone(b, total) for b in blocks]
+    # articles named like comments are ones where there is any other article
+    rest = 0 if 2 in zones else 2
+    return [rest if z == 3 else z for z in zones]
+
+
+def _main_content(blocks: list[Block], zones: list[int]) -> Element | None:
+    """The main part or largest article, else the largest part named like content, of those inside marked elements.
+
+    An article or named part must have at least half as much text as there is outside marks and links.
+    """
+    rest = sum(len(b.text) - b.linked for b, zone in zip(blocks, zones, strict=True) if zone >= 0)
+    best, most = None, (False, False, 0)
+    for b, zone in zip(blocks, zones, strict=True):
+        at, held = (b.owner if zone < 0 else None), []
+        while at is not None:
+            if at.lasting:
+                held = []
+            elif (at.content or at.named) and not at.marked and not at.remark:
+                held.append(at)
+            at = at.parent
+        for at in held:
+            key = (at.tag == "main", at.content, at.chars)
+            if key > most and (key[0] or at.chars * 2 >= rest):
+                best, most = at, key
+    return best
+
+
 def _zone(block: Block, total: int) -> int:
-    """2 inside an article or main part, 1 inside what is named like one, -1 inside what is marked as boilerplate, else 0."""
+    """2 inside an article or main part, 3 inside an article named like a comment, 1 inside what is named like content, -1 inside
+    what is marked as boilerplate, else 0."""
     inside, at = 0, block.owner
     while at is not None:
-        if at.marked and not (at.holds_content and not at.lasting and at.chars * 2 > total):
+        if at.marked and not at.excused and not (at.holds_content and not at.lasting and at.chars * 2 > total):
             return -1
-        inside = max(inside, 2 if at.content else 1 if at.named else 0)
+        inside = max(inside, 3 if at.remark else 2 if at.content else 1 if at.named else 0)
         at = at.parent
     return inside
 

@@ -35,6 +35,31 @@ def test_parts_told_by_their_names():
     assert h.main_text(page) == "Head\nShort.\nEnd."
 
 
+TEXT = "What the page is about stands here, in a few words that make a sentence or two. " * 2
+
+
+@pytest.mark.parametrize("inside", [
+    '<main class="has-sidebar">{}</main>', '<article class="post tag-social">{}</article>', '<article class="category-search">{}</article>',
+    '<article class="commentary">{}</article>', '<div class="with-sidebar"><div class="post-content">{}</div></div>',
+    '<div class="post tag-social category-search">{}</div>', '<div class="layout no-comments"><article>{}</article></div>',
+    '<div class="page-with-sidebar"><div id="content">{}</div></div>', '<article class="comment">{}</article>',
+    '<div class="commentary">{}</div>', '<div class="side-by-side">{}</div>', '<div class="widget"><main>{}</main></div>',
+    '<div class="search-page"><article>{}</article></div>', '<form id="f"><div class="article-body">{}</div></form>'])
+def test_names_that_do_not_make_content_boilerplate(inside):
+    around = "<nav>{0}</nav><div class='sidebar'>{0}</div><footer>{0}</footer>".format("Other pages of this site. " * 40)
+    for page in (inside.format(f"<p>{TEXT}</p>"), inside.format(f"<p>{TEXT}</p>") + around):
+        assert h.main_text(page) == TEXT.strip()
+
+
+@pytest.mark.parametrize("other", [
+    '<div class="commentList">{}</div>', '<div class="leftSidebar">{}</div>', '<div class="social-icons">{}</div>', '<div class="sharebar">{}</div>',
+    '<div class="related-posts"><article>{}</article></div>', '<aside><article>{}</article></aside>', '<div class="searchform">{}</div>',
+    '<article class="comment">{}</article>', '<div class="side-menu">{}</div>', '<div class="sponsored">{}</div>', '<ins class="adsbygoogle">{}</ins>'])
+def test_boilerplate_names_beside_an_article(other):
+    page = f"<main><article><p>{TEXT}</p></article>{other.format('<p>Not what the page is about.</p>')}</main>"
+    assert h.main_text(page) == TEXT.strip()
+
+
 @pytest.mark.parametrize("page", ["", "<", '<a "', "<!--x", "<p", "<p>" * 3000 + "x", "<script>x", "</p></div>", "&#0; &bad; &amp",
                                   "<table><tr><td>a<td>b<tr><td>c</table>", "<select><option>a<option>b", "\x00<p>\x00"])
 def test_broken_pages_end(page):
