@@ -222,8 +222,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     most_bits: int = MOST_BITS) -> DataFrame:
-    """``docs`` with one row of each component, the one of least id; rows without an id stay as they are."""
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, most_bits)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return (docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).join(kept, id_col, "left_semi")
+    """``docs`` with one row of each component: the one of least id, then of least hash of its text, then of the row.
+
+    Rows that share an id are told apart by their texts. Rows without an id stay as they are.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    own = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.xxhash64(*hashed).alias("row"))
+    key = "key"
+    while key in docs.columns:
+        key += "_"
+    keyed = named.withColumn(key, own)
+    found = near_duplicates(keyed, key, text_col, shingle, most_bits)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    return (keyed.join(kept, key, "left_semi").dropDuplicates([key])
             .select(docs.columns).unionByName(docs.where(F.col(id_col).isNull())))

@@ -108,3 +108,13 @@ def test_components_over_documents(docs):
         {(c,) for c in least.values() if c is not None}, key=repr)
     assert kept.where("doc_id IS NULL").count() == 2
     assert simhash.representatives(docs([])).count() == 0
+
+
+def test_rows_that_share_an_id(docs):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randrange(1, 9) + str(rng.randrange(999)) for _ in range(80)) for _ in range(12)]
+    given = [(1, t) for t in texts[:6]] + [(2, t) for t in texts[3:9]] + [(3, texts[0]), (4, texts[9]), (5, texts[9]), (1, texts[2])]
+    expected = [(1, t) for t in texts[:6]] + [(2, t) for t in texts[6:9]] + [(4, texts[9])]
+    for parts in (1, 4):
+        kept = simhash.representatives(clashing(docs(given)).repartition(parts))
+        assert rows_of(kept, "doc_id", "text") == sorted(expected, key=repr) and "key" in kept.columns
