@@ -29,13 +29,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold less than 0.8 of the five-word shingles of every benchmark item."""
+    """Documents that hold less than 0.8 of the five-word shingles of every benchmark item; items of fewer words are looked for whole."""
     bounded(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     named, unnamed = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
-    found = decontaminate.contained(named, items).select("doc_id").distinct()
+    found = decontaminate.contained(named, items, short_items=True).select("doc_id").distinct()
     kept = named.join(few(found), "doc_id", "left_anti")
-    found = decontaminate.contained(unnamed, items, id_col="text").select(F.col("doc_id").alias("text")).distinct()
+    found = decontaminate.contained(unnamed, items, id_col="text", short_items=True).select(F.col("doc_id").alias("text")).distinct()
     return kept.select(docs.columns).unionByName(unnamed.join(few(found), "text", "left_anti").select(docs.columns))
 
 

@@ -8,7 +8,7 @@ contains enough of the item cannot miss. Documents that meet a sketch are verifi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,11 @@ LOOKUP_ENTRIES = 1 << 20
 _WORD_BYTES = byte_set(bytes([*range(48, 58), *range(97, 123), *range(128, 256)]))
 
 
-def shingle_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every run of ``words`` words (all words, if a row has fewer), and each row's first one."""
+def shingle_hashes(texts: pa.Array, words: int, like: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every run of ``words`` words (all words, if a row has fewer), and each row's first one.
+
+    With ``like``, a run has the hash that a row of just these words has among runs of ``like`` words.
+    """
     data, offsets = utf8(texts)
     data = ascii_lower(data)
     starts, ends, first = runs(_WORD_BYTES[data], offsets)
@@ -39,20 +42,33 @@ def shingle_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]
     at = np.repeat(first[:-1], per_row) + np.arange(row_start[-1]) - np.repeat(row_start[:-1], per_row)
     end = np.repeat(first[1:], per_row)
     value = np.zeros(len(at), np.uint64)
-    for k in range(words):
+    for k in range(max(words, like)):
         here = at + k
-        inside = here < end
+        inside = (here < end) & (k < words)
         value = value * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, word[np.minimum(here, len(word) - 1)], np.uint64(k + 1))
     return mixed(value), row_start
 
 
-def _by_shingle(rows: DataFrame, words: int) -> DataFrame:
-    """``id, shingle``: the distinct shingles of each row of ``id, text``."""
+def _lengths_below(items: DataFrame, words: int) -> list[int]:
+    """The numbers of words, fewer than ``words``, that texts of ``id, text`` rows have."""
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, offsets = utf8(part.column("text"))
+                counts = np.unique(np.diff(runs(_WORD_BYTES[ascii_lower(data)], offsets)[2]))
+                yield pa.RecordBatch.from_arrays([pa.array(counts[(counts > 0) & (counts < words)].astype(np.int32))], ["n"])
+
+    return sorted(r["n"] for r in items.mapInArrow(lengths, "n int").distinct().collect())
+
+
+def _by_shingle(rows: DataFrame, words: int, short: Sequence[int] = ()) -> DataFrame:
+    """``id, shingle``: the distinct shingles of each row of ``id, text``, and those of the lengths ``short``."""
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                value, first = shingle_hashes(part.column("text"), words)
-                row = np.repeat(np.arange(part.num_rows), np.diff(first))
+                found = [shingle_hashes(part.column("text"), n, words) for n in (words, *short)]
+                value = np.concatenate([v for v, _ in found])
+                row = np.concatenate([np.repeat(np.arange(part.num_rows), np.diff(first)) for _, first in found])
                 order = np.lexsort((value, row))
                 value, row = value[order], row[order]
                 keep = np.ones(len(row), bool)
@@ -82,26 +98,28 @@ def sketches(items: DataFrame, words: int = SHINGLE, containment: float = CONTAI
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               item_id_col: str = "item_id", item_text_col: str = "text", words: int = SHINGLE,
-              containment: float = CONTAINMENT) -> DataFrame:
+              containment: float = CONTAINMENT, short_items: bool = False) -> DataFrame:
     """``doc_id, item_id, n_shingles, n_shared, containment`` of every pair with enough shared shingles.
 
     Shingles are distinct. A text of fewer words than a shingle is one shingle; null, empty and wordless texts
     have none and match nothing. Rows that share an id count as one document or item with
     the shingles of all its rows; null ids take no part. No candidate is left out: a sketch cannot be
-    missed by a document that qualifies. Other columns play no part.
+    missed by a document that qualifies. Other columns play no part. With ``short_items``, documents have the runs of as
+    many words as any shorter item has for shingles too, so that such an item is found inside a longer text.
     """
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     items = items.where(F.col(item_id_col).isNotNull()).select(F.col(item_id_col).alias("id"), text_of(item_text_col).alias("text"))
     shingles, sketch = sketches(items, words, containment)
     wanted = shingles.select("shingle").distinct()
+    short = _lengths_below(items, words) if short_items else []
     n_entries = wanted.count()
     if n_entries <= LOOKUP_ENTRIES:
         # each task keeps the rows' shingles that any item has; documents that meet no sketch go at once
         keys = np.sort(np.array([r[0] for r in wanted.collect()], np.int64).view(np.uint64))
         first = np.sort(np.array([r[0] for r in sketch.select("shingle").distinct().collect()], np.int64).view(np.uint64))
-        found = written(_lookup(docs, keys, first, words), "docs-shared")
+        found = written(_lookup(docs, keys, first, words, short), "docs-shared")
     else:
-        found = written(_by_shingle(docs, words).join(wanted, "shingle", "left_semi").select("id", "shingle").distinct(),
+        found = written(_by_shingle(docs, words, short).join(wanted, "shingle", "left_semi").select("id", "shingle").distinct(),
                         "docs-shared")
     candidates = found.join(sketch, "shingle").select("id", "item", "n", "needed").distinct()
     return (candidates.join(shingles, "item").join(found, ["id", "shingle"])
@@ -116,7 +134,7 @@ def _among(sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(at, len(sorted_keys) - 1)] == values if len(sorted_keys) else np.zeros(len(values), bool)
 
 
-def _lookup(docs: DataFrame, keys: np.ndarray, first: np.ndarray, words: int) -> DataFrame:
+def _lookup(docs: DataFrame, keys: np.ndarray, first: np.ndarray, words: int, short: Sequence[int] = ()) -> DataFrame:
     """``id, shingle`` of all shingles in ``keys``, of the rows that have one in ``first``."""
     # most shingles are in no item: a bit for each 22-bit prefix turns them away
     shift = np.uint64(42)
@@ -128,10 +146,13 @@ def _lookup(docs: DataFrame, keys: np.ndarray, first: np.ndarray, words: int) ->
         likely = np.unpackbits(known).astype(bool)
         for batch in batches:
             for part in slices(batch, "text"):
-                value, starts = shingle_hashes(part.column("text"), words)
-                at = np.flatnonzero(likely[value >> shift])
-                at = at[_among(keys, value[at])]
-                row, value = np.searchsorted(starts, at, "right") - 1, value[at]
+                found = []
+                for n in (words, *short):
+                    value, starts = shingle_hashes(part.column("text"), n, words)
+                    at = np.flatnonzero(likely[value >> shift])
+                    at = at[_among(keys, value[at])]
+                    found.append((np.searchsorted(starts, at, "right") - 1, value[at]))
+                row, value = (np.concatenate(c) for c in zip(*found, strict=True))
                 met = np.zeros(part.num_rows, bool)
                 met[row[_among(first, value)]] = True
                 row, value = row[met[row]], value[met[row]]

@@ -59,3 +59,24 @@ def test_empty_tables(spark, docs):
     assert d.contained(docs([(1, "a b c d e f")]), none).count() == 0
     assert d.contained(docs([]), some).count() == 0
     assert d.contained(docs([(1, "x a b c d e f y")]), some).count() == 1
+
+
+@pytest.mark.parametrize("entries", [0, 1 << 20])
+def test_short_items_inside_long_documents(spark, docs, monkeypatch, entries):
+    monkeypatch.setattr(d, "LOOKUP_ENTRIES", entries)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(i % 7))) for i in range(40)] + [(3, "w1 w2"), (None, "w3")]
+    given = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 4, 30])))) for i in range(60)]
+    lengths = {n for i, t in items if i is not None and 0 < (n := len(t.split())) < 5}
+    expected = []
+    for i, text in given:
+        has = shingles(text).union(*(shingles(text, n) for n in lengths))
+        for j in {j for j, _ in items} - {None}:
+            b = set().union(*(shingles(t) for k, t in items if k == j))
+            if b and len(has & b) >= 0.8 * len(b) - 1e-9:
+                expected.append((i, j, len(b), len(has & b)))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = d.contained(docs(given), table, short_items=True)
+    assert rows_of(found, "doc_id", "item_id", "n_shingles", "n_shared") == sorted(expected, key=repr)
+    assert len(expected) > d.contained(docs(given), table).count()
