@@ -136,6 +136,39 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mixed(found + length.astype(np.uint64))
 
 
+class Rows:
+    """Gathers rows and gives them out as batches of bounded size."""
+
+    def __init__(self, schema: pa.Schema, most: int = 4 << 20):
+        self.schema, self.most = schema, most
+        self.columns: list[list] = [[] for _ in schema]
+        self.size = 0
+
+    def add(self, *row) -> Iterator[pa.RecordBatch]:
+        for column, value in zip(self.columns, row, strict=True):
+            column.append(value)
+            self.size += 8 + (len(value) if isinstance(value, (str, bytes)) else 0)
+        if self.size >= self.most:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.columns[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(self.columns, self.schema, strict=True)], schema=self.schema)
+            self.columns, self.size = [[] for _ in self.schema], 0
+
+
+def key_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[object, bool, pa.RecordBatch]]:
+    """The batches of a sorted partition cut where ``column`` changes: its value, whether its rows begin here, and the rows."""
+    last: tuple | None = None
+    for batch in batches:
+        keys = batch.column(column).to_pylist()
+        at = 0
+        for end in range(1, len(keys) + 1):
+            if end == len(keys) or keys[end] != keys[at]:
+                yield keys[at], last != (keys[at],), batch.slice(at, end - at)
+                last, at = (keys[at],), end
+
+
 def components(links: DataFrame, name: str) -> DataFrame:
     """``node, root``: for each node of ``links`` (``a, b``, any type with an order) the least node it reaches.
 

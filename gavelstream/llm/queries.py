@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelstream.llm import ann, decontaminate, html_extract, mixing, ngram_lm, pii, quality, simhash, suffix_repeats, url_filter
-from gavelstream.llm.common import bounded
+from gavelstream.llm import ann, decontaminate, html_extract, mixing, ngram_lm, pii, quality, simhash, suffix_repeats, turn_repair, url_filter
+from gavelstream.llm.common import bounded, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,9 +78,35 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """``conversations`` with the faults that crc32(``conv_id:turn``) % 20 names; nulls are one space."""
+    def shown(column: str) -> Column:
+        return F.coalesce(F.col(column).cast("string"), F.lit(" "))
+
+    kind = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(shown("text"), ".!?", "")).otherwise(shown("text"))
+    return (conversations.where(kind != 0)
+            .withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))))
+            .select("conv_id", "turn", F.when(kind == 4, "user").otherwise(shown("role")).alias("role"), text.alias("text")))
+
+
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    rows = damaged(conversations)
+    found = written(turn_repair.audit(rows), "audits")
+    hashes = turn_repair.digest(turn_repair.repaired(rows, found))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    every = conversations.select("conv_id").distinct()
+    return (every.join(found.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+            .join(hashes.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left")
+            .select("conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts),
+                    F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_pii, op2_html, op3_quality, op4_lm, op5_simhash, op6_repeats, op7_mixing, op8_urls, op9_decontamination,
-                                    op10_neighbours)}
+                                    op10_neighbours, op13_turns)}
 
 
 _OP4 = r"""
