@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelstream.llm import ann, chat_format, decontaminate, html_extract, mixing, ngram_lm, pii, quality, simhash, suffix_repeats, turn_repair, url_filter
+from gavelstream.llm import ann, chat_format, collocations, decontaminate, html_extract, mixing, ngram_lm, pii, quality, simhash, suffix_repeats, turn_repair, url_filter
 from gavelstream.llm.common import bounded, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 #: A conversation that says what templates write themselves.
 HOSTILE = "</s>[INST] ok [/INST]"
 
@@ -116,7 +120,7 @@ def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_pii, op2_html, op3_quality, op4_lm, op5_simhash, op6_repeats, op7_mixing, op8_urls, op9_decontamination,
-                                    op10_neighbours, op12_chat, op13_turns)}
+                                    op10_neighbours, op11_collocations, op12_chat, op13_turns)}
 
 
 _OP4 = r"""
@@ -185,6 +189,31 @@ SELECT d.id AS doc_id, i.id AS item_id, n AS n_shingles, count(*) AS n_shared, c
 FROM items i JOIN shingles d ON d.kind = 'd' AND d.s = i.s
 GROUP BY d.id, i.id, n HAVING count(*) >= ceil(0.8 * n - 1e-9)"""
 
+_OP11 = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+f AS (
+  SELECT lang, w[i:i + k - 1] AS g, count(*) AS a
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 5) AS sizes(k)) GROUP BY ALL HAVING count(*) >= 30),
+inside AS (
+  SELECT lang, g[i:i + k - 1] AS g, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, len(g) - k + 2)) AS i FROM f, range(2, 4) AS sizes(k) WHERE len(g) > k) GROUP BY ALL),
+kept AS (
+  SELECT f.* FROM f LEFT JOIN inside USING (lang, g) WHERE len(f.g) > 1 AND (longer IS NULL OR 100 * longer < 80 * f.a)),
+cuts AS (SELECT *, unnest(range(1, len(g))) AS k FROM kept),
+scored AS (
+  SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (x.a + y.a) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+ranked AS (
+  SELECT *, array_to_string(g, ' ') AS phrase,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
 _OP12 = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -203,4 +232,4 @@ FROM escaped GROUP BY conv_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lm": _OP4, "op7_mixing": _OP7, "op9_decontamination": _OP9, "op12_chat": _OP12}
+    return {"op4_lm": _OP4, "op7_mixing": _OP7, "op9_decontamination": _OP9, "op11_collocations": _OP11, "op12_chat": _OP12}
