@@ -103,7 +103,7 @@ def finder() -> Callable[[str], list[tuple[str, int, int]]]:
                 elif kind == "ip":
                     if at >= done[kind] and (m := ip.match(text, start := back(text, at, done[kind], digits))):
                         done[kind] = m.end()
-                        if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m.group().split(".")):
+                        if all(len(p) < 4 and int(p or "0") < 256 for p in (p.lstrip("0") for p in m.group().split("."))):
                             spans.append((kind, start, m.end()))
                 elif kind == "card":
                     if at >= done[kind]:

@@ -65,3 +65,8 @@ def test_redaction_keeps_rows_and_columns(docs):
     assert out.columns == clashing(given).columns
     assert rows_of(out, "doc_id", "text") == [
         (1, "mail [EMAIL] now"), (2, None), (3, "password=[SECRET]!"), (4, "[LOGIN] x")]
+
+
+def test_numbers_of_any_length():
+    zeros, ones = "1.2.3." + "0" * 5000 + "1", "1.2.3." + "1" * 5000
+    assert pii.finder()(f"{zeros} {ones}") == [("ip", 0, len(zeros))]
