@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -34,6 +34,10 @@ _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 _ENDS_P = BLOCK_TAGS - {"body", "html", "head", "title", "option", "optgroup", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 _P_LIMIT = frozenset("table td th caption button object body html article section div main aside nav header footer form li".split())
 
+#: For each tag's group: which open elements it ends, and beyond which it doesn't look.
+_NEAR = {"p": ({"p"}, _P_LIMIT), **_IMPLIED}
+_MATTER = frozenset().union(*(tags | limit for tags, limit in _NEAR.values()))
+
 CONTENT_TAGS = frozenset({"article", "main"})
 BOILERPLATE_TAGS = frozenset("nav aside footer header form menu dialog search fieldset".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -55,7 +59,7 @@ _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
-_ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"(?<![A-Za-z-])([A-Za-z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
 @dataclass
@@ -72,6 +76,7 @@ class Element:
     remark: bool = False  # an article named like a comment
     excused: bool = False  # holds the main content, whatever its own name
     chars: int = 0
+    near: dict[str, Element | None] = field(default_factory=dict)  # what an opening tag may end, for each group of _NEAR
 
 
 @dataclass
@@ -85,6 +90,9 @@ class Block:
 
 def _opened(tag: str, attributes: str, parent: Element | None) -> Element:
     made = Element(tag, parent)
+    made.near = parent.near if parent is not None else {}
+    if tag in _MATTER:
+        made.near = {**made.near, **{group: None if tag in limit else made for group, (tags, limit) in _NEAR.items() if tag in limit or tag in tags}}
     made.content = tag in CONTENT_TAGS
     marked = tag in BOILERPLATE_TAGS
     in_content = parent is not None and (parent.content or (parent.parent is not None and parent.parent.content))
@@ -136,10 +144,7 @@ def blocks_of(page: str) -> list[Block]:
         if now.parts:
             now.text = " ".join("".join(now.parts).split())
             if now.text:
-                up = now.owner
-                while up is not None:
-                    up.chars += len(now.text)
-                    up = up.parent
+                now.owner.chars += len(now.text)
                 found.append(now)
         now = Block()
 
@@ -157,21 +162,16 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal top, links, skip
         while True:
             gone, top = top, top.parent
+            top.chars += gone.chars
+            depth[gone.tag] -= 1
             links -= gone.tag == "a"
             skip -= gone.tag in SKIPPED_TAGS
             if gone is element:
                 return
 
-    def opened(tags: frozenset[str] | set[str], limit: frozenset[str] | set[str]) -> Element | None:
-        at = top
-        while at.parent is not None and at.tag not in limit:
-            if at.tag in tags:
-                return at
-            at = at.parent
-        return None
-
     depth: dict[str, int] = {}
     at, n = 0, len(page)
+    last_end = page.rfind(">")
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -186,8 +186,8 @@ def blocks_of(page: str) -> list[Block]:
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
             continue
-        m = (_TAG if strict else _LOOSE).match(page, lt)
-        if m is None and strict and _LOOSE.match(page, lt):
+        m = (_TAG if strict else _LOOSE).match(page, lt) if lt < last_end else None
+        if m is None and lt < last_end and strict and _LOOSE.match(page, lt):
             strict, m = False, _LOOSE.match(page, lt)  # a quote never closes: from here on the next > ends a tag
         if m is None:
             add("<")
@@ -205,18 +205,14 @@ def blocks_of(page: str) -> list[Block]:
             up = top
             while up.parent is not None and up.tag != tag:
                 up = up.parent
-            if up.parent is not None:
-                pop_to(up)
-            depth[tag] -= 1
+            pop_to(up)
             continue
         if tag in VOID_TAGS:
             continue
-        if tag in _ENDS_P and depth.get("p") and (up := opened({"p"}, _P_LIMIT)):
+        if tag in _ENDS_P and (up := top.near.get("p")):
             pop_to(up)
-            depth["p"] -= 1
-        if tag in _IMPLIED and depth.get(tag) and (up := opened(*_IMPLIED[tag])):
+        if tag in _IMPLIED and (up := top.near.get(tag)):
             pop_to(up)
-            depth[up.tag] = max(0, depth.get(up.tag, 0) - 1)
         if m[3].endswith("/") and tag not in BLOCK_TAGS and tag not in RAW_TAGS:
             continue
         top = _opened(tag, m[3], top)
@@ -228,9 +224,23 @@ def blocks_of(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(page, at)
             at = n if end is None else end.start()
     close()
+    while top.parent is not None:
+        pop_to(top)
     return found
 
 
+def _down(element: Element | None, known: dict[int, object], of: Callable[[Element, object], object], start: object) -> object:
+    """``of`` an element and its parent's value, kept in ``known``: each element is worked on once."""
+    path = []
+    while element is not None and id(element) not in known:
+        path.append(element)
+        element = element.parent
+    value = start if element is None else known[id(element)]
+    for element in reversed(path):
+        value = known[id(element)] = of(element, value)
+    return value
+
+
 def costs(blocks: list[Block]) -> list[float]:
     """For each block the cost of calling it boilerplate less that of calling it content."""
     if not blocks:
@@ -253,16 +263,28 @@ def costs(blocks: list[Block]) -> list[float]:
 def _zones(blocks: list[Block]) -> list[int]:
     """The zone of each block. Where marks would leave no article or main part, they don't count around the main content."""
     total = sum(len(b.text) for b in blocks)
-    zones = [_zone(b, total) for b in blocks]
+    zones = _zones_once(blocks, total)
     if 2 not in zones and (found := _main_content(blocks, zones)):
         while (found := found.parent) is not None:
             found.excused = True
-        zones = [_zone(b, total) for b in blocks]
+        zones = _zones_once(blocks, total)
     # articles named like comments are ones where there is any other article
     rest = 0 if 2 in zones else 2
     return [rest if z == 3 else z for z in zones]
 
 
+def _zones_once(blocks: list[Block], total: int) -> list[int]:
+    """2 inside an article or main part, 3 inside an article named like a comment, 1 inside what is named like content, -1 inside
+    what is marked as boilerplate, else 0."""
+    def zone(at: Element, outside: int) -> int:
+        if outside < 0 or at.marked and not at.excused and not (at.holds_content and not at.lasting and at.chars * 2 > total):
+            return -1
+        return max(outside, 3 if at.remark else 2 if at.content else 1 if at.named else 0)
+
+    known: dict[int, object] = {}
+    return [_down(b.owner, known, zone, 0) for b in blocks]
+
+
 def _main_content(blocks: list[Block], zones: list[int]) -> Element | None:
     """The main part or largest article, else the largest part named like content, of those inside marked elements.
 
@@ -270,33 +292,20 @@ def _main_content(blocks: list[Block], zones: list[int]) -> Element | None:
     """
     rest = sum(len(b.text) - b.linked for b, zone in zip(blocks, zones, strict=True) if zone >= 0)
     best, most = None, (False, False, 0)
+    sheltered: dict[int, object] = {}  # in something that lasts
+    seen: set[int] = set()
     for b, zone in zip(blocks, zones, strict=True):
-        at, held = (b.owner if zone < 0 else None), []
-        while at is not None:
-            if at.lasting:
-                held = []
-            elif (at.content or at.named) and not at.marked and not at.remark:
-                held.append(at)
+        at = b.owner if zone < 0 else None
+        while at is not None and id(at) not in seen:
+            seen.add(id(at))
+            if (at.content or at.named) and not at.marked and not at.remark:
+                key = (at.tag == "main", at.content, at.chars)
+                if key > most and (key[0] or at.chars * 2 >= rest) and not _down(at, sheltered, lambda e, above: above or e.lasting, False):
+                    best, most = at, key
             at = at.parent
-        for at in held:
-            key = (at.tag == "main", at.content, at.chars)
-            if key > most and (key[0] or at.chars * 2 >= rest):
-                best, most = at, key
     return best
 
 
-def _zone(block: Block, total: int) -> int:
-    """2 inside an article or main part, 3 inside an article named like a comment, 1 inside what is named like content, -1 inside
-    what is marked as boilerplate, else 0."""
-    inside, at = 0, block.owner
-    while at is not None:
-        if at.marked and not at.excused and not (at.holds_content and not at.lasting and at.chars * 2 > total):
-            return -1
-        inside = max(inside, 3 if at.remark else 2 if at.content else 1 if at.named else 0)
-        at = at.parent
-    return inside
-
-
 def edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Neighbours in page order, and the nearest earlier block of the same parent's parent."""
     found, last = [], {}

@@ -4,6 +4,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import pytest
 from llm_support import clashing, rows_of
@@ -104,3 +105,20 @@ def test_rows(spark):
     assert "key" in out.columns and h.extract(pages.limit(0)).count() == 0
     long = "word " * 300_000
     assert h.main_text(f"<article><p>{long}</article>") == long.strip()
+
+
+@pytest.mark.parametrize("page", [
+    "<div>x" * 40_000, "<p>x" + "<span>x" * 40_000, "<a " * 80_000, '<a b="c' * 40_000, "<ul><li>x" * 30_000, "<p><button>" + "<center>x" * 30_000,
+    "<div>" + "<b>" * 30_000 + "</div>" + "<div>" * 20_000 + "</b>" * 20_000, "<div " + "a" * 300_000 + ">x", "<div class=comment><article>x" * 10_000,
+    "<!--" * 80_000, "<script " * 40_000, "<" * 300_000,
+], ids=lambda page: page[:12])
+def test_work_grows_with_the_length_of_broken_pages(page):
+    started = time.perf_counter()
+    h.main_text(page)
+    assert time.perf_counter() - started < 10
+
+
+def test_definition_ends_a_term():
+    assert [b.text for b in h.blocks_of("<dl><dt>a<dd>b<dt>c</dl>d")] == ["a", "b", "c", "d"]
+    assert [b.owner.tag for b in h.blocks_of("<dl><dt>a<dd>b<dt>c</dl><p>d")] == ["dt", "dd", "dt", "p"]
+    assert h.blocks_of("<dl><dt>a<dd>b")[1].owner.parent.tag == "dl"
