@@ -60,7 +60,8 @@ LEAST_SHARE = 1e-5
 SURE_LETTERS = 5
 
 _TOKEN = re.compile(r"[a-z]+|[^\W\d_a-z]+")
-_MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_OPENS = re.compile(r"<(?:(script|style)\b|!--)?", re.IGNORECASE)
+_CLOSES = {name: re.compile(rf"</{name}\s*+>", re.IGNORECASE) for name in ("script", "style")}
 #: Longest word that segmentation looks for.
 MOST_LETTERS = 24
 
@@ -127,6 +128,32 @@ def segment(name: str, counts: dict[str, int], total: int) -> list[str]:
     return words[::-1]
 
 
+def visible(page: str) -> str:
+    """``page`` with a space for each tag, comment, script and style; what never closes stays as text. Work grows with the page's length."""
+    out, at, absent = [], 0, set()
+    for m in _OPENS.finditer(page):
+        if m.start() < at:
+            continue
+        name, end = (m[1] or "").lower(), -1
+        kind = name or m[0]
+        if kind != "<" and kind not in absent:
+            if name:
+                closes = _CLOSES[name].search(page, m.end())
+                end = closes.end() if closes else -1
+            else:
+                end = page.find("-->", m.end())
+                end = end + 3 if end >= 0 else -1
+            if end < 0:
+                absent.add(kind)
+        if end < 0:
+            end = page.find(">", m.start()) + 1
+            if not end:
+                break
+        out.append(page[at:m.start()])
+        at = end
+    return " ".join([*out, page[at:]])
+
+
 def _host_runs(host: str) -> list[list[str]]:
     """The runs of letters of each label but the last."""
     labels = host.rsplit(":", 1)[0].split(".")
@@ -210,7 +237,7 @@ def counted(pages: DataFrame, model: Model, url_col: str = "url", html_col: str
                 for host, path, page in zip(*(part.column(c).to_pylist() for c in ("host", "path", "html")), strict=True):
                     words.update(w for runs in _host_runs(host) if len(runs) > 1 for w in runs)
                     words.update(_TOKEN.findall(path.lower()))
-                    words.update(_TOKEN.findall(html.unescape(_MARKUP.sub(" ", page)).lower()))
+                    words.update(_TOKEN.findall(html.unescape(visible(page)).lower()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())],
                                                  ["word", "n"])
 

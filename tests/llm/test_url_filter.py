@@ -2,12 +2,14 @@
 
 import itertools
 import math
+import time
 
 import pytest
 from llm_support import clashing
 from pyspark.sql import functions as F
 
-from gavelstream.llm import queries, url_filter as u
+from gavelstream.llm import queries
+from gavelstream.llm import url_filter as u
 
 
 @pytest.mark.parametrize("url, host, path", [
@@ -134,3 +136,18 @@ def test_unigrams_are_those_of_all_pages(spark):
     assert (model.counts["stone"], model.counts["house"], model.counts["stonehouse"], model.counts["big"]) == (9, 3, 3, 12)
     assert "cards" in model.counts and "of" not in model.counts and model.counts["casino"] == 18
     assert "lexicon" not in model.counts and u.segment("bighouse", model.counts, model.total) == ["big", "house"]
+
+
+@pytest.mark.parametrize("page, text", [
+    ("a<b>c<!-- d <e> -->f<SCRIPT x>g<h></script >i<style>j</style>k", "a c f i k"),
+    ("<!--a>b<script>c</style><f", " b c <f"), ("<scripts>a</scripts>", " a "), ("", ""), ("a > b", "a > b"),
+])
+def test_visible_text(page, text):
+    assert u.visible(page) == text
+
+
+@pytest.mark.parametrize("page", ["<!--" * 80_000, "<script>" * 40_000, "<style " * 40_000, "<" * 300_000, "<!-- <script>x" * 20_000])
+def test_work_grows_with_the_length_of_broken_pages(page):
+    started = time.perf_counter()
+    u.visible(page)
+    assert time.perf_counter() - started < 5
