@@ -56,8 +56,7 @@ def bid_counts(bids: DataFrame, size: str = d.HOT_ITEMS_SIZE,
 
 def max_bid_count(bids: DataFrame, size: str = d.HOT_ITEMS_SIZE,
                   slide: str = d.HOT_ITEMS_SLIDE) -> DataFrame:
-    return (windows.window_max(windows.window_counts(bids, size, slide))
-            .select("max_num", "window_end_ms"))
+    return windows.window_peaks(bids, size, slide)
 
 
 def hot_items(bids: DataFrame, size: str = d.HOT_ITEMS_SIZE,

@@ -54,6 +54,22 @@ def test_windows(table, given_bids):
         (a, n, millis(e)) for (a, e), n in counted.items() if n == top[e])
 
 
+@few
+@given(bids, bids, st.sampled_from([(7, 3), (9, 1), (60, 1), (2, 2), (50, 7), (1, 0.25)]))
+def test_windows_of_any_shape(table, given_bids, others, shape):
+    size, slide = shape
+    counted, other = (Counter((a, end) for a, _, _, s in b for end in windows_of(s, size, slide)) for b in (given_bids, others))
+    top = {}
+    for (_, end), num in other.items():
+        top[end] = max(num, top.get(end, 0))
+    one, two = table(bid_rows(*given_bids)), table(bid_rows(*others))
+    size, slide = f"{size} seconds", f"{slide} seconds"
+    assert rows(batch.bid_counts(one, size, slide)) == sorted((a, n, millis(e)) for (a, e), n in counted.items())
+    assert rows(batch.max_bid_count(two, size, slide)) == sorted((n, millis(e)) for e, n in top.items())
+    assert rows(batch.hot_items_of_two(one, two, size, slide)) == sorted(
+        (a, n, millis(e)) for (a, e), n in counted.items() if e in top and n >= top[e])
+
+
 @few
 @given(bids, st.integers(1, 4))
 def test_sessions(table, given_bids, max_events):
