@@ -29,6 +29,8 @@ Reader = Callable[[str], DataFrame]
 
 SIZE, SLIDE, GAP, MAX_EVENTS = "10 hours", "2 hours", "10 hours", 5
 CHUNK, WITHIN = "1 day", "2 days"
+# streams whose state goes by the clock
+_BY_THE_CLOCK = {"stream_q3_local_items_expiring"}
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -67,7 +69,8 @@ def _stream(name: str, build: Callable[[Reader, Reader], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         session = streaming_session(spark)
         return run_to_table(build(lambda t: read_stream(session, f"{sf_dir}/{t}.parquet"),
-                                  lambda t: read_table(session, f"{sf_dir}/{t}.parquet")), name)
+                                  lambda t: read_table(session, f"{sf_dir}/{t}.parquet")), name,
+                            empty_batches=name not in _BY_THE_CLOCK)
     return run
 
 
@@ -109,10 +112,17 @@ def queries() -> dict[str, Query]:
         "stream_q3_local_items_within": lambda s, t: continuous.local_items(
             _event_auctions(s), _signups(s, t), within=WITHIN),
         "stream_q3_lookup_latest": lambda s, t: continuous.local_items_latest(_event_auctions(s), _signups(s, t)),
+        "stream_q3_lookup_as_of": lambda s, t: continuous.local_items_as_of(
+            _event_auctions(s), _signups(s, t), chunk=CHUNK),
+        "stream_q3_pending": lambda s, t: continuous.local_items_pending(_announcements(s), _signups(s, t), wait=WITHIN),
+        "stream_q3_local_items_expiring": lambda s, t: continuous.local_items_expiring(
+            _order_auctions(s), _customers(s, t), keep="1 day"),
         "stream_q5_window_counts": lambda s, t: continuous.bid_counts(_event_bids(s), SIZE, SLIDE),
         "stream_q5_window_max": lambda s, t: continuous.max_bid_count(_event_bids(s), SIZE, SLIDE),
         "stream_q5_hot_items": lambda s, t: continuous.hot_items(_event_bids(s), SIZE, SLIDE),
         "stream_q5_hot_items_join": lambda s, t: continuous.hot_items_of_two(_event_bids(s), _event_bids(s), SIZE, SLIDE),
+        "stream_q5_hot_items_stream": lambda s, t: continuous.hot_items_stream(
+            _event_bids(s), size=SIZE, slide=SLIDE).drop("window"),
         "stream_q8_new_users_half_day": lambda s, t: continuous.new_users(_event_auctions(s), _signups(s, t), "12 hours"),
         "stream_q3_local_items_dedup_within": lambda s, t: continuous.local_items_distinct(
             _announcements(s), _signups(s, t), within=WITHIN),
@@ -226,6 +236,19 @@ FROM (SELECT * FROM auction WHERE category = 10) a
 ASOF JOIN (SELECT * FROM person WHERE state IN ('OR', 'ID', 'CA')) p
   ON a.seller = p.id AND a.ts >= p.ts"""
 
+# what the slower input's watermark has passed
+_Q3_AS_OF = f"""WITH {_AUCTION_E}, {_PERSON_E},
+listed AS (SELECT * FROM auction WHERE category = 10),
+known AS (SELECT * FROM person WHERE state IN ('OR', 'ID', 'CA'))
+SELECT name, city, state, a.id AS auction_id FROM listed a ASOF JOIN known p ON a.seller = p.id AND a.ts >= p.ts
+WHERE epoch_us(a.ts) <= 1000 * least((SELECT epoch_us(max(ts)) // 1000 FROM listed), (SELECT epoch_us(max(ts)) // 1000 FROM known))"""
+
+_Q3_PENDING = f"""WITH {_BID_E.strip()}, {_PERSON_E.strip()}
+SELECT name, city, state, a.auction AS auction_id
+FROM (SELECT DISTINCT bidder, auction FROM bid WHERE 10 + auction % 5 = 10) a
+JOIN (SELECT id, unnest(max_by({{'name': name, 'city': city, 'state': state}}, ts)) FROM person WHERE state IN ('OR', 'ID', 'CA') GROUP BY id) p
+  ON a.bidder = p.id"""
+
 _MAX = "SELECT max(num) AS max_num, window_end_ms FROM {counts} GROUP BY window_end_ms"
 _HOT = """SELECT auction, num, window_end_ms
 FROM (SELECT *, rank() OVER (PARTITION BY window_end_ms ORDER BY num DESC) AS place FROM {counts})
@@ -282,9 +305,13 @@ def oracle_sql() -> dict[str, str]:
         "stream_q3_local_items_dedup": _Q3_DEDUP,
         "stream_q3_local_items_within": _Q3_WITHIN,
         "stream_q3_lookup_latest": _Q3_LATEST,
+        "stream_q3_lookup_as_of": _Q3_AS_OF,
+        "stream_q3_pending": _Q3_PENDING,
+        "stream_q3_local_items_expiring": _Q3,
         "stream_q5_window_counts": f"WITH {_COUNTS_CLOSED} SELECT auction, num, window_end_ms FROM closed",
         "stream_q5_window_max": f"WITH {_COUNTS_CLOSED} {_MAX.format(counts='closed')}",
         "stream_q5_hot_items": f"WITH {_COUNTS_CLOSED} {_HOT.format(counts='closed')}",
+        "stream_q5_hot_items_stream": f"WITH {_COUNTS_CLOSED} {_HOT.format(counts='closed')}",
         "stream_q5_hot_items_join": f"WITH {_COUNTS_CLOSED} {_HOT.format(counts='closed')}",
         "stream_q3_local_items_dedup_within": _Q3_DEDUP_WITHIN,
         "stream_q8_new_users_half_day": _Q8.format(size="12 HOUR"),

@@ -16,11 +16,11 @@ from gavelstream.operators import stateless
 from gavelstream.operators.joins import Shares, incremental_join
 from gavelstream.plans import defaults as d
 from gavelstream.plans.batch import currency_conversion, listed_bids, selected_bids
-from gavelstream.streaming import joins, lookup, sessions, windows
+from gavelstream.streaming import joins, keyed, lookup, sessions, windows
 from gavelstream.streaming.runner import PerBatch
 
-__all__ = ["bid_counts", "currency_conversion", "hot_items", "hot_items_of_two", "listed_bids", "local_items",
-           "local_items_distinct", "local_items_latest", "max_bid_count", "new_users",
+__all__ = ["bid_counts", "currency_conversion", "hot_items", "hot_items_of_two", "hot_items_stream", "listed_bids",
+           "local_items", "local_items_as_of", "local_items_distinct", "local_items_expiring", "local_items_latest", "local_items_pending", "max_bid_count", "new_users",
            "selected_bids", "session_firings", "user_sessions"]
 
 
@@ -58,6 +58,25 @@ def local_items_latest(auctions: DataFrame, persons: DataFrame, category: int =
                                 stateless.in_states(persons, states), shares)
 
 
+def local_items_as_of(auctions: DataFrame, persons: DataFrame, category: int = d.LOCAL_CATEGORY,
+                      states: Iterable[str] = d.LOCAL_STATES, delay: str = d.DELAY, chunk: str = "1 hour",
+                      shares: Shares | None = None) -> DataFrame:
+    """Query 3 as a lookup by event time: the rows of the batch form, however the inputs are cut into files."""
+    return keyed.lookup_as_of(stateless.in_category(auctions, category), stateless.in_states(persons, states), delay, chunk, shares)
+
+
+def local_items_pending(auctions: DataFrame, persons: DataFrame, wait: str, category: int = d.LOCAL_CATEGORY,
+                        states: Iterable[str] = d.LOCAL_STATES, delay: str = d.DELAY, shares: Shares | None = None) -> DataFrame:
+    """Query 3 with a set of auctions that wait for their seller, for ``wait`` at most, and leave it with the first record."""
+    return keyed.pending_join(stateless.in_category(auctions, category), stateless.in_states(persons, states), wait, delay, shares)
+
+
+def local_items_expiring(auctions: DataFrame, persons: DataFrame, keep: str, category: int = d.LOCAL_CATEGORY,
+                         states: Iterable[str] = d.LOCAL_STATES, shares: Shares | None = None) -> DataFrame:
+    """Query 3 with state that is forgotten ``keep`` after it came in, by the clock."""
+    return keyed.expiring_join(stateless.in_category(auctions, category), stateless.in_states(persons, states), keep, shares)
+
+
 def bid_counts(bids: DataFrame, size: str = d.HOT_ITEMS_SIZE,
                slide: str = d.HOT_ITEMS_SLIDE, delay: str = d.DELAY) -> DataFrame:
     return windows.window_counts(bids, size, slide, delay).drop("window")
@@ -80,6 +99,12 @@ def hot_items_of_two(bids_one: DataFrame, bids_two: DataFrame, size: str = d.HOT
     return windows.hot_items(bids_one, bids_two, size, slide, delay)
 
 
+def hot_items_stream(bids_one: DataFrame, bids_two: DataFrame | None = None, size: str = d.HOT_ITEMS_SIZE,
+                     slide: str = d.HOT_ITEMS_SLIDE, delay: str = d.DELAY) -> DataFrame:
+    """Query 5 over one stream or two, as a stream that other operators can be joined to."""
+    return windows.hot_items_stream(bids_one, bids_two, size, slide, delay)
+
+
 def new_users(auctions: DataFrame, persons: DataFrame, size: str = d.NEW_USERS_SIZE,
               shares: Shares | None = None, delay: str = d.DELAY) -> DataFrame:
     """Query 8."""

@@ -43,12 +43,13 @@ class PerBatch:
 
 
 def start(df: DataFrame | PerBatch, name: str, path: str | None = None, checkpoint: str | None = None,
-          every: str | None = "1 second") -> StreamingQuery:
+          every: str | None = "1 second", empty_batches: bool = True) -> StreamingQuery:
     """Start ``df`` in append mode; without ``path`` the rows are computed and discarded.
 
     ``every=None`` takes in all input present now and then stops; otherwise the query has no end and
     needs a ``checkpoint``. Restarting with the same one goes on where the last run, or a lost driver,
-    left off.
+    left off. Without ``empty_batches`` there are only micro-batches with input: state that goes by the clock would
+    else bring up one after another, and a run over what is present would not stop.
     """
     if every is not None and checkpoint is None:
         raise ValueError("a query without an end needs a checkpoint folder, or a lost driver loses its state")
@@ -56,23 +57,30 @@ def start(df: DataFrame | PerBatch, name: str, path: str | None = None, checkpoi
     writer = (stream.writeStream.outputMode("append").queryName(name)
               .option("checkpointLocation", checkpoint or scratch_dir(stream.sparkSession, f"{name}-checkpoint")))
     writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
-    if isinstance(df, PerBatch):
-        return writer.foreachBatch(df.write(path)).start()
-    if path is None:
-        return writer.format("noop").start()
-    return writer.format("parquet").start(path)
+    conf, setting = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(setting)
+    # a query keeps the settings that it started with
+    conf.set(setting, str(empty_batches and before == "true").lower())
+    try:
+        if isinstance(df, PerBatch):
+            return writer.foreachBatch(df.write(path)).start()
+        if path is None:
+            return writer.format("noop").start()
+        return writer.format("parquet").start(path)
+    finally:
+        conf.set(setting, before)
 
 
 def run_to_table(df: DataFrame | PerBatch, name: str, path: str | None = None,
-                 checkpoint: str | None = None) -> DataFrame:
+                 checkpoint: str | None = None, empty_batches: bool = True) -> DataFrame:
     """Process all input present now into Parquet and read the result back as a table."""
     path = path or scratch_dir(df.sparkSession, f"{name}-output")
-    start(df, name, path, checkpoint, every=None).awaitTermination()
+    start(df, name, path, checkpoint, every=None, empty_batches=empty_batches).awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(path).select(df.schema.names)
 
 
-def run_discarding(df: DataFrame | PerBatch, name: str) -> list:
+def run_discarding(df: DataFrame | PerBatch, name: str, empty_batches: bool = True) -> list:
     """Process all input present now into nothing; returns the progress of each batch."""
-    query = start(df, name, every=None)
+    query = start(df, name, every=None, empty_batches=empty_batches)
     query.awaitTermination()
     return query.recentProgress

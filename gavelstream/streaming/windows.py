@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gavelstream.functions import epoch_millis
 from gavelstream.operators import windows
+from gavelstream.operators.joins import Shares
 from gavelstream.streaming.runner import PerBatch
 
 RESULT = "auction long, num long, window_end_ms long"
@@ -29,6 +30,23 @@ def window_max(bids: DataFrame, size: str, slide: str, delay: str = "0 seconds")
             .select("max_num", epoch_millis(F.col("window.end")).alias("window_end_ms")))
 
 
+def hot_items_stream(bids: DataFrame, peaks_of: DataFrame | None, size: str, slide: str, delay: str = "0 seconds") -> DataFrame:
+    """The hot items as a stream that other operators can go on with: auction, num, window_end_ms, window.
+
+    Counts, their maxima and the join of both are one plan; the watermark goes through it, and the state of a window goes once it is
+    closed. The input is read and counted for either side. Auctions are dealt out to as many shares as there are state
+    partitions and a window's maximum goes to each, so that the counts of a window don't meet in one task.
+    """
+    shares = Shares().numbered(bids)
+    counts = window_counts(bids, size, slide, delay).withColumn("share", shares.of(F.col("auction"), F.col("auction")))
+    # counted anew, for two uses of one watermark would count as one
+    peaks = (window_counts(bids if peaks_of is None else peaks_of, size, slide, delay)
+             .groupBy("window").agg(F.max("num").alias("max_num"))
+             .select(F.col("window").alias("peak_window"), "max_num", shares.every(F.lit(None)).alias("peak_share")))
+    reached = ((F.col("window") == F.col("peak_window")) & (F.col("share") == F.col("peak_share")) & (F.col("num") >= F.col("max_num")))
+    return counts.join(peaks, reached).select("auction", "num", "window_end_ms", "window")
+
+
 def hot_items(bids: DataFrame, peaks_of: DataFrame | None, size: str, slide: str, delay: str = "0 seconds") -> PerBatch:
     """All auctions of ``bids``, ties included, that reach the window's maximum, their own or that of ``peaks_of``.
 
