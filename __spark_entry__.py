@@ -100,6 +100,7 @@ def queries() -> dict[str, Query]:
         "q8_new_users": lambda t: batch.new_users(_event_auctions(t), _signups(t), SIZE),
         "q8_new_users_half_day": lambda t: batch.new_users(_event_auctions(t), _signups(t), "12 hours"),
         "q11_sessions": lambda t: batch.user_sessions(_event_bids(t), GAP),
+        "q11_sessions_by_aggregate": lambda t: batch.user_sessions_by_aggregate(_event_bids(t), GAP),
         "q11_session_firings": lambda t: batch.session_firings(_event_bids(t), GAP, MAX_EVENTS),
     }
     streamed = {
@@ -297,6 +298,7 @@ def oracle_sql() -> dict[str, str]:
         "q8_new_users": _Q8.format(size="10 HOUR"),
         "q8_new_users_half_day": _Q8.format(size="12 HOUR"),
         "q11_sessions": f"WITH {_SESSION_BIDS} {_SESSIONS}",
+        "q11_sessions_by_aggregate": f"WITH {_SESSION_BIDS} {_SESSIONS}",
         "q11_session_firings": f"WITH {_SESSION_BIDS} {_FIRINGS}",
         "stream_q1_currency": _Q1,
         "stream_q2_filter_mod": _Q2_MOD,

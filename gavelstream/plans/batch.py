@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from gavelstream.operators import joins, sessions, stateless, windows
+from gavelstream.operators import joins, sessions, stateless, user_aggregates, windows
 from gavelstream.plans import defaults as d
 
 
@@ -81,6 +82,13 @@ def user_sessions(bids: DataFrame, gap: str = d.SESSION_GAP) -> DataFrame:
     return sessions.session_counts(bids, gap)
 
 
+def user_sessions_by_aggregate(bids: DataFrame, gap: str = d.SESSION_GAP) -> DataFrame:
+    """Query 11 with its count written as a user's aggregate; the columns of ``user_sessions``."""
+    timed = bids.withColumn("us", F.unix_micros("ts"))
+    found = user_aggregates.by_session(timed, ["bidder"], ["us", "auction"], user_aggregates.BidCount(), "num long, last_auction long", gap)
+    return found.select("bidder", "num", "start_ms", "end_ms", "last_auction")
+
+
 def session_firings(bids: DataFrame, gap: str = d.SESSION_GAP,
                     max_events: int = d.SESSION_MAX_EVENTS) -> DataFrame:
     """Query 11 with the running count every ``max_events`` bids."""
