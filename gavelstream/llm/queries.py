@@ -230,6 +230,63 @@ SELECT conv_id, count(*) AS n_turns,
                              ELSE 19 + n_role END) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id"""
 
+_OP13 = r"""
+WITH RECURSIVE crcs AS (
+  SELECT list(c ORDER BY n) AS crc
+  FROM (SELECT n, list_reduce([n] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) AS bytes(n))),
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce([4294967295] || list_transform(
+               string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+             lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM conversations, crcs),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+  FROM given, range(2) AS copies(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+         right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS tail FROM damaged),
+faulty AS (
+  SELECT *, left(role, 1) AS initial, coalesce(lag(left(role, 1)) OVER c || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal,
+         CASE WHEN tail = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed WINDOW c AS (PARTITION BY conv_id ORDER BY i)),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM faulty GROUP BY conv_id),
+path AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '' AS s, 0 AS cost, '' AS edits, CAST([] AS VARCHAR[]) AS kept FROM counted
+  UNION ALL
+  SELECT conv_id, i, s, cost, edits, kept FROM (
+    SELECT b.conv_id, r.i, b.cost + CASE edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END
+             + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost,
+           CASE edit WHEN 'D' THEN b.s WHEN 'K' THEN initial ELSE made END AS s, b.edits || edit AS edits,
+           CASE edit WHEN 'D' THEN b.kept WHEN 'K' THEN b.kept || [role || ':' || text]
+                     ELSE b.kept || [CASE made WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text] END AS kept
+    FROM (SELECT *, CASE s WHEN 'u' THEN 'a' ELSE 'u' END AS made
+          FROM (SELECT conv_id, i, s, cost, edits, kept FROM path
+                UNION ALL SELECT conv_id, i, CASE s WHEN 'u' THEN 'a' ELSE 'u' END, cost + 3, edits || 'I',
+                                 kept || [CASE s WHEN 'u' THEN 'assistant:' ELSE 'user:' END] FROM path)) b
+    JOIN faulty r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1
+    JOIN (VALUES ('D'), ('K'), ('R')) AS choices(edit)
+      ON edit = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (edit = 'R' OR b.s || initial IN ('s', 'u', 'su', 'ua', 'au') AND initial <> '')))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, s ORDER BY cost, edits) = 1),
+ended AS (
+  SELECT p.conv_id, cost + CASE s WHEN 'u' THEN 3 ELSE 0 END AS cost, edits || CASE s WHEN 'u' THEN 'I' ELSE '' END AS edits,
+         CASE s WHEN 'u' THEN kept || ['assistant:'] ELSE kept END AS kept
+  FROM path p JOIN counted c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i WHERE s <> 's'
+  QUALIFY row_number() OVER (PARTITION BY p.conv_id
+    ORDER BY cost + CASE s WHEN 'u' THEN 3 ELSE 0 END, edits || CASE s WHEN 'u' THEN 'I' ELSE '' END) = 1)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(edits, '') AS audit,
+       sha256(coalesce(array_to_string(kept, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN ended d ON d.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lm": _OP4, "op7_mixing": _OP7, "op9_decontamination": _OP9, "op11_collocations": _OP11, "op12_chat": _OP12}
+    return {"op4_lm": _OP4, "op7_mixing": _OP7, "op9_decontamination": _OP9, "op11_collocations": _OP11, "op12_chat": _OP12, "op13_turns": _OP13}

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 from llm_support import clashing
 
@@ -144,6 +145,10 @@ def test_damage_and_whole_table(spark, tmp_path):
     got = queries.op13_turns(spark, str(tmp_path))
     assert got.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
     assert {r[0]: tuple(r[1:]) for r in got.collect()} == cases
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()['op13_turns']})").fetchall()
+    assert {r[0]: r[1:] for r in found} == cases and len(found) == len(cases)
 
 
 @pytest.mark.parametrize("rows, result", [
