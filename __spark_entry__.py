@@ -6,6 +6,7 @@ becomes one hour here, and sessions report every 5 bids (see FIXTURES.md).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,10 @@ from gavelstream.streaming.runner import run_to_table
 try:
     import corpus_pipeline
     from gavelstream.llm import queries as llm
-except ModuleNotFoundError as missing:
-    # the training-data operators are optional as a whole
+except ImportError as missing:
+    # the training-data operators are optional as a whole: absent, or without a library that they need
     if missing.name not in ("corpus_pipeline", "gavelstream.llm"):
-        raise
+        warnings.warn(f"the training-data operators are left out: {missing}", stacklevel=2)
     llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -33,3 +33,14 @@ def test_workers_do_not_import_the_library(tmp_path):
     run = subprocess.run([sys.executable, "-c", SCRIPT.format(root=str(Path(ROOT)))], cwd=tmp_path,
                          env=environment, capture_output=True, text=True, timeout=300)
     assert run.stdout.strip().endswith("[1]"), run.stderr[-2000:]
+
+
+def test_entry_survives_a_missing_library():
+    """Without what the training-data operators need, all other queries are there."""
+    code = ("import sys; sys.modules['zstandard'] = None; sys.modules['xxhash'] = None; import __spark_entry__ as e; "
+            "assert e.llm is None and 'q5_hot_items' in e.queries() and e.queries().keys() == e.oracle_sql().keys()")
+    import subprocess
+    import sys
+    from pathlib import Path
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
