@@ -1,6 +1,9 @@
 """Held-out accuracy, bounds and odd inputs of the compression classifier."""
 
+import math
+
 import pytest
+import zstandard
 from llm_support import clashing, docs, rows_of  # noqa: F401
 from pyspark.sql import functions as F
 
@@ -56,3 +59,33 @@ def test_labels_of_one_class_or_none(docs, spark):
     assert {round(r.score, 6) for r in quality.scored(texts, quality.fit(texts, ones)).collect()} == {round(5 / 6, 6)}
     few = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0), (4, 1), (5, 0)], "doc_id long, quality int")
     assert rows_of(quality.scored(texts, quality.fit(texts, few)), "doc_id") == [(i,) for i in range(6)]
+
+
+def test_scores_against_a_plain_computation(docs, model):
+    """Sizes of frames that give the texts back, and the curve written out."""
+    curve = (0.3, 20.0, -1.5, 0.7, 0.4, -0.2)
+    fitted = quality.Model(model.good, model.bad, curve)
+    texts = ["", "a", "The quick brown fox rests.", "CLICK### now%%% " * 100, "é" * 700, "jumps over the lazy dog " * 60 + "$$$"]
+
+    def size(data, content):
+        found = 0
+        for at in range(0, max(1, len(data)), 512):
+            held = zstandard.ZstdCompressionDict(content)
+            held.precompute_compress(level=3)
+            made = zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+            frame = made.compress(data[at:at + 512])
+            back = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content)).decompress(frame, max_output_size=512)
+            assert back == data[at:at + 512]
+            found += len(frame)
+        return found
+
+    def score(text):
+        data = text.encode()
+        good, bad = size(data, fitted.good), size(data, fitted.bad)
+        plain = len(zstandard.ZstdCompressor(level=1, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+        length = max(1, len(data))
+        d, g, p = (bad - good) / (bad + good), math.log(good / length), math.log(plain / length)
+        return 1 / (1 + math.exp(-(curve[0] + curve[1] * d + curve[2] * g + curve[3] * p + curve[4] * g * g + curve[5] * p * p)))
+
+    got = {r.doc_id: r.score for r in quality.scored(docs(list(enumerate(texts))), fitted).collect()}
+    assert got == {i: pytest.approx(score(t), abs=1e-12) for i, t in enumerate(texts)}
