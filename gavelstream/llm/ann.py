@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by a permutation index.
 
-Every vector is represented by its nearest pivots in order. It is posted under each of them, so a pivot's
-inverted file holds the vectors that see the pivot among their nearest. A query reads the files of its own nearest
-pivots whole: each part of a file gives its exact nearest by cosine, so nothing that a file holds is left out.
+Every vector is represented by the order in which it sees the pivots, nearest first, and posted under the first few of
+them: a pivot's inverted file holds the vectors that see it among their nearest. A query reads the files of its own nearest
+pivots and ranks what they hold by footrule distance, how far the places of all pivots differ between two
+orders. The best of all its files, with everything that is as good as the last of them, are reranked by cosine.
 """
 
 from __future__ import annotations
@@ -11,22 +12,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelstream.llm.common import written
 
-#: Bound of the fit: the pivots are chosen among this many vectors at most.
+#: Bound of the fit: the pivots are chosen among this many vectors at most. There are as many as the square root of the rows, up to ``PIVOTS``.
 SAMPLE, PIVOTS = 20_000, 128
 #: Inverted files that a vector is posted in, and that a query reads.
-POSTED, PROBES = 16, 8
-#: Up to this many rows for each wanted neighbour, queries read every inverted file.
-FEW_ROWS = 60
+POSTED, PROBES = 8, 16
+#: Vectors that are reranked for a query, at least, and for each square root of the rows.
+RERANKED, RERANKED_BY_ROOT = 1_000, 8
+#: Orders this share of the largest footrule apart tell nothing: whatever is so near is reranked, however many there are.
+ALIKE = 0.05
+#: Steps in which footrules are counted to find a query's last one.
+STEPS = 512
 #: Postings of one inverted file, and queries, that meet in one go; longer files and more queries are split. Wide vectors
 #: are split to ``FILE_BYTES`` as doubles.
 FILE_ROWS, FILE_BYTES = 20_000, 32 << 20
-#: Cosines that are held at once, and components of pairs whose cosine is taken again.
-_HELD = 1 << 21
 #: How far a product of matrices may be from the cosine of the same two vectors taken alone.
 _SLACK = 1e-12
 
@@ -57,8 +60,9 @@ def choose_pivots(vectors: np.ndarray, count: int) -> np.ndarray:
     return unit[chosen]
 
 
-def orders(rows: DataFrame, pivots: np.ndarray, posted: int, single: bool) -> DataFrame:
-    """``vec_id, asks, vector, near``: the vector packed as bytes (of floats if ``single``), and the first ``posted`` pivots of its order."""
+def orders(rows: DataFrame, pivots: np.ndarray, most: int, single: bool) -> DataFrame:
+    """``vec_id, asks, vector, places, near``: the vector packed as bytes (of floats if ``single``), the place of each pivot in its order
+    as a byte, and the first ``most`` pivots of the order."""
     packed = np.float32 if single else np.float64
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,13 +70,17 @@ def orders(rows: DataFrame, pivots: np.ndarray, posted: int, single: bool) -> Da
             if not batch.num_rows:
                 continue
             vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            near = np.argsort(-(_unit(vectors) @ pivots.T), axis=1, kind="stable")[:, :posted].astype(np.int32)
+            order = np.argsort(-(_unit(vectors) @ pivots.T), axis=1, kind="stable")
+            places = np.argsort(order, axis=1).astype(np.uint8)
+            near = order[:, :most].astype(np.int32)
             ends = np.arange(batch.num_rows + 1, dtype=np.int32) * near.shape[1]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), batch.column("asks"), pa.array([v.tobytes() for v in vectors.astype(packed)], pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel()))], ["vec_id", "asks", "vector", "near"])
+                 pa.array([p.tobytes() for p in places], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel()))],
+                ["vec_id", "asks", "vector", "places", "near"])
 
-    return rows.mapInArrow(rank, f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, asks boolean, vector binary, near array<int>")
+    kind = rows.schema["vec_id"].dataType.simpleString()
+    return rows.mapInArrow(rank, f"vec_id {kind}, asks boolean, vector binary, places binary, near array<int>")
 
 
 def footrule(own: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -92,41 +100,38 @@ def _without_copies(ids: np.ndarray, unit: np.ndarray, most: int) -> np.ndarray:
     return by_id[kept[by_id]]
 
 
-def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, unit: np.ndarray,
-            k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every query (unit vectors) the exact ``k`` nearest others: places of queries, places of ``ids``, and the cosines."""
-    kept = _without_copies(ids, unit, k + 1)
-    ids, unit = ids[kept], unit[kept]
-    found: list[tuple[np.ndarray, ...]] = []
-    step, pairs = max(1, _HELD // max(1, len(ids))), max(1, _HELD // unit.shape[1])
-    for at in range(0, len(queries), step):
-        block, own = queries[at:at + step], query_ids[at:at + step]
-        near = block @ unit.T
-        place = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-        itself = np.flatnonzero(ids[place] == own)
-        near[itself, place[itself]] = -np.inf
-        edge = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(block), -np.inf)
-        q, v = np.nonzero((near >= edge[:, None] - _SLACK) & (near > -np.inf))
-        # again pair by pair: the last digits of a product of matrices depend on where a vector stands
-        score = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", block[q[i:i + pairs]], unit[v[i:i + pairs]])
-                                               for i in range(0, len(q), pairs))])
-        order = np.lexsort((v, -score, q))
-        q, v, score = q[order], v[order], score[order]
-        first = np.searchsorted(q, np.arange(len(block)))
-        top = np.arange(len(q)) - first[q] < k
-        found.append((q[top] + at, kept[v[top]], score[top]))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+def first_met(own: np.ndarray, others: np.ndarray, pivot: int, posted: int) -> np.ndarray:
+    """Which of a file's vectors (places of all pivots) are in no file that the query reads before this one."""
+    before = np.flatnonzero(own < own[pivot])
+    return ~(others[:, before] < posted).any(axis=1)
+
+
+def best_of(query_id: int, query: np.ndarray, ids: np.ndarray, unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The exact ``k`` nearest others of a query (unit vectors): places of ``ids``, ascending, and the cosines."""
+    near = unit @ query
+    near[ids == query_id] = -np.inf
+    edge = np.partition(near, len(near) - k)[len(near) - k] if len(near) > k else -np.inf
+    v = np.flatnonzero((near >= edge - _SLACK) & (near > -np.inf))
+    # again pair by pair: the last digits of a product of matrices depend on where a vector stands
+    score = np.einsum("ij,ij->i", np.broadcast_to(query, (len(v), len(query))), unit[v])
+    top = np.lexsort((ids[v], -score))[:k]
+    return v[top], score[top]
+
+
+def _matrix(column: pa.ChunkedArray, packed: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), packed).reshape(len(column), -1)
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
             pivots: int = PIVOTS, posted: int = POSTED, probes: int = PROBES) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each row that ``queries`` picks the ``k`` nearest of all other rows in the files it reads.
+    """``query_id, rank, vec_id, score``: for each row that ``queries`` picks the ``k`` nearest of all other rows that it finds.
 
     Score is the cosine in double precision of the original vectors; ties go to the smaller id. Vectors that are null,
     zero, of another length than most, or hold a null or non-finite component take no part, nor do rows without an id. Rows of
-    one id are one vector (the least by value). Every other row is indexed; the pivots (256 at most) are chosen
-    in a bounded sample. What a read file holds is compared exactly, however many of its vectors are alike. Where there
-    are no more than ``FEW_ROWS`` rows for each wanted neighbour, every file is read and all rows are.
+    one id are one vector (the least by value). Every other row is indexed; the pivots (256 at most, and no more than the square root of
+    the rows) are chosen in a bounded sample. Of what a query's ``probes`` files hold, the ``RERANKED`` nearest by footrule or more are compared
+    exactly. Where orders tell little, among copies and near copies, everything as near as the last of these, and all within ``ALIKE`` of the
+    largest footrule, is compared exactly as well, without a limit.
     """
     if not 1 <= pivots <= 256:
         raise ValueError("pivots: 1 to 256")
@@ -137,20 +142,23 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
                    .select("vec_id", "v.vector", F.coalesce("v.asks", F.lit(False)).alias("asks")), "vectors")
     sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     kind = rows.schema["vec_id"].dataType.simpleString()
-    result = f"query_id {kind}, rank int, vec_id {kind}, score double"
     if not sizes:
-        return vectors.sparkSession.createDataFrame([], result)
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     width, n = sizes[0]
     rows = rows.where(F.size("vector") == width)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()
-    chosen = choose_pivots(np.array([r[0] for r in sample]), pivots)
+    root = int(np.ceil(np.sqrt(n)))
+    chosen = choose_pivots(np.array([r[0] for r in sample]), min(pivots, root))
     posted, probes = min(posted, len(chosen)), min(probes, len(chosen))
+    best, step = max(RERANKED, RERANKED_BY_ROOT * root), max(1, len(chosen) ** 2 // 2 // STEPS)
+    alike = int(ALIKE * (len(chosen) ** 2 // 2)) // step
+
+    index = written(orders(rows, chosen, max(posted, probes), single), "orders")
+    def of_index(rows: DataFrame, most: int) -> DataFrame:
+        # under names of their own, for both sides of the index meet below
+        return rows.select(*(F.col(c).alias(c) for c in ("vec_id", "vector", "places")), F.explode(F.slice("near", 1, most)).alias("pivot"))
 
-    index = written(orders(rows, chosen, posted, single), "orders")
-    every = F.sequence(F.lit(0), F.lit(len(chosen) - 1))
-    files = index.select("vec_id", "vector", F.explode("near").alias("pivot"))
-    asked = index.where("asks").select(
-        "vec_id", "vector", F.explode(F.slice("near", 1, min(probes, posted)) if n > k * FEW_ROWS else every).alias("pivot"))
+    files, asked = of_index(index, posted), of_index(index.where("asks"), probes)
     # the numbers of postings and of queries of a pivot say into how many parts either goes; every two parts meet
     most = max(1, min(FILE_ROWS, FILE_BYTES // (8 * width)))
 
@@ -163,7 +171,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     parts, asks_parts = dealt(files), dealt(asked)
     met = parts.keys() & asks_parts.keys()
     if not met:
-        return vectors.sparkSession.createDataFrame([], result)
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
 
     def cut(table: DataFrame, own: str, counts: dict[int, int], other: str, others: dict[int, int]) -> DataFrame:
         return (table.where(F.col("pivot").isin(*met))
@@ -172,23 +180,52 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
 
     files = cut(files, "part", parts, "asks_part", asks_parts)
     asked = cut(asked, "asks_part", asks_parts, "part", parts)
-    packed = np.float32 if single else np.float64
-
-    def look(asks: pa.Table, file: pa.Table) -> pa.Table:
-        id_type = file.schema.field("vec_id").type
-        scores = pa.schema([("query_id", id_type), ("vec_id", id_type), ("score", pa.float64())])
-        if not asks.num_rows or not file.num_rows:
-            return scores.empty_table()
-        own, there = (_unit(np.frombuffer(b"".join(t.column("vector").to_pylist()), packed).astype(float).reshape(t.num_rows, -1))
-                      for t in (asks, file))
-        q, v, score = best_of(asks.column("vec_id").to_numpy(), own, file.column("vec_id").to_numpy(), there, k)
-        return pa.table([asks.column("vec_id").take(pa.array(q)), file.column("vec_id").take(pa.array(v)), pa.array(score)], schema=scores)
-
-    by = ["pivot", "part", "asks_part"]
-    found = (asked.select(*by, "vec_id", "vector").groupBy(*by).cogroup(files.select(*by, "vec_id", "vector").groupBy(*by))
-             .applyInArrow(look, f"query_id {kind}, vec_id {kind}, score double"))
-    # at most k * probes * parts short rows of a query meet here
-    pairs = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    by, packed = ["pivot", "part", "asks_part"], np.float32 if single else np.float64
+
+    def met_by(asks: pa.Table, file: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each query the vectors that it meets in this file first, and the steps of their footrules."""
+        own, there = _matrix(asks.column("places"), np.uint8), _matrix(file.column("places"), np.uint8)
+        ids, query_ids, pivot = file.column("vec_id").to_numpy(), asks.column("vec_id").to_numpy(), asks.column("pivot")[0].as_py()
+        for i, places in enumerate(own):
+            at = np.flatnonzero(first_met(places, there, pivot, posted) & (ids != query_ids[i]))
+            yield i, at, footrule(places, there[at]) // step
+
+    def count(asks: pa.Table, file: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 3]
+        for i, _, far in met_by(asks, file) if asks.num_rows and file.num_rows else ():
+            n_at = np.bincount(far)
+            # beyond the step at which this file alone has enough, no other file's vectors are asked for either
+            n_at = n_at[:int(np.searchsorted(np.cumsum(n_at), best)) + 1]
+            at = np.flatnonzero(n_at)
+            found.append((np.full(len(at), i), at, n_at[at]))
+        i, at, n_at = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"query_id": asks.column("vec_id").take(pa.array(i)), "far": pa.array(at, pa.int32()), "n": pa.array(n_at, pa.int64())})
+
+    def rerank(asks: pa.Table, file: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if asks.num_rows and file.num_rows:
+            own, there = (_unit(_matrix(t.column("vector"), packed).astype(float)) for t in (asks, file))
+            # copies have equal orders: more than k + 1 of one vector cannot all be wanted
+            file, there = file.take(pa.array(kept := _without_copies(file.column("vec_id").to_numpy(), there, k + 1))), there[kept]
+            ids, query_ids, last = file.column("vec_id").to_numpy(), asks.column("vec_id").to_numpy(), asks.column("last").to_numpy()
+            for i, at, far in met_by(asks, file):
+                at = at[far <= last[i]]
+                v, score = best_of(query_ids[i], own[i], ids[at], there[at], k)
+                found.append((np.full(len(v), i), at[v], score))
+        i, v, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"query_id": asks.column("vec_id").take(pa.array(i)), "vec_id": file.column("vec_id").take(pa.array(v)), "score": pa.array(score)})
+
+    # first the footrules are only counted, to know how far each query has to go in all its files together
+    counts = (asked.select(*by, "vec_id", "places").groupBy(*by).cogroup(files.select(*by, "vec_id", "places").groupBy(*by))
+              .applyInArrow(count, f"query_id {kind}, far int, n long").groupBy("query_id", "far").agg(F.sum("n").alias("n")))
+    upto = F.sum("n").over(Window.partitionBy("query_id").orderBy("far"))
+    last = (counts.withColumn("upto", upto).groupBy("query_id")
+            .agg(F.greatest(F.coalesce(F.min(F.when(F.col("upto") >= best, F.col("far"))), F.max("far")), F.lit(alike)).alias("last")))
+    last = written(last.select(F.col("query_id").alias("vec_id"), "last"), "last-footrules")
+    found = (asked.join(last, "vec_id").select(*by, "vec_id", "vector", "places", "last").groupBy(*by)
+             .cogroup(files.select(*by, "vec_id", "vector", "places").groupBy(*by))
+             .applyInArrow(rerank, f"query_id {kind}, vec_id {kind}, score double"))
+    # a vector is met in one file only; at most k * probes * parts short rows of a query come together here
     top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    return (pairs.groupBy("query_id").agg(top.alias("t")).select("query_id", F.posexplode("t").alias("p", "t"))
+    return (found.groupBy("query_id").agg(top.alias("t")).select("query_id", F.posexplode("t").alias("p", "t"))
             .select("query_id", (F.col("p") + 1).alias("rank"), "t.vec_id", (-F.col("t.s")).alias("score")))
