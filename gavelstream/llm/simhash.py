@@ -28,6 +28,8 @@ LEAF, SHARD = 512, 8192
 #: Fingerprints that lay out the upper levels (they choose where to cut, not what is found); points of it per shard.
 SAMPLE, PER_SHARD = 65_536, 16
 _COUNTED = 65_536
+#: Pairs that wait for a union.
+_JOINED = 1 << 18
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -114,18 +116,28 @@ def route(tree: Tree, halves: np.ndarray, reach: int) -> tuple[np.ndarray, np.nd
 
 
 class _Classes:
-    """Union of positions; a batch of pairs is first reduced to pairs of classes."""
+    """Union of positions; pairs are reduced to pairs of classes and gathered, for a union looks at every position."""
 
     def __init__(self, n: int) -> None:
         self.root = np.arange(n)
+        self.pairs: list[np.ndarray] = []
+        self.held = 0
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
         a, b = self.root[a], self.root[b]
         apart = a != b
-        if not apart.any():
+        if apart.any():
+            self.pairs.append(np.unique(np.minimum(a, b)[apart] * len(self.root) + np.maximum(a, b)[apart]))
+            self.held += len(self.pairs[-1])
+            if self.held >= _JOINED:
+                self.settle()
+
+    def settle(self) -> None:
+        if not self.pairs:
             return
         n = len(self.root)
-        pairs = np.unique(np.minimum(a, b)[apart] * n + np.maximum(a, b)[apart])
+        pairs = np.unique(np.concatenate(self.pairs))
+        self.pairs, self.held = [], 0
         parent: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -145,23 +157,32 @@ class _Classes:
         self.root[hit] = to[at[hit]]
 
 
+def _part(points: np.ndarray, shift: int, bits: int) -> np.ndarray:
+    return (points >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+
+
 def search(points: np.ndarray, home: np.ndarray, side: int, most_bits: int) -> np.ndarray:
-    """For each point of a shard the position of its class: every pair with a home point within ``most_bits`` is tied."""
+    """For each point of a shard the position of its class: every pair with a home point within ``most_bits`` is tied.
+
+    Points that share this half are told apart by the other one: two of them are within ``most_bits`` // 4 bits in one of its
+    four bytes, so they are cut by each in turn.
+    """
     classes = _Classes(len(points))
-    halves = points >> np.uint64(32) if side else points & np.uint64(0xFFFFFFFF)
-    reach = most_bits // 2
-    todo = [(np.flatnonzero(home), np.flatnonzero(~home))]
+    todo = [(np.flatnonzero(home), np.flatnonzero(~home), 32 * side, 32)]
     while todo:
-        homes, visitors = todo.pop()
+        homes, visitors, shift, bits = todo.pop()
+        reach = most_bits // (2 if bits == 32 else 4)
         if len(homes) > LEAF:
-            point, radius = _cut(halves[homes])
-            apart_h = np.bitwise_count(halves[homes] ^ np.uint64(point)).astype(np.int64)
-            apart_v = np.bitwise_count(halves[visitors] ^ np.uint64(point)).astype(np.int64)
+            point, radius = _cut(_part(points[homes], shift, bits))
+            apart_h, apart_v = (np.bitwise_count(_part(points[at], shift, bits) ^ np.uint64(point)).astype(np.int64) for at in (homes, visitors))
             near = apart_h <= radius
             if near.any() and not near.all():
-                todo.append((homes[near], visitors[apart_v - reach <= radius]))
+                todo.append((homes[near], visitors[apart_v - reach <= radius], shift, bits))
                 todo.append((homes[~near], np.concatenate(
-                    [visitors[apart_v + reach > radius], homes[near & (apart_h + reach > radius)]])))
+                    [visitors[apart_v + reach > radius], homes[near & (apart_h + reach > radius)]]), shift, bits))
+                continue
+            if bits == 32:
+                todo += [(homes, visitors, 32 - shift + at, 8) for at in range(0, 32, 8)]
                 continue
         step = max(1, (1 << 21) // max(1, len(homes)))
         for others, own in ((homes, True), (visitors, False)):
@@ -170,6 +191,7 @@ def search(points: np.ndarray, home: np.ndarray, side: int, most_bits: int) -> n
                 cols = homes[i:] if own else homes
                 r, c = np.nonzero(np.bitwise_count(points[rows][:, None] ^ points[cols][None, :]) <= most_bits)
                 classes.join(rows[r], cols[c])
+    classes.settle()
     return classes.root
 
 

@@ -1,6 +1,7 @@
 """Fingerprints bit by bit, and components against all pairs."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -118,3 +119,27 @@ def test_rows_that_share_an_id(docs):
     for parts in (1, 4):
         kept = simhash.representatives(clashing(docs(given)).repartition(parts))
         assert rows_of(kept, "doc_id", "text") == sorted(expected, key=repr) and "key" in kept.columns
+
+
+@pytest.mark.parametrize("side", [0, 1])
+def test_points_that_share_a_half(side):
+    rng = np.random.default_rng(11)
+    other = np.unique(rng.integers(0, 1 << 32, 6000, dtype=np.uint64))
+    other = np.unique(np.concatenate([other, *(other[:900] ^ np.uint64(m) for m in (1, 1 << 20 | 1 << 3, 7 << 13, 15 << 9))]))
+    points = other << np.uint64(32) | np.uint64(5) if side == 0 else other | np.uint64(5 << 32)
+    points = np.concatenate([points, points[:50] ^ np.uint64(1 << (32 * side))])
+    home = rng.random(len(points)) < 0.8
+    root = simhash.search(points, home, side, 3)
+    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 3
+    a, b = np.nonzero(near & (home[:, None] | home[None, :]))
+    assert (root[a] == root[b]).all()
+    tied = np.flatnonzero(root != np.arange(len(root)))
+    assert len(tied) > 1000 and near[np.ix_(tied, range(len(points)))].sum(1).min() > 1
+
+
+def test_many_points_that_share_a_half_take_little_time():
+    rng = np.random.default_rng(12)
+    points = np.unique(rng.integers(0, 1 << 32, 100_000, dtype=np.uint64))
+    started = time.perf_counter()
+    simhash.search(points << np.uint64(32), np.ones(len(points), bool), 0, 3)
+    assert time.perf_counter() - started < 10
