@@ -71,7 +71,7 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,10 +180,11 @@ WITH words AS (
                                       '[a-z0-9\x{80}-\x{10FFFF}]+') AS w
   FROM (SELECT doc_id AS id, 'd' AS kind, coalesce(text, '') AS text FROM documents
         UNION ALL SELECT item_id, 'i', coalesce(text, '') FROM benchmark) WHERE id IS NOT NULL),
+sizes AS (SELECT 5 AS k UNION SELECT len(w) FROM words WHERE kind = 'i' AND len(w) BETWEEN 1 AND 4),
 shingles AS (
-  SELECT DISTINCT id, kind, unnest(CASE WHEN len(w) = 0 THEN []
-    ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
-  FROM words),
+  SELECT DISTINCT id, kind, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT id, kind, w, k, unnest(range(1, greatest(len(w) - k + 1, 1) + 1)) AS i
+        FROM words JOIN sizes ON kind = 'd' OR k = 5 WHERE len(w) > 0)),
 items AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE kind = 'i')
 SELECT d.id AS doc_id, i.id AS item_id, n AS n_shingles, count(*) AS n_shared, count(*) / n AS containment
 FROM items i JOIN shingles d ON d.kind = 'd' AND d.s = i.s

@@ -3,10 +3,12 @@
 import random
 import re
 
+import duckdb
 import pytest
 from llm_support import clashing, docs, rows_of  # noqa: F401
 
 from gavelstream.llm import decontaminate as d
+from gavelstream.llm import queries
 
 
 def shingles(text, n=5):
@@ -80,3 +82,14 @@ def test_short_items_inside_long_documents(spark, docs, monkeypatch, entries):
     found = d.contained(docs(given), table, short_items=True)
     assert rows_of(found, "doc_id", "item_id", "n_shingles", "n_shared") == sorted(expected, key=repr)
     assert len(expected) > d.contained(docs(given), table).count()
+    con = duckdb.connect()
+    con.register("documents", docs(given).toPandas())
+    con.register("benchmark", table.selectExpr("item_id", "text").toPandas().astype({"item_id": "Int64"}))
+    sql = con.execute(queries.oracle_sql()["op9_decontamination"]).fetchall()
+    assert sorted((r[:4] for r in sql), key=repr) == sorted(expected, key=repr)
+
+
+def test_query_finds_short_items(spark, tmp_path):
+    spark.createDataFrame([(1, "far away a Short item stands"), (2, "short items"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "short, item"), (8, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in queries.op9_decontamination(spark, str(tmp_path)).collect()] == [(1, 7, 1, 1, 1.0)]
