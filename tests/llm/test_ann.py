@@ -84,7 +84,7 @@ def test_footrule():
     assert ann.footrule(own, others).tolist() == [0, 4, 2]
 
 
-@pytest.mark.parametrize("noise", [0.3, 0.03, 0.0001])
+@pytest.mark.parametrize("noise", [0.3, 0.1, 0.03, 0.01, 0.0001])
 def test_recall_among_near_copies(spark, monkeypatch, noise):
     monkeypatch.setattr(ann, "FILE_ROWS", 300)
     rng = np.random.default_rng(6)
