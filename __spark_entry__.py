@@ -29,6 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 Reader = Callable[[str], DataFrame]
 
 SIZE, SLIDE, GAP, MAX_EVENTS = "10 hours", "2 hours", "10 hours", 5
+SLOT = "75 minutes"
 CHUNK, WITHIN = "1 day", "2 days"
 # streams whose state goes by the clock
 _BY_THE_CLOCK = {"stream_q3_local_items_expiring"}
@@ -131,6 +132,8 @@ def queries() -> dict[str, Query]:
         "stream_q8_new_users": lambda s, t: continuous.new_users(_event_auctions(s), _signups(s, t), SIZE),
         "stream_q11_sessions": lambda s, t: continuous.user_sessions(_event_bids(s), GAP),
         "stream_q11_session_firings": lambda s, t: continuous.session_firings(_event_bids(s), GAP, MAX_EVENTS),
+        "stream_q11_session_firings_by_slots": lambda s, t: continuous.session_firings_by_slots(
+            _event_bids(s), GAP, MAX_EVENTS, slot=SLOT),
     }
     found = {**{name: _batch(build) for name, build in single.items()},
              **{name: _stream(name, build) for name, build in streamed.items()}}
@@ -280,6 +283,11 @@ _SESSIONS = "SELECT bidder, num, start_ms, end_ms, last_auction FROM sessions"
 _FIRINGS = """SELECT bidder, num, end_ms_or_fire_ms, false AS is_final FROM partials
 UNION ALL SELECT bidder, num, end_ms, true FROM sessions"""
 
+# a slot that the watermark has passed, 75 minutes; a session ends with the slot that its gap reaches into
+_FIRINGS_BY_SLOTS = f"""SELECT bidder, num, end_ms_or_fire_ms, false AS is_final FROM partials
+WHERE (end_ms_or_fire_ms // 4500000 + 1) * 4500000 <= {_WATERMARK_MS}
+UNION ALL SELECT bidder, num, end_ms, true FROM sessions WHERE (end_us // 4500000000 + 1) * 4500000000 <= {_WATERMARK_MS} * 1000"""
+
 
 def oracle_sql() -> dict[str, str]:
     found = {
@@ -321,5 +329,6 @@ def oracle_sql() -> dict[str, str]:
         "stream_q8_new_users": _Q8.format(size="10 HOUR"),
         "stream_q11_sessions": f"WITH {_SESSION_BIDS} {_SESSIONS} {_CLOSED_SESSION}",
         "stream_q11_session_firings": f"WITH {_SESSION_BIDS} {_FIRINGS} {_CLOSED_SESSION}",
+        "stream_q11_session_firings_by_slots": f"WITH {_SESSION_BIDS} {_FIRINGS_BY_SLOTS}",
     }
     return found if llm is None else {**found, **llm.oracle_sql()}

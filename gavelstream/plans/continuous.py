@@ -16,12 +16,12 @@ from gavelstream.operators import stateless
 from gavelstream.operators.joins import Shares, incremental_join
 from gavelstream.plans import defaults as d
 from gavelstream.plans.batch import currency_conversion, listed_bids, selected_bids
-from gavelstream.streaming import joins, keyed, lookup, sessions, windows
+from gavelstream.streaming import firings, joins, keyed, lookup, sessions, windows
 from gavelstream.streaming.runner import PerBatch
 
 __all__ = ["bid_counts", "currency_conversion", "hot_items", "hot_items_of_two", "hot_items_stream", "listed_bids",
            "local_items", "local_items_as_of", "local_items_distinct", "local_items_expiring", "local_items_latest", "local_items_pending", "max_bid_count", "new_users",
-           "selected_bids", "session_firings", "user_sessions"]
+           "selected_bids", "session_firings", "session_firings_by_slots", "user_sessions"]
 
 
 def local_items(auctions: DataFrame, persons: DataFrame, category: int = d.LOCAL_CATEGORY,
@@ -120,3 +120,9 @@ def session_firings(bids: DataFrame, gap: str = d.SESSION_GAP,
                     max_events: int = d.SESSION_MAX_EVENTS, delay: str = d.DELAY) -> DataFrame:
     """Query 11 with the running count every ``max_events`` bids."""
     return sessions.session_firings(bids, gap, max_events, delay)
+
+
+def session_firings_by_slots(bids: DataFrame, gap: str = d.SESSION_GAP, max_events: int = d.SESSION_MAX_EVENTS,
+                             delay: str = d.DELAY, slot: str | None = None) -> DataFrame:
+    """Query 11 with the running count every ``max_events`` bids in time order, a hot bidder's in all state partitions."""
+    return firings.session_firings_by_slots(bids, gap, max_events, delay, slot)
