@@ -66,7 +66,8 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    found = url_filter.judge(pages.select("page_id", "url"), RULES, url_filter.counted(pages, url_filter.example_model()))
+    model = url_filter.example_model()
+    found = url_filter.judge_by_counts(pages.select("page_id", "url"), RULES, model, url_filter.unigrams(pages, model))
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -1,10 +1,15 @@
 """Parts of URLs, rules, segmentation and the words' verdict."""
 
+import collections
+import functools
 import itertools
 import math
+import random
+import re
 import time
 
 import pytest
+import regex
 from llm_support import clashing
 from pyspark.sql import functions as F
 
@@ -151,3 +156,91 @@ def test_work_grows_with_the_length_of_broken_pages(page):
     started = time.perf_counter()
     u.visible(page)
     assert time.perf_counter() - started < 5
+
+
+def random_pages(spark):
+    rng = random.Random(11)
+    words = [*"cheap casino river stone house bet bets free farm mail the a é naïve ünder".split(), *u.STRONG_WORDS[:8]]
+    urls = [None, "", "no-url", "http://", "http:///x", "http://a", "http://" + "casino" * 300 + ".net/"]
+    for _ in range(300):
+        labels = ["".join(rng.choices(words, k=rng.randrange(1, 4))) if rng.random() < 0.7 else "-".join(rng.choices(words, k=2))
+                  for _ in range(rng.randrange(1, 4))]
+        urls.append(f"https://{rng.choice(['www.', 'm.', ''])}{'.'.join(labels)}.net:80/{'/'.join(rng.choices(words, k=2))}")
+    rows = [(i, url, " ".join(rng.choices(words, k=9)) if i % 3 else None) for i, url in enumerate(urls * 2 + urls[-1:] * 300)]
+    return spark.createDataFrame(rows, "page_id int, url string, html string").repartition(5)
+
+
+def plain_words(run, counts, total):
+    """The words of a run that count, by trying where the last word begins, from the front."""
+    @functools.lru_cache(None)
+    def best(end):
+        if not end:
+            return 0.0, ()
+        found = None
+        for start in range(max(0, end - 24), end):
+            cost, words = best(start)
+            word = run[start:end]
+            cost += math.log(counts[word] / (total + 1)) if word in counts else -math.log(total + 1) - 2.0 * len(word)
+            if found is None or cost > found[0] + 1e-9:
+                found = cost, (*words, word)
+        return found
+
+    for end in range(len(run)):
+        best(end)
+    words = best(len(run))[1]
+    return [w for w in words if len(w) >= 5 or all(x in counts for x in words)]
+
+
+def test_verdicts_with_the_counts_of_all_pages_against_plain_ones(spark):
+    """As the query judges: counts, segmentation and sums done over in plain Python."""
+    pages, model = random_pages(spark), u.example_model()
+    got = u.judge_by_counts(pages, queries.RULES, model, u.unigrams(pages, model)).collect()
+    rows = pages.collect()
+    counts = collections.Counter()
+    split = {}
+    for r in rows:
+        rest = (r.url or "").partition("://")[2]
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host):])[0]
+        runs = [regex.findall(r"[a-z]+|[\p{L}--[a-z]]+", label, flags=regex.V1) for label in host.lower().split(":")[0].split(".")[:-1]
+                or [host.lower()]]
+        split[r.page_id] = host.lower(), path, runs
+        counts.update(w for label in runs if len(label) > 1 for w in label)
+        for text in (path, r.html or ""):
+            counts.update(regex.findall(r"[a-z]+|[\p{L}--[a-z]]+", text.lower(), flags=regex.V1))
+    least = math.ceil(sum(counts.values()) * 1e-5)
+    for word, n in model.counts.items():
+        counts[word] = max(counts[word], n, least)
+    total = sum(counts.values())
+    assert len(got) == len(rows)
+    blocked = 0
+    known = {}
+    for r in got:
+        host, path, runs = split[r.page_id]
+        if host not in known:
+            known[host] = sum(model.odds.get(w, 0) for label in runs for run in label for w in plain_words(run, counts, total))
+        score = model.prior + known[host] + sum(
+            model.odds.get("/" + w, 0) for w in regex.findall(r"[a-z]+|[\p{L}--[a-z]]+", path.lower(), flags=regex.V1)) if host else -1.0
+        assert (r.host, r.path) == (host, path) and abs(r.score - score) < 1e-6
+        blocked += r.verdict == "block"
+        assert r.rule is None and r.verdict == ("block" if score > 0.5 else "allow")
+    assert 30 < blocked < len(rows) - 30
+
+
+def test_joined_counts_give_the_verdicts_of_gathered_ones(spark):
+    pages, model = spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), u.example_model()
+    joined = queries.op8_urls(spark, "/root/testdata/sf0.001")
+    gathered = u.judge(pages, queries.RULES, u.counted(pages, model)).select(joined.columns)
+    assert sorted(map(str, joined.collect())) == sorted(map(str, gathered.collect()))
+
+
+def test_rows_by_counts(spark):
+    pages = spark.createDataFrame([(1, None), (1, None), (None, "http://a.net/" + "q/" * 1_000)], "page_id long, url string")
+    clash = pages.withColumn("host", F.lit("old")).withColumn("verdict", F.lit(1)).withColumn("host_score", F.lit("x")).withColumn(
+        "scored_host", F.lit("y"))
+    model = u.example_model()
+    words = u.unigrams(pages.withColumn("html", F.lit(None).cast("string")), model)
+    out = u.judge_by_counts(clash, queries.RULES, model, words)
+    assert out.count() == 3 and {r.verdict for r in out.collect()} == {"allow"}
+    assert {r.host_score for r in out.collect()} == {"x"} and {r.host for r in out.collect()} == {"", "a.net"}
+    assert u.judge_by_counts(pages.limit(0), queries.RULES, model, words).count() == 0
