@@ -13,11 +13,12 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelstream.llm.common import slices, text_of
+from gavelstream.llm.common import slices, text_of, written
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -61,6 +62,15 @@ _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"(?<![A-Za-z-])([A-Za-z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
+#: Constant, then weights of ``features``.
+Model = tuple[float, ...]
+#: What a sentence ends with, and groups of tags that look alike.
+ENDINGS = tuple(".!?:;\"'”’»)…。！？")
+TAG_GROUPS = (frozenset({"p", "blockquote", "pre"}), frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("li dt dd".split()),
+              frozenset("td th tr caption".split()))
+#: Bounds of the fit, and of the log odds: a block with neighbours of the other kind on both sides, of one parent, can be outweighed.
+FIT_PAGES, FIT_BLOCKS, MOST_ODDS = 2_000, 200, 2.5
+
 
 @dataclass
 class Element:
@@ -241,15 +251,90 @@ def _down(element: Element | None, known: dict[int, object], of: Callable[[Eleme
     return value
 
 
-def costs(blocks: list[Block]) -> list[float]:
-    """For each block the cost of calling it boilerplate less that of calling it content."""
+def features(blocks: list[Block]) -> np.ndarray:
+    """What a block's text, tag and neighbours look like, a row for each; nothing of names, roles or the parts of a page."""
+    size = np.array([len(b.text) for b in blocks], float)
+    linked = np.minimum(np.array([b.linked for b in blocks], float) / np.maximum(size, 1), 1)
+    ends = np.array([b.text[-1:] in ENDINGS for b in blocks], float)
+    tags = [np.array([b.tag in group for b in blocks], float) for group in TAG_GROUPS]
+    # linked share and tags of the blocks before and after, none at the page's ends
+    beside = [np.append(0, x)[:-1] + np.append(x, 0)[1:] for x in (linked, *tags)]
+    place = np.arange(len(blocks)) / max(1, len(blocks) - 1)
+    return np.column_stack([np.log1p(size), linked, ends, np.log1p(size) * ends, place, place ** 2, *tags, *beside])
+
+
+def _spread(n: int, most: int) -> np.ndarray:
+    return np.unique(np.linspace(0, n - 1, min(n, most)).astype(int))
+
+
+def fit(pages: DataFrame, html_col: str = "html") -> Model | None:
+    """The classifier of blocks, learned from pages that mark their article or main part themselves: blocks inside against the rest.
+
+    Bounded sample: the ``FIT_PAGES`` distinct pages of least hash among those with such a tag, and of each at most ``FIT_BLOCKS`` blocks,
+    evenly spread. None where the sample has only one kind of block.
+    """
+    kind = "x array<array<double>>, y array<double>"
+    html_text = text_of(html_col)
+    # pages by their hashes, that only those of the sample are moved
+    marked = pages.where(html_text.rlike(r"(?i)<(article|main)[\s>]")).select(F.xxhash64(html_text).alias("draw"), html_text.alias("page"))
+    least = marked.select("draw").distinct().orderBy("draw").limit(FIT_PAGES)
+    chosen = marked.join(F.broadcast(written(least, "html-sample")), "draw")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "page"):
+                for draw, page in zip(part.column("draw").to_pylist(), part.column("page").to_pylist(), strict=True):
+                    blocks = blocks_of(page)
+                    zones = _zones(blocks)
+                    at = _spread(len(blocks), FIT_BLOCKS) if 2 in zones else []
+                    rows = features(blocks)[at].tolist() if len(at) else []
+                    yield pa.RecordBatch.from_pylist(
+                        [{"draw": draw, "x": rows, "y": [float(zones[i] == 2) for i in at]}],
+                        pa.schema([("draw", pa.int64()), ("x", pa.list_(pa.list_(pa.float64()))), ("y", pa.list_(pa.float64()))]))
+
+    rows = chosen.mapInArrow(take, f"draw long, {kind}").groupBy("draw").agg(F.min(F.struct("x", "y")).alias("r")).orderBy("draw").collect()
+    x = [v for row in rows for v in row["r"]["x"]]
+    y = np.array([v for row in rows for v in row["r"]["y"]])
+    return fit_blocks(np.array(x), y) if len(set(y.tolist())) == 2 else None
+
+
+def fit_blocks(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> Model:
+    """Logistic regression by Newton's method, the two kinds of block weighing alike."""
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
+    weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    w = np.zeros(z.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        slope = z.T @ (weight * (p - y)) / len(y) + ridge * w
+        bend = (z * (weight * p * (1 - p))[:, None]).T @ z / len(y) + ridge * np.eye(len(w))
+        step = np.linalg.solve(bend, slope)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    weights = w[1:] / scale
+    return (float(w[0] - weights @ mean), *map(float, weights))
+
+
+def costs(blocks: list[Block], model: Model | None = None) -> list[float]:
+    """For each block the cost of calling it boilerplate less that of calling it content.
+
+    A page that marks its article or main part is taken at its word, as are marks of boilerplate. Elsewhere the cost is the log odds of the fitted
+    ``model``, bounded so that a block's neighbours can outweigh it; without a model, a rule of thumb.
+    """
     if not blocks:
         return []
     zones = _zones(blocks)
     outside = -4.0 if 2 in zones else -0.5
+    odds = None
+    if model is not None and 2 not in zones:
+        odds = np.clip(model[0] + features(blocks) @ np.array(model[1:]), -MOST_ODDS, MOST_ODDS).tolist()
     found = []
-    for b, zone in zip(blocks, zones, strict=True):
+    for i, (b, zone) in enumerate(zip(blocks, zones, strict=True)):
         size = len(b.text)
+        if odds is not None and zone >= 0:
+            found.append(odds[i] + 2.0 * zone)
+            continue
         cost = {2: 8.0, 1: 3.0 + outside, 0: outside, -1: -8.0}[zone]
         cost += min(1.5, size / 100)
         cost -= 3.0 * (b.linked > size / 2)
@@ -386,15 +471,17 @@ def minimum_cut(cost: list[float], ties: list[tuple[int, int, float]]) -> list[b
                 excess[u] += flow
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, model: Model | None = None) -> str:
     blocks = blocks_of(page)
-    kept = minimum_cut(costs(blocks), edges(blocks))
+    kept = minimum_cut(costs(blocks, model), edges(blocks))
     return "\n".join(b.text for b, keep in zip(blocks, kept, strict=True) if keep)
 
 
-def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
+def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """``pages`` without ``html_col`` and with ``text_col``, the main text: the content blocks joined by line ends.
 
+    ``model`` is that of ``fit``, for pages that don't mark their article.
+
     A null or empty page has the empty text. A column that already has the name ``text_col`` gives way. Rows are neither
     dropped nor moved; repeated rows and ids stay rows; a page of any length is read whole.
     """
@@ -405,7 +492,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
         for batch in batches:
             for part in slices(batch, text_col):
                 at = part.schema.get_field_index(text_col)
-                texts = pa.array(list(map(main_text, part.column(at).to_pylist())), pa.string())
+                texts = pa.array([main_text(page, model) for page in part.column(at).to_pylist()], pa.string())
                 yield part.set_column(at, pa.field(text_col, pa.string()), texts)
 
     return rows.mapInArrow(take, rows.schema)

@@ -27,7 +27,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html_extract.extract(_table(spark, sf_dir, "pages"))
+    pages = _table(spark, sf_dir, "pages")
+    found = html_extract.extract(pages, model=html_extract.fit(pages))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
