@@ -10,6 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# keys of a stateful processor are taken in groups: enough of them for the state partitions of a large cluster, and few
+# enough for a call each; a number that is the same whatever the session, as state depends on it
+GROUPS = 1024
+
+
 def to_euro(price: Column, rate: float) -> Column:
     """Dollar price to euro in 32-bit float arithmetic, cut toward zero.
 
@@ -28,3 +33,10 @@ def divisible_by_any(value: Column, divisors: Iterable[int]) -> Column:
     if not divisors or 0 in divisors:
         raise ValueError("divisors: one or more, none of them 0")
     return reduce(or_, [value % F.lit(d) == 0 for d in divisors])
+
+
+def group_of(groups: int, *keys: str) -> Column:
+    """The group that a key falls into."""
+    if groups < 1:
+        raise ValueError("groups: 1 or more")
+    return F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")
