@@ -3,13 +3,28 @@
 import random
 
 import pytest
-from conftest import bid_rows, rows
+from conftest import auction_rows, bid_rows, person_rows, rows
 
+from gavelstream.operators.joins import Shares
 from gavelstream.plans import batch
-from gavelstream.streaming import firings
+from gavelstream.streaming import firings, keyed
 from gavelstream.streaming.runner import run_discarding, run_to_table
 
 FAR = 100_000
+STATES = ["OR", "CA", None]
+
+
+def given(seed, sellers=60):
+    """Files of auctions and of persons, times rising from file to file; a seller's name may be missing."""
+    rng = random.Random(seed)
+    listed = [[(2**61 + 1000 * f + i, rng.randrange(sellers), 10, 5, f * 50 + rng.randrange(400) / 8) for i in range(150)] for f in range(2)]
+    known = [[(rng.randrange(sellers), rng.choice(["Ann", "Bo", None]), f"c{i % 4}", rng.choice(STATES), f * 50 + rng.randrange(400) / 8)
+              for i in range(90)] for f in range(2)]
+    return listed, known
+
+
+def text_first(got):
+    return sorted(tuple(map(str, r)) for r in got)
 
 
 def keys_held(progress, name):
@@ -17,6 +32,36 @@ def keys_held(progress, name):
     return [op["numRowsTotal"] for p in progress if p["numInputRows"] for op in p["stateOperators"] if op["operatorName"].startswith(name)]
 
 
+def joined(listed, known):
+    return text_first((*p[1:4], a[0]) for f in listed for a in f for g in known for p in g if a[1] == p[0])
+
+
+def test_expiring_join(stream):
+    listed, known = given(1)
+
+    def df(**options):
+        return keyed.expiring_join(stream(*[auction_rows(*f) for f in listed]), stream(*[person_rows(*f) for f in known]), "1 day", **options)
+    for options in ({"groups": 3}, {"groups": 2, "shares": Shares(3, hot=[1, 2])}):
+        assert text_first(run_to_table(df(**options), "expiring", empty_batches=False).collect()) == joined(listed, known)
+    held = keys_held(run_discarding(df(groups=3), "held", empty_batches=False), "transformWithState")
+    assert held and max(held) < 60
+
+
+def test_pending(stream):
+    listed, known = given(3)
+    late = [(2**61 + 7, 999, 10, 5, 1.0)]
+    # persons only with the second file: what came first waits
+    auctions = [auction_rows(*listed[0], *late), auction_rows(*listed[1])]
+    persons = [person_rows((777, "No", "Napa", "CA", 0)), person_rows(*known[1])]
+    newest = {}
+    for p in known[1]:
+        key = (p[4], [(t is not None, t or "") for t in p[1:4]])
+        newest[p[0]] = max(newest.get(p[0], (key, p)), (key, p), key=lambda n: n[0])
+    expected = text_first((*newest[a[1]][1][1:4], a[0]) for f in listed for a in f if a[1] in newest)
+    df = keyed.pending_join(stream(*auctions), stream(*persons), wait="1 hour", groups=3)
+    assert text_first(run_to_table(df, "pending").collect()) == expected
+
+
 @pytest.mark.parametrize("groups", [1, 4])
 def test_firings_by_slots(stream, table, groups):
     rng = random.Random(4)
