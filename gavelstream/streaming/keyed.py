@@ -120,11 +120,14 @@ class AsOf(StatefulProcessor):
             self.records.appendList(_entries(known, KNOWN))
         if len(listed):
             there = {k[0] for k in self.waiting.keys()}
-            for chunk, new in listed.groupby(listed["us"] - listed["us"] % self.chunk_us):
-                columns = [new[c].tolist() for c in LISTED]
+            columns = listed[LISTED].to_numpy(np.int64).T
+            chunks = columns[2] - columns[2] % self.chunk_us
+            order = np.argsort(chunks, kind="stable")
+            found, at = np.unique(chunks[order], return_index=True)
+            for chunk, new in zip(found.tolist(), np.split(columns[:, order], at[1:], axis=1), strict=True):
                 if chunk in there:
-                    columns = [[*held, *more] for held, more in zip(self.waiting.getValue((int(chunk),)), columns, strict=True)]
-                self.waiting.updateValue((int(chunk),), tuple(columns))
+                    new = np.concatenate([np.array(self.waiting.getValue((chunk,)), np.int64), new], axis=1)
+                self.waiting.updateValue((chunk,), tuple(new.tolist()))
         # a timer for the first waiting auction, or for the records where none waits
         if len(listed) or self.due.get() is None:
             self._wake(int((listed if len(listed) else known)["us"].min()))
@@ -149,19 +152,19 @@ class AsOf(StatefulProcessor):
             if chunk > upto:
                 first = chunk if first is None else first
                 break
-            held = _rows([self.waiting.getValue((chunk,))], LISTED)
-            passed = held["us"] <= upto
-            ready.append(held[passed])
+            held = np.array(self.waiting.getValue((chunk,)), np.int64)
+            passed = held[2] <= upto
+            ready.append(held[:, passed])
             if passed.all():
                 gone.append(chunk)
             else:
-                self.waiting.updateValue((chunk,), tuple(held.loc[~passed, c].tolist() for c in LISTED))
-                first = int(held.loc[~passed, "us"].min())
-            if sum(map(len, ready)) >= BLOCK:
-                yield self._held(pd.concat(ready), records)
+                self.waiting.updateValue((chunk,), tuple(held[:, ~passed].tolist()))
+                first = int(held[2, ~passed].min())
+            if sum(r.shape[1] for r in ready) >= BLOCK:
+                yield self._held(ready, records)
                 ready = []
         if ready:
-            yield self._held(pd.concat(ready), records)
+            yield self._held(ready, records)
         if gone == chunks:
             self.waiting.clear()
         else:
@@ -177,9 +180,9 @@ class AsOf(StatefulProcessor):
             self._wake(first if first is not None else int(later["us"].iloc[0]))
 
     @staticmethod
-    def _held(auctions: pd.DataFrame, records: pd.DataFrame) -> pd.DataFrame:
+    def _held(auctions: list[np.ndarray], records: pd.DataFrame) -> pd.DataFrame:
         """The auctions that have a record at their time, with it."""
-        auctions = auctions.sort_values("us")
+        auctions = pd.DataFrame(np.concatenate(auctions, axis=1).T, columns=LISTED).sort_values("us")
         places = records[[*SELLER, "us"]].assign(place=np.arange(len(records)))
         place = pd.merge_asof(auctions, places, on="us", by=SELLER)["place"].to_numpy(float)
         found = ~np.isnan(place)

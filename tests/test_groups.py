@@ -47,6 +47,18 @@ def test_expiring_join(stream):
     assert held and max(held) < 60
 
 
+def test_as_of(stream, table):
+    listed, known = given(2)
+    auctions, persons = [auction_rows(*f) for f in listed], [person_rows(*f) for f in known]
+    expected = text_first(batch.local_items_latest(table(auctions[0]).union(table(auctions[1])), table(persons[0]).union(table(persons[1])),
+                                                   states=["OR", "CA"]).collect())
+    assert len(expected) > 100
+    persons = [p[p["state"].notna()] for p in persons]
+    ends = auction_rows((-1, -1, 10, 0, FAR)), person_rows((-2, "End", "Salem", "OR", FAR))
+    df = keyed.lookup_as_of(stream(*auctions, ends[0]), stream(*persons, ends[1]), chunk="5 seconds", groups=3)
+    assert text_first(r for r in run_to_table(df, "as-of").collect() if r[3] != -1) == expected
+
+
 def test_pending(stream):
     listed, known = given(3)
     late = [(2**61 + 7, 999, 10, 5, 1.0)]
