@@ -23,7 +23,7 @@ DATA = "/root/testdata/sf0.01"
 def test_same_rows_as_sql(spark, name, data):
     result = registry.queries()[name](spark, data)
     duck = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     columns = sorted(result.columns)
     expected = duck.execute(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
@@ -31,7 +31,7 @@ def test_same_rows_as_sql(spark, name, data):
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)}
     assert registry.queries()["pipeline"] is corpus_pipeline.run
 
 

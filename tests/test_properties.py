@@ -21,8 +21,8 @@ persons = st.lists(st.tuples(st.integers(0, 3), st.sampled_from(["Ann", "Bo", "C
 
 
 def windows_of(second, size, slide):
-    """End seconds of the windows that hold the time."""
-    start = second // slide * slide
+    """End seconds of the windows that hold the time; they start at multiples of the slide since 1970."""
+    start = second - (millis(0) // 1000 + second) % slide
     while start + size > second:
         yield start + size
         start -= slide
